@@ -49,6 +49,25 @@ KV_TIME_KEYS = ("timestamp", "time", "ts", "@timestamp")
 LEVEL_KEYS = ("level", "severity", "lvl", "log_level")
 MESSAGE_KEYS = ("message", "msg", "error", "detail")
 
+# ---------------------------------------------------------------- line shapes (flags s and U)
+RFC5424 = (
+    r"\A<(?<pri>[0-9]{1,3})>[0-9]\s+(?<ts>\S+)\s+(?<host>\S+)\s+(?<app>\S+)\s+\S+\s+\S+\s*"
+    r"(?:\[[^\]]*\]|-)?\s*(?<msg>.*)\z"
+)
+RFC3164 = (
+    r"\A<(?<pri>[0-9]{1,3})>(?<ts>[A-Z][a-z]{2}\s+[0-9]{1,2}\s+[0-9]{2}:[0-9]{2}:[0-9]{2})\s+"
+    r"(?<host>\S+)\s+(?<app>[^:]+):\s*(?<msg>.*)\z"
+)
+ACCESS = (
+    r'\A(?<ip>\S+)\s+\S+\s+\S+\s+\[(?<ts>[^\]]+)\]\s+"(?<req>[^"]+)"\s+'
+    r'(?<status>[0-9]{3})\s+(?<size>\S+)(?:\s+"[^"]*"\s+"[^"]*")?.*\z'
+)
+BRACKET = r"\A(?<ts>.+?)\s+\[(?<level>[A-Za-z]+)\]\s+(?<msg>.*)\z"
+CEF = (
+    r"\ACEF:(?<version>[^|]*)\|(?<vendor>[^|]*)\|(?<product>[^|]*)\|(?<release>[^|]*)\|(?<signature>[^|]*)"
+    r"\|(?<name>[^|]*)\|(?<severity>[^|]*)(?:\|(?<extension>.*))?\z"
+)
+
 # ---------------------------------------------------------------- time formats of bracketed lines
 BRACKET_TIME_FORMATS = (
     "%Y-%m-%d %H:%M:%S",
@@ -61,12 +80,13 @@ ACCESS_TIME_FORMAT = "%d/%b/%Y:%H:%M:%S %z"
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 # ---------------------------------------------------------------- blanks
-# Unicode blanks as a trim set and as the inside of a Java character class.
+# Unicode blanks as a trim set, and as a class in patterns that start with the flag U.
 BLANKS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0         "
-    "       　"
+    "\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x85\xa0"
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-WS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+WS = r"[\s\x1c-\x1f]"
+NON_WS = r"[^\s\x1c-\x1f]"
 
 # ---------------------------------------------------------------- redaction, in order
 REDACTIONS = (

@@ -2,50 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from logspark.fixed import BLANKS, WS
+from logspark.functions.text import lit
 
-from logspark.functions.text import strip
 
+def looks_like_object(line: str) -> str:
+    return f"{line} RLIKE {lit(rf'(?sU)\A{WS}*+\{{.*\}}{WS}*+\z')}"
 
-def looks_like_object(line: Column) -> Column:
-    from logspark.fixed import WS
 
-    return line.rlike(rf"(?s)\A[{WS}]*+\{{.*\}}[{WS}]*+\z")
-
-
-def json_object(line: Column) -> Column:
+def json_object(line: str) -> str:
     """VARIANT `[object]`, or NULL. The array brackets refuse text that follows the first value."""
-    parsed = F.try_parse_json(F.concat(F.lit("["), strip(line), F.lit("]")))
-    return parsed
+    return f"try_parse_json(concat('[', btrim({line}, {lit(BLANKS)}), ']'))"
 
 
-def is_single(parsed: Column) -> Column:
-    return parsed.isNotNull() & F.try_variant_get(parsed, "$[1]", "variant").isNull()
+def is_single(parsed: str) -> str:
+    return f"{parsed} IS NOT NULL AND try_variant_get({parsed}, '$[1]', 'variant') IS NULL"
 
 
-def first_present(parsed: Column, keys) -> Column:
+def first_present(parsed: str, keys) -> str:
     """Value of the first key the object has; a JSON null counts as present."""
-    return F.coalesce(
-        *[F.try_variant_get(parsed, "$[0]['%s']" % k.replace("'", "\\'"), "variant") for k in keys]
-    )
+    def value(key: str) -> str:
+        path = lit("$[0]['%s']" % key.replace("'", "\\'"))
+        return f"try_variant_get({parsed}, {path}, 'variant')"
+
+    return f"coalesce({', '.join(value(k) for k in keys)})"
 
 
-def string_only(value: Column) -> Column:
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+def string_only(value: str) -> str:
+    return f"CASE WHEN schema_of_variant({value}) = 'STRING' THEN try_variant_get({value}, '$', 'string') END"
 
 
-def as_text(value: Column) -> Column:
+def as_text(value: str) -> str:
     """Text of a value: strings as they are, True/False, numbers, nested values as JSON. NULL for null."""
-    kind = F.schema_of_variant(value)
-    plain = F.try_variant_get(value, "$", "string")
-    number = F.try_variant_get(value, "$", "double")
-    return (
-        F.when(kind == "VOID", F.lit(None).cast("string"))
-        .when(kind.isin("STRING", "BIGINT"), plain)
-        .when(kind == "BOOLEAN", F.initcap(plain))
-        .when(kind.startswith("DECIMAL") & plain.contains("."), number.cast("string"))
-        .when(kind.startswith("DECIMAL"), plain)
-        .when(kind == "DOUBLE", number.cast("string"))
-        .otherwise(F.to_json(value))
-    )
+    kind, plain = f"schema_of_variant({value})", f"try_variant_get({value}, '$', 'string')"
+    return f"""
+CASE WHEN {kind} IN ('STRING', 'BIGINT') THEN {plain} WHEN {kind} = 'VOID' THEN NULL
+     WHEN {kind} = 'BOOLEAN' THEN initcap({plain})
+     WHEN {kind} = 'DOUBLE' OR (startswith({kind}, 'DECIMAL') AND contains({plain}, '.'))
+     THEN cast(try_variant_get({value}, '$', 'double') AS string)
+     WHEN startswith({kind}, 'DECIMAL') THEN {plain} ELSE to_json({value}) END"""

@@ -2,96 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from logspark.fixed import LEVEL_ALIASES, LEVEL_KEYS, LEVELS, MESSAGE_KEYS, WS
-from logspark.functions.text import strip
+from logspark.fixed import LEVEL_ALIASES, LEVELS, WS
+from logspark.functions.text import lit, strip
 
 # One piece of a shell word: a plain character, an escaped one, or a quoted run.
 _PIECE = r"""(?:[^ \t\r\n"'\\]|\\.|"(?:[^"\\]|\\.)*+"|'[^']*+')"""
 _WORDS_ONLY = rf"(?s)\A(?:[ \t\r\n]|{_PIECE})*+\z"
 _WORD = rf"(?s)({_PIECE}++)"
 _UNIT = r"""(?s)([^"'\\]++|\\.|"(?:[^"\\]|\\.)*+"|'[^']*+')"""
+_QUOTING = r"""["'\\]"""
 
 
-def _pairs(words: Column, sep: str) -> Column:
+def _pairs(words: str, sep: str) -> str:
     """`key<sep>value` words as (k, v); words without the separator or without a key are left out."""
-    at = lambda w: F.instr(w, F.lit(sep))
-    kept = F.filter(words, lambda w: at(w) > 1)
-    return F.transform(
-        kept,
-        lambda w: F.struct(
-            F.substring_index(w, sep, 1).alias("k"),
-            F.substring(w, at(w) + 1, F.char_length(w)).alias("v"),
-        ),
+    kept = f"filter({words}, w -> instr(w, {lit(sep)}) > 1)"
+    value = f"substring(w, instr(w, {lit(sep)}) + 1)"
+    return f"transform({kept}, w -> struct(substring_index(w, {lit(sep)}, 1) AS k, {value} AS v))"
+
+
+def _unquoted(word: str) -> str:
+    """One shell word without its quoting."""
+    inner = "substring(u, 2, char_length(u) - 2)"
+    unit = (
+        "CASE WHEN startswith(u, '\\\\') THEN substring(u, 2, 1) "
+        f"WHEN startswith(u, '\\'') THEN {inner} "
+        f"WHEN startswith(u, '\"') THEN regexp_replace({inner}, {lit(r'\\(["\\])')}, '$1') ELSE u END"
     )
+    units = f"regexp_extract_all({word}, {lit(_UNIT)}, 1)"
+    return f"CASE WHEN {word} RLIKE {lit(_QUOTING)} THEN array_join(transform({units}, u -> {unit}), '') ELSE {word} END"
 
 
-def _unquote(word: Column) -> Column:
-    """Take the quoting off one shell word."""
-
-    def unit(u: Column) -> Column:
-        inner = F.substring(u, F.lit(2), F.char_length(u) - 2)
-        return (
-            F.when(u.startswith("\\"), F.substring(u, 2, 1))
-            .when(u.startswith("'"), inner)
-            .when(u.startswith('"'), F.regexp_replace(inner, r'\\(["\\])', "$1"))
-            .otherwise(u)
-        )
-
-    units = F.regexp_extract_all(word, F.lit(_UNIT), F.lit(1))
-    return F.when(word.rlike(r"""["'\\]"""), F.array_join(F.transform(units, unit), "")).otherwise(word)
-
-
-def logfmt_pairs(line: Column) -> Column:
+def logfmt_pairs(line: str) -> str:
     """Pairs of a shell-quoted `key=value` line; NULL when the quoting is unbalanced."""
-    quoted = line.rlike(r"""["'\\]""")
-    shell = F.transform(F.regexp_extract_all(line, F.lit(_WORD), F.lit(1)), _unquote)
-    words = F.when(~quoted, F.split(line, r"[ \t\r\n]+")).when(line.rlike(_WORDS_ONLY), shell)
-    return _pairs(words, "=")
-
-
-def ltsv_pairs(line: Column) -> Column:
-    return _pairs(F.split(line, "\t"), ":")
+    words = f"transform(regexp_extract_all({line}, {lit(_WORD)}, 1), x -> {_unquoted('x')})"
+    return _pairs(
+        f"CASE WHEN NOT {line} RLIKE {lit(_QUOTING)} THEN split({line}, {lit(r'[ \t\r\n]+')}) "
+        f"WHEN {line} RLIKE {lit(_WORDS_ONLY)} THEN {words} END",
+        "=",
+    )
 
 
-def cef_pairs(extension: Column) -> Column:
-    return _pairs(F.split(extension, f"[{WS}]+"), "=")
+def ltsv_pairs(line: str) -> str:
+    return _pairs(f"split({line}, '\t')", ":")
 
 
-def pairs_map(pairs: Column) -> Column:
-    """Pairs to a map; a repeated key keeps its first place and its last value."""
-    return F.map_from_entries(pairs)
+def cef_pairs(extension: str) -> str:
+    return _pairs(f"split({extension}, {lit('(?U)' + WS + '+')})", "=")
 
 
-def lower_keys(fields: Column) -> Column:
-    return F.map_from_entries(
-        F.transform(F.map_entries(fields), lambda e: F.struct(F.lower(e["key"]), e["value"]))
-    )
+def lower_keys(fields: str) -> str:
+    """The map with lower-case keys; of keys that differ only in case, the last value wins."""
+    names = f"array_join(map_keys({fields}), ' ')"
+    lowered = f"map_from_entries(transform(map_entries({fields}), e -> struct(lower(e.key), e.value)))"
+    return f"CASE WHEN {names} = lower({names}) THEN {fields} ELSE {lowered} END"
 
 
-def level_name(text: Column) -> Column:
-    """Level of a free-form name with the usual aliases; NULL when it says nothing."""
-    name = F.upper(strip(text))
-    out = None
-    for alias, level in LEVEL_ALIASES.items():
-        out = F.when(name == alias, level) if out is None else out.when(name == alias, level)
-    return out.when(name.isin(*[lv for lv in LEVELS if lv != "UNKNOWN"]), name)
+def _named() -> str:
+    known = {**{lv: lv for lv in LEVELS if lv != "UNKNOWN"}, **LEVEL_ALIASES}
+    return "map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in known.items()) + ")"
 
 
-def kv_level(fields: Column, keys=LEVEL_KEYS) -> Column:
-    """First level key that names a level."""
-    named = [level_name(F.try_element_at(fields, F.lit(k))) for k in keys]
-    return F.coalesce(*named, F.lit("UNKNOWN"))
+def kv_level(fields: str, keys) -> str:
+    """First level key that names a level, by name or usual alias."""
+    found = [f"try_element_at({fields}, {lit(k)})" for k in keys]
+    named = [f"try_element_at({_named()}, upper({strip(f)}))" for f in found]
+    return f"coalesce({', '.join(named)}, 'UNKNOWN')"
 
 
-def kv_message(fields: Column, keys=MESSAGE_KEYS) -> Column:
+def kv_message(fields: str, keys) -> str:
     """First message key with a non-empty value."""
-    return F.coalesce(*[F.nullif(F.try_element_at(fields, F.lit(k)), F.lit("")) for k in keys])
+    found = [f"try_element_at({fields}, {lit(k)})" for k in keys]
+    return "CASE " + " ".join(f"WHEN {f} <> '' THEN {f}" for f in found) + " END"
 
 
-def kv_times(fields: Column, keys) -> Column:
-    """Time texts in key order, absent ones left out."""
-    found = F.array(*[F.try_element_at(fields, F.lit(k)) for k in keys])
-    return F.filter(found, lambda t: t.isNotNull())
+def kv_values(fields: str, keys) -> str:
+    """Values of the keys, in order; NULL for the absent ones."""
+    return ", ".join(f"try_element_at({fields}, {lit(k)})" for k in keys)

@@ -1,43 +1,33 @@
-"""Severity of coded fields."""
+"""Severity of coded fields, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from logspark.functions.text import integer_text, strip
 
-from logspark.fixed import BLANKS
-from logspark.functions.text import integer_text
+# Level by syslog severity (PRI modulo 8) and by CEF severity 0 to 9 (9 and above).
+PRI_LEVELS = ("CRITICAL", "CRITICAL", "CRITICAL", "ERROR", "WARNING", "INFO", "DEBUG", "DEBUG")
+CEF_LEVELS = ("INFO",) * 4 + ("WARNING",) * 3 + ("ERROR",) * 2 + ("CRITICAL",)
 
 
-def pri_level(pri: Column) -> Column:
+def _array(names) -> str:
+    return "array(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+def pri_level(pri: str) -> str:
     """Level of a syslog PRI number."""
-    severity = pri % 8
-    return (
-        F.when(severity <= 2, "CRITICAL")
-        .when(severity == 3, "ERROR")
-        .when(severity == 4, "WARNING")
-        .when(severity == 5, "INFO")
-        .otherwise("DEBUG")
-    )
+    return f"get({_array(PRI_LEVELS)}, ({pri}) % 8)"
 
 
-def status_level(status: Column) -> Column:
+def status_level(status: str) -> str:
     """Level of an HTTP status."""
-    return (
-        F.when(status.between(500, 599), "ERROR").when(status.between(400, 499), "WARNING").otherwise("INFO")
-    )
+    return f"CASE div({status}, 100) WHEN 5 THEN 'ERROR' WHEN 4 THEN 'WARNING' ELSE 'INFO' END"
 
 
-def cef_level(severity: Column) -> Column:
+def cef_level(severity: str) -> str:
     """Level of a CEF severity; names such as `High` say nothing here."""
-    text = integer_text(F.btrim(severity, F.lit(BLANKS)))
-    size = F.when(F.char_length(text) > 9, F.when(text.startswith("-"), -1).otherwise(99)).otherwise(
-        text.try_cast("int")
-    )
-    return (
-        F.when(text.isNull(), "UNKNOWN")
-        .when(size <= 3, "INFO")
-        .when(size <= 6, "WARNING")
-        .when(size <= 8, "ERROR")
-        .otherwise("CRITICAL")
-    )
+    text = integer_text(f"({strip(severity)})")
+    large = f"CASE WHEN startswith({text}, '-') THEN 'INFO' ELSE 'CRITICAL' END"
+    return f"""
+CASE WHEN {severity} RLIKE '^[0-9]$' THEN get({_array(CEF_LEVELS)}, cast({severity} AS int))
+     WHEN {text} IS NULL THEN 'UNKNOWN' WHEN char_length({text}) > 9 THEN {large}
+     ELSE get({_array(CEF_LEVELS)}, greatest(0, least(9, cast({text} AS int)))) END"""

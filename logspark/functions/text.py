@@ -1,33 +1,83 @@
-"""Text helpers shared by the parse jobs."""
+"""Text expressions shared by the parse jobs.
+
+The parse plan is written as SQL expression text: it nests deeply, and one string reaches the JVM in
+one call where a Column tree needs thousands.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logspark.fixed import BLANKS
+from logspark.fixed import BLANKS, NON_WS, WS
+
+
+def lit(value: str) -> str:
+    """A string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def lits(values) -> str:
+    return ", ".join(lit(v) for v in values)
 
 
-def strip(text: Column) -> Column:
-    """Trim Unicode blanks from both ends."""
-    return F.btrim(text, F.lit(BLANKS))
+def strip(text: str) -> str:
+    """Trim Unicode blanks from both ends; looks at the two end characters first."""
+    ends = f"substring({text}, 1, 1) IN ({lits(BLANKS)}) OR substring({text}, -1, 1) IN ({lits(BLANKS)})"
+    return f"CASE WHEN {ends} THEN btrim({text}, {lit(BLANKS)}) ELSE {text} END"
 
 
-def fields_of(text: Column, pattern: str, tag: str, *groups: str) -> Column:
-    """Match a whole line once and lay its groups out as newline-separated fields.
+def unicode_blanks(pattern: str) -> str:
+    """A pattern whose `\\s` and `\\S` mean all Unicode blanks, and whose `.` means any character."""
+    return "(?sU)" + pattern.replace(r"\s", WS).replace(r"\S", NON_WS)
 
-    A match becomes `\\n tag \\n group1 \\n group2 …`; anything else comes back unchanged. A log line
-    never holds a newline, so a leading newline means "already recognised". A group name joined
-    by `+` takes whichever alternative took part in the match.
+
+def layout(pattern: str, *fields: str) -> str:
+    """Replacement that lays named groups out as newline-separated fields.
+
+    A field may join groups with `+`: whichever took part in the match supplies the text. An empty
+    field stays empty, and a field in quotes stands for itself.
     """
-    layout = "\n" + tag
-    for group in groups:
-        layout += "\n" + "".join("${%s}" % name for name in group.split("+") if name)
-    return F.regexp_replace(text, F.lit(pattern), F.lit(layout))
+    order = re.findall(r"\(\?<([A-Za-z]\w*)>", pattern)
+    text = ""
+    for field in fields:
+        if field.startswith("'"):
+            text += "\n" + field.strip("'")
+        else:
+            text += "\n" + "".join("$%d" % (order.index(name) + 1) for name in field.split("+") if name)
+    return text
 
 
-def is_done(text: Column) -> Column:
-    return text.startswith("\n")
+def fields_of(text: str, pattern: str, *fields: str) -> str:
+    """Match a whole line once and turn it into newline-separated fields.
+
+    Anything that does not match comes back unchanged. A log line never holds a newline, so a leading
+    newline means "already recognised".
+    """
+    return f"regexp_replace({text}, {lit(pattern)}, {lit(layout(pattern, *fields))})"
+
+
+def first_match(ladder: dict, hay: str) -> str:
+    """Name of the first rung that has a word in `hay`, else NULL."""
+    rungs = [
+        f"WHEN {' OR '.join(f'contains({hay}, {lit(w)})' for w in words)} THEN {lit(name)}"
+        for name, words in ((n, list(w)) for n, w in ladder.items())
+        if words
+    ]
+    return f"CASE {' '.join(rungs)} END" if rungs else "CAST(NULL AS STRING)"
+
+
+def integer_text(text: str) -> str:
+    """Canonical decimal text of an integer literal (sign, leading zeros, `_` separators), else NULL."""
+    plain = f"replace({text}, '_')"
+    size = f"regexp_replace({plain}, {lit(chr(92) + 'A[+-]?0*(?=[0-9])')}, '')"
+    return (
+        f"CASE WHEN {text} RLIKE {lit(r'\A(?:0|[1-9][0-9]*)\z')} THEN {text} "
+        f"WHEN {text} RLIKE {lit(r'\A[+-]?[0-9]+(?:_[0-9]+)*\z')} THEN "
+        f"CASE WHEN startswith({text}, '-') AND {size} <> '0' THEN concat('-', {size}) ELSE {size} END END"
+    )
 
 
 def ascii_upper(text: Column) -> Column:
@@ -36,25 +86,3 @@ def ascii_upper(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.upper(text)).otherwise(
         F.translate(text, lower, lower.upper())
     )
-
-
-def first_match(ladder: dict, hay: Column) -> Column:
-    """Name of the first rung that has a word in `hay`, else NULL."""
-    out = None
-    for name, words in ladder.items():
-        if not words:
-            continue
-        hit = None
-        for word in words:
-            test = F.contains(hay, F.lit(word))
-            hit = test if hit is None else hit | test
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return F.lit(None).cast("string") if out is None else out
-
-
-def integer_text(text: Column) -> Column:
-    """Canonical decimal text of an integer literal (sign, leading zeros, `_` separators), else NULL."""
-    plain = F.replace(text, F.lit("_"))
-    size = F.regexp_replace(plain, r"\A[+-]?0*(?=\d)", "")
-    value = F.when(plain.startswith("-") & (size != "0"), F.concat(F.lit("-"), size)).otherwise(size)
-    return F.when(text.rlike(r"\A[+-]?\d+(?:_\d+)*\z"), value)

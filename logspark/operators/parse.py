@@ -11,13 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from logspark import fixed
-from logspark.fixed import WS
 from logspark.functions import json_lines, kv, levels, times
-from logspark.functions.text import fields_of, first_match, integer_text, is_done, strip
+from logspark.functions.text import fields_of, first_match, integer_text, lit, lits, strip, unicode_blanks
 
 ENTRY_COLUMNS = ("file", "line_no", "fmt", "ts", "ts_naive", "level", "message", "raw", "meta")
 ENTRY_SCHEMA = (
@@ -29,80 +27,73 @@ ENTRY_SCHEMA = (
     "logfmt:map<string,string>,ltsv:map<string,string>>"
 )
 
-# The line shapes.
-_S, _N = f"[{WS}]", f"[^{WS}]"
-_RFC5424 = (
-    rf"(?s)\A<(?<pri>\d{{1,3}})>\d{_S}+(?<ts>{_N}+){_S}+(?<host>{_N}+){_S}+(?<app>{_N}+){_S}+{_N}+"
-    rf"{_S}+{_N}+{_S}*(?:\[[^\]]*\]|-)?{_S}*(?<msg>.*)\z"
-)
-_RFC3164 = (
-    rf"(?s)\A<(?<pri>\d{{1,3}})>(?<ts>[A-Z][a-z]{{2}}{_S}+\d{{1,2}}{_S}+\d{{2}}:\d{{2}}:\d{{2}})"
-    rf"{_S}+(?<host>{_N}+){_S}+(?<app>[^:]+):{_S}*(?<msg>.*)\z"
-)
-_ACCESS = (
-    rf'(?s)\A(?<ip>{_N}+){_S}+{_N}+{_S}+{_N}+{_S}+\[(?<ts>[^\]]+)\]{_S}+"(?<req>[^"]+)"{_S}+'
-    rf'(?<status>\d{{3}}){_S}+(?<size>{_N}+)(?:{_S}+"[^"]*"{_S}+"[^"]*")?.*\z'
-)
-_BRACKET = rf"(?s)\A(?<ts>.+?){_S}+\[(?<level>[A-Za-z]+)\]{_S}+(?<msg>.*)\z"
-_CEF = (
-    r"(?s)\ACEF:(?<a>[^|]*)\|(?<b>[^|]*)\|(?<c>[^|]*)\|(?<d>[^|]*)\|(?<e>[^|]*)\|(?<f>[^|]*)"
-    r"\|(?<g>[^|]*)(?:\|(?<x>.*))?\z"
+# The shapes with all Unicode blanks, made cheap: runs that cannot overlap what follows them never
+# give back, and messages end at their last non-blank.
+_MSG_AT_END = (r"\s*(?<msg>.*)\z", r"\s*+(?<msg>(?:.*\S)?)\s*\z")
+_RFC5424 = unicode_blanks(
+    fixed.RFC5424.replace(*_MSG_AT_END).replace(r"\s+", r"\s++").replace(r"\S+", r"\S++")
 )
+_RFC3164 = unicode_blanks(fixed.RFC3164.replace(*_MSG_AT_END))
+_ACCESS = unicode_blanks(fixed.ACCESS.replace(r"\s+", r"\s++").replace(r"\S+", r"\S++"))
+_BRACKET = unicode_blanks(fixed.BRACKET.replace(r"\s+", r"\s++").replace(r"(?<msg>.*)", r"(?<msg>(?:.*\S)?)\s*"))
+_CEF = unicode_blanks(fixed.CEF)
+
 
-def _evaluate_once(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
-    """Add columns so that filters above never copy their expressions below.
+def _evaluate_once(df: DataFrame, keep: Sequence[str], *columns: str) -> DataFrame:
+    """Fix computed columns so that filters above never copy their expressions below.
 
     A filter on a plain projected column is pushed through the projection, which would run the
     regexes behind that column again for the filter. A generator output is computed once; filters
     on the columns in `keep` (file, line number) still move below it.
     """
-    packed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
-    df = df.select(*keep, F.explode(packed).alias("_x"))
-    return df.select(*keep, *[F.col("_x")[n].alias(n) for n in columns])
+    df = df.selectExpr(*keep, f"explode(array(struct({', '.join(columns)}))) AS _x")
+    return df.selectExpr(*keep, *[f"_x.{c} AS {c}" for c in columns])
 
 
 def _recognise(df: DataFrame, keep: Sequence[str], formats: Sequence[str], keywords: Mapping) -> DataFrame:
-    """Add `_p` (tag and fields of the accepted format, NULL if none), `_json` and `_kv`."""
-    m, kv_ = F.col("_m"), F.col("_kv")
-    todo = ~is_done(m)
-    df = df.select(
-        *keep, F.col("line").alias("_m"), F.lit(None).cast("variant").alias("_json"),
-        F.lit(None).cast("array<struct<k:string,v:string>>").alias("_kv"),
-    )
+    """Add `_tag`, `_p` (fields of the accepted format, NULL if none), `_json` and `_kv`."""
+    todo = "NOT startswith(_m, '\n')"
+    pairs_type = "array<struct<k:string,v:string>>"
+    df = df.selectExpr(*keep, "line AS _m", "CAST(NULL AS variant) AS _json", f"CAST(NULL AS {pairs_type}) AS _kv")
 
-    def step(frame: DataFrame, **new: Column) -> DataFrame:
-        return frame.select(*keep, *[new[c].alias(c) if c in new else c for c in ("_m", "_json", "_kv")])
+    def step(frame: DataFrame, column: str, condition: str, value: str) -> DataFrame:
+        new = f"CASE WHEN {condition} THEN {value} ELSE {column} END AS {column}"
+        return frame.selectExpr(*keep, *[new if c == column else c for c in ("_m", "_json", "_kv")])
 
     for name in formats:
         if name == "syslog":
-            for tag, pattern in (("rfc5424", _RFC5424), ("rfc3164", _RFC3164)):
-                hit = fields_of(m, pattern, tag, "pri", "ts", "host", "app", "msg")
-                df = step(df, _m=F.when(m.startswith("<"), hit).otherwise(m))
+            fields = ("pri", "ts", "host", "app", "msg")
+            df = step(df, "_m", "startswith(_m, '<')", fields_of("_m", _RFC5424, "'rfc5424'", *fields))
+            df = step(df, "_m", "startswith(_m, '<')", fields_of("_m", _RFC3164, "'rfc3164'", *fields))
         elif name == "access":
-            hit = fields_of(m, _ACCESS, "access", "ip", "ts", "req", "status", "size")
-            df = step(df, _m=F.when(todo & m.contains('"') & m.contains("["), hit).otherwise(m))
+            hit = fields_of("_m", _ACCESS, "'access'", "ip", "ts", "req", "status", "size")
+            df = step(df, "_m", f"{todo} AND contains(_m, '[') AND contains(_m, '\"')", hit)
         elif name == "bracket":
-            hit = fields_of(m, _BRACKET, "bracket", "ts", "level", "msg")
-            df = step(df, _m=F.when(todo & m.contains("]"), hit).otherwise(m))
+            hit = fields_of("_m", _BRACKET, "'bracket'", "ts", "level", "msg")
+            df = step(df, "_m", f"{todo} AND contains(_m, ']')", hit)
         elif name == "jsonl":
-            maybe = todo & m.contains("{") & json_lines.looks_like_object(m)
-            df = step(df, _json=F.when(maybe, json_lines.json_object(m)))
-            df = step(df, _m=F.when(todo & json_lines.is_single(F.col("_json")), F.lit("\njsonl")).otherwise(m))
+            maybe = f"{todo} AND contains(_m, '{{') AND {json_lines.looks_like_object('_m')}"
+            df = step(df, "_json", maybe, json_lines.json_object("_m"))
+            df = step(df, "_m", f"{todo} AND {json_lines.is_single('_json')}", lit("\njsonl"))
         elif name == "cef":
-            hit = fields_of(m, _CEF, "cef", *"abcdefgx")
-            df = step(df, _m=F.when(m.startswith("CEF:"), hit).otherwise(m))
+            hit = fields_of(
+                "_m", _CEF, "'cef'", "version", "vendor", "product", "release", "signature", "name",
+                "severity", "extension",
+            )
+            df = step(df, "_m", "startswith(_m, 'CEF:')", hit)
         elif name in ("logfmt", "ltsv"):
             mark, pairs = ("=", kv.logfmt_pairs) if name == "logfmt" else ("\t", kv.ltsv_pairs)
-            df = step(df, _kv=F.when(todo & m.contains(mark), pairs(m)).otherwise(kv_))
-            fits = todo & m.contains(mark) & (F.size(kv_) > 0)
-            df = step(df, _m=F.when(fits, F.lit("\n" + name)).otherwise(m))
+            maybe = f"{todo} AND contains(_m, {lit(mark)})"
+            df = step(df, "_kv", maybe, pairs("_m"))
+            df = step(df, "_m", f"{maybe} AND size(_kv) > 0", lit("\n" + name))
         elif name == "loose":
-            level = first_match(keywords, F.col("_up"))
-            df = df.select("*", F.when(todo, F.upper(m)).alias("_up"))
-            df = step(df, _m=F.when(todo, F.coalesce(F.concat(F.lit("\nloose\n"), level), m)).otherwise(m))
+            df = df.selectExpr("*", f"CASE WHEN {todo} THEN upper(_m) END AS _up")
+            level = f"concat('\nloose\n', {first_match(keywords, '_up')})"
+            df = step(df, "_m", todo, f"coalesce({level}, _m)")
         else:
             raise ValueError(f"unknown format {name!r}; known: {', '.join(fixed.FORMATS)}")
-    return _evaluate_once(df, keep, _p=F.when(is_done(m), F.split(m, "\n")), _json=F.col("_json"), _kv=kv_)
+    df = df.selectExpr(*keep, f"CASE WHEN {todo} THEN NULL ELSE split(_m, '\n') END AS _p", "_json", "_kv")
+    return _evaluate_once(df, keep, "_p", "_json", "_kv")
 
 
 def parse_entries(
@@ -142,115 +133,98 @@ def parse_entries(
     as_of = as_of or datetime.now(UTC)
     if as_of.tzinfo is None:
         as_of = as_of.replace(tzinfo=UTC)
-    tag, line = F.get("_p", F.lit(1)), F.col("line")
-    p = lambda i: F.get("_p", F.lit(i))
-    is_ = lambda *tags: tag.isin(*tags)
-    syslog, kv_line = is_("rfc5424", "rfc3164"), is_("logfmt", "ltsv")
     keep = ["file", "line_no", "line", *([hit_level] if hit_level else []), *carry]
+    syslog, kv_line = "_tag IN ('rfc5424', 'rfc3164')", "_tag IN ('logfmt', 'ltsv')"
 
     df = _recognise(lines, keep, formats, keywords)
-    taken = F.col("_p").isNotNull()
-    df = df.where(taken if hit_level is None else taken | F.col(hit_level).isNotNull())
+    df = df.where("_p IS NOT NULL" if hit_level is None else f"_p IS NOT NULL OR {hit_level} IS NOT NULL")
+
+    # Fields of key/value and JSON lines.
+    present = {"_jt": json_time_keys, "_jl": json_level_keys, "_jm": json_message_keys}
+    df = df.selectExpr(
+        *keep, "_p", "get(_p, 1) AS _tag",
+        f"map_from_entries(CASE get(_p, 1) WHEN 'cef' THEN {kv.cef_pairs('_p[9]')} "
+        "WHEN 'logfmt' THEN _kv WHEN 'ltsv' THEN _kv END) AS _map",
+        *[
+            f"CASE WHEN get(_p, 1) = 'jsonl' THEN {json_lines.first_present('_json', keys)} END AS {name}"
+            for name, keys in present.items()
+        ],
+    )
+    df = df.selectExpr("*", f"{kv.lower_keys('_map')} AS _low")
 
-    # Fields of key/value and JSON lines; the ISO time texts in the order they are to be tried.
-    json = F.col("_json")
-    pairs = F.when(is_("cef"), kv.cef_pairs(p(9))).when(kv_line, F.col("_kv"))
-    df = df.select(*keep, "_p", "_json", kv.pairs_map(pairs).alias("_map"))
-    df = df.select(
+    # Time: the text, the usual notations cast directly, all others by way of a field list.
+    kv_times = kv.kv_values("_low", kv_time_keys)
+    df = df.selectExpr(
         "*",
-        kv.lower_keys(F.col("_map")).alias("_low"),
-        json_lines.first_present(json, json_time_keys).alias("_jt"),
-        json_lines.first_present(json, json_level_keys).alias("_jl"),
-        json_lines.first_present(json, json_message_keys).alias("_jm"),
-    )
-    iso = (
-        F.when(is_("rfc5424"), F.array(p(3)))
-        .when(is_("jsonl"), F.array(json_lines.string_only(F.col("_jt"))))
-        .when(F.col("_low").isNotNull(), kv.kv_times(F.col("_low"), kv_time_keys))
+        f"CASE WHEN _tag = 'bracket' THEN _p[2] WHEN _tag IN ('rfc5424', 'rfc3164', 'access') THEN _p[3] "
+        f"WHEN _tag = 'jsonl' THEN {json_lines.string_only('_jt')} ELSE coalesce({kv_times}) END AS _time",
     )
-    df = df.select("*", iso.alias("_iso"))
-
-    # Every notation to one field list, then one builder.
-    other = is_("bracket", "access", "rfc3164")
-    listed = (
-        F.when(is_("bracket"), times.strptime_fields(strip(p(2)), *bracket_formats))
-        .when(is_("access"), times.access_fields(p(3)))
-        .when(is_("rfc3164"), times.yearless_fields(p(3), as_of.year))
-        .otherwise(times.iso_fields(F.get("_iso", F.lit(0))))
+    df = df.selectExpr(
+        "*",
+        f"CASE _tag WHEN 'bracket' THEN {times.usual_bracket('_time', bracket_formats)} "
+        f"WHEN 'access' THEN {times.usual_access('_time')} "
+        f"WHEN 'rfc3164' THEN {times.usual_yearless('_time', as_of.year)} "
+        f"ELSE {times.usual_iso('_time')} END AS _usual",
     )
-    rest = F.transform(F.slice("_iso", 2, 9), lambda s: F.split(times.iso_fields(s), "\n"))
-    df = df.select(
-        "*", F.split(listed, "\n").alias("_t"), F.when(F.size("_iso") > 1, rest).alias("_rest")
+    df = df.selectExpr(
+        "*",
+        f"CASE WHEN _usual IS NULL THEN split(CASE _tag WHEN 'bracket' THEN {times.bracket_fields('_time', bracket_formats)} "
+        f"WHEN 'access' THEN {times.access_fields('_time')} WHEN 'rfc3164' THEN {times.yearless_fields('_time', as_of.year)} "
+        f"ELSE {times.iso_fields('_time')} END, '\n') END AS _t",
     )
-    df = df.select("*", times.instant("_t").alias("_ts"))
-    df = df.select("*", F.when(F.col("_ts").isNull(), F.get(times.instants("_rest"), F.lit(0))).alias("_alt"))
-    rt = F.try_element_at("_map", F.lit("rt"))
-    rt = F.when(is_("cef") & rt.rlike(r"\A\d+\z"), rt.try_cast("bigint"))
-    epoch = F.when(rt.between(0, 253402300799999), F.timestamp_millis(rt))
-    last_year = is_("rfc3164") & (F.col("_ts") > F.lit(as_of + timedelta(days=1)))
-    ts = F.when(last_year, F.col("_ts") - F.make_ym_interval(F.lit(1), F.lit(0))).otherwise(
-        F.coalesce(F.col("_ts"), F.col("_alt.ts"), epoch)
+    df = df.selectExpr(
+        "*",
+        f"CASE WHEN _usual IS NOT NULL THEN try_cast(_usual AS timestamp) ELSE {times.instant('_t')} END AS _ts",
     )
-    naive = (
-        F.when(F.col("_ts").isNotNull(), ~other & times.is_naive("_t"))
-        .when(F.col("_alt").isNotNull(), F.col("_alt.naive"))
-        .when(epoch.isNotNull(), False)
+    later = f"filter(array({kv_times}), x -> x IS NOT NULL)"
+    rt = "try_element_at(_map, 'rt')"
+    df = df.selectExpr(
+        "*",
+        f"CASE WHEN _ts IS NULL AND _low IS NOT NULL AND _time IS NOT NULL THEN {times.first_instant(later)} END AS _alt",
+        f"CASE WHEN _tag = 'cef' AND {rt} RLIKE '^[0-9]+$' THEN try_cast({rt} AS bigint) END AS _rt",
+        f"upper(CASE WHEN _tag = 'bracket' THEN _p[3] WHEN _tag = 'jsonl' THEN {json_lines.string_only('_jl')} END) AS _name",
     )
-
-    name = F.upper(F.when(is_("bracket"), p(3)).otherwise(json_lines.string_only(F.col("_jl"))))
+    latest = (as_of + timedelta(days=1)).astimezone(UTC).strftime("%Y-%m-%d %H:%M:%S.%fZ")
     level = (
-        F.when(syslog, levels.pri_level(p(2).try_cast("int")))
-        .when(is_("access"), levels.status_level(p(5).try_cast("int")))
-        .when(is_("bracket", "jsonl"), F.when(name.isin(*fixed.LEVELS), name).otherwise("UNKNOWN"))
-        .when(is_("cef"), levels.cef_level(p(8)))
-        .when(kv_line, kv.kv_level(F.col("_low"), kv_level_keys))
-        .when(is_("loose"), p(2))
+        f"CASE WHEN {syslog} THEN {levels.pri_level('cast(_p[2] AS int)')} "
+        f"WHEN _tag = 'access' THEN {levels.status_level('cast(_p[5] AS int)')} "
+        f"WHEN _tag IN ('bracket', 'jsonl') THEN CASE WHEN _name IN ({lits(fixed.LEVELS)}) THEN _name ELSE 'UNKNOWN' END "
+        f"WHEN _tag = 'cef' THEN {levels.cef_level('_p[8]')} WHEN _tag = 'loose' THEN _p[2] "
+        f"WHEN {kv_line} THEN {kv.kv_level('_low', kv_level_keys)} {f'ELSE {hit_level}' if hit_level else ''} END"
     )
-    if hit_level is not None:
-        level = F.coalesce(level, F.col(hit_level))
-    df = _evaluate_once(
-        df, keep, ts=ts, ts_naive=naive, level=level, _p=F.col("_p"), _map=F.col("_map"),
-        _kvm=kv.kv_message(F.col("_low"), kv_message_keys), _jm=F.col("_jm"),
+    df = df.selectExpr(
+        *keep, "_p", "_tag", "_map", "_jm",
+        f"CASE WHEN _tag = 'rfc3164' AND _ts > TIMESTAMP '{latest}' THEN _ts - INTERVAL '1' YEAR "
+        "ELSE coalesce(_ts, _alt.ts, CASE WHEN _rt BETWEEN 0 AND 253402300799999 THEN timestamp_millis(_rt) END) END AS ts",
+        "CASE WHEN _ts IS NULL THEN _alt.naive WHEN _tag IN ('bracket', 'access', 'rfc3164') THEN false "
+        f"WHEN _usual IS NULL THEN {times.is_naive('_t')} ELSE {times.iso_is_naive('_time')} END AS _naive",
+        f"{level} AS level",
+        f"CASE WHEN _low IS NOT NULL THEN {kv.kv_message('_low', kv_message_keys)} END AS _kvm",
     )
+    df = _evaluate_once(df, keep, "_p", "_tag", "_map", "_jm", "ts", "_naive", "level", "_kvm")
 
     # Message and extras, computed only for the rows that pass the filters above.
-    pri, size, text = p(2).try_cast("int"), integer_text(p(6)), strip(p(6))
-    app = F.when(is_("rfc3164"), strip(p(5))).otherwise(p(5))
+    app = f"CASE WHEN _tag = 'rfc3164' THEN {strip('_p[5]')} ELSE _p[5] END"
+    line = f"({strip('line')})"
     message = (
-        F.when(syslog, F.concat(p(4), F.lit(" "), app, F.when(text != "", F.concat(F.lit(": "), text)).otherwise("")))
-        .when(
-            is_("access"),
-            F.concat(
-                p(2), F.lit(' "'), p(4), F.lit('" -> '), p(5).try_cast("int").cast("string"),
-                F.coalesce(F.concat(F.lit(" ("), size, F.lit(" bytes)")), F.lit("")),
-            ),
-        )
-        .when(is_("bracket"), strip(p(4)))
-        .when(is_("jsonl"), F.coalesce(json_lines.as_text(F.col("_jm")), strip(line)))
-        .when(is_("cef"), F.coalesce(F.col("_kvm"), F.nullif(p(7), F.lit("")), strip(line)))
-        .otherwise(F.coalesce(F.col("_kvm"), strip(line)))
+        f"CASE WHEN {syslog} THEN concat(_p[4], ' ', {app}, CASE WHEN _p[6] = '' THEN '' ELSE concat(': ', _p[6]) END) "
+        f"WHEN _tag = 'access' THEN concat(_p[2], ' \"', _p[4], '\" -> ', cast(cast(_p[5] AS int) AS string), "
+        f"coalesce(concat(' (', {integer_text('_p[6]')}, ' bytes)'), '')) WHEN _tag = 'bracket' THEN _p[4] "
+        f"WHEN _tag = 'jsonl' THEN coalesce({json_lines.as_text('_jm')}, {line}) "
+        f"WHEN _tag = 'cef' THEN coalesce(_kvm, CASE WHEN _p[7] <> '' THEN _p[7] END, {line}) "
+        f"ELSE coalesce(_kvm, {line}) END"
     )
-    header = dict(zip(("version", "device_vendor", "device_product", "device_version", "signature_id", "name", "severity"), range(2, 9)))
-    meta = F.when(
-        syslog | kv_line | is_("cef"),
-        F.struct(
-            F.when(
-                syslog,
-                F.struct(
-                    pri.alias("pri"), (pri % 8).alias("severity"), F.shiftright(pri, 3).alias("facility"),
-                    p(4).alias("host"), app.alias("app"),
-                ),
-            ).alias("syslog"),
-            F.when(
-                is_("cef"),
-                F.struct(*[p(i).alias(n) for n, i in header.items()], F.col("_map").alias("extension")),
-            ).alias("cef"),
-            F.when(is_("logfmt"), F.col("_map")).alias("logfmt"),
-            F.when(is_("ltsv"), F.col("_map")).alias("ltsv"),
-        ),
+    pri = "cast(_p[2] AS int)"
+    header = ("version", "device_vendor", "device_product", "device_version", "signature_id", "name", "severity")
+    meta = (
+        f"CASE WHEN {syslog} OR {kv_line} OR _tag = 'cef' THEN struct("
+        f"CASE WHEN {syslog} THEN struct({pri} AS pri, {pri} % 8 AS severity, shiftright({pri}, 3) AS facility, "
+        f"_p[4] AS host, {app} AS app) END AS syslog, "
+        f"CASE WHEN _tag = 'cef' THEN struct({', '.join(f'_p[{i}] AS {n}' for i, n in enumerate(header, 2))}, _map AS extension) END AS cef, "
+        "CASE WHEN _tag = 'logfmt' THEN _map END AS logfmt, CASE WHEN _tag = 'ltsv' THEN _map END AS ltsv) END"
     )
-    return df.select(
-        "file", F.col("line_no").cast("bigint").alias("line_no"),
-        F.when(syslog, "syslog").otherwise(tag).alias("fmt"), "ts", "ts_naive", "level",
-        message.alias("message"), line.alias("raw"), meta.alias("meta"), *carry,
+    return df.selectExpr(
+        "file", "cast(line_no AS bigint) AS line_no", f"CASE WHEN {syslog} THEN 'syslog' ELSE _tag END AS fmt",
+        "ts", "CASE WHEN ts IS NOT NULL THEN coalesce(_naive, false) END AS ts_naive", "level",
+        f"{message} AS message", "line AS raw", f"{meta} AS meta", *carry,
     )

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark import fixed
 from logspark.functions.levels import pri_level, status_level
-from logspark.functions.text import ascii_upper, first_match
+from logspark.functions.text import ascii_upper, first_match, lit
 from logspark.session import lookup_side, written_table
 
 _ASCII_BLANKS = " \t\n\r\x0b\x0c"
-_WARN_OR_WORSE = ("WARNING", "ERROR", "CRITICAL")
 
 
 def sniff_formats(
@@ -46,26 +45,22 @@ def sniff_formats(
 
 
 def hit_level(
-    detected: Column,
-    line: Column,
-    upper: Column,
-    tokens: Mapping[str, Iterable[str]] = fixed.SCAN_TOKENS,
-    case_insensitive: bool = True,
-) -> Column:
-    """Level the prefilter gives a line, NULL when the line is no candidate."""
-    status = F.regexp_extract(line, fixed.SNIFF_ACCESS.removesuffix(r"\s+") + r"(?:\s|$)", 1)
-    http = F.nullif(status_level(F.nullif(status, F.lit("")).try_cast("int")), F.lit("INFO"))
-    pri = pri_level(F.nullif(F.regexp_extract(line, fixed.SNIFF_SYSLOG, 1), F.lit("")).try_cast("int"))
+    tokens: Mapping[str, Iterable[str]] = fixed.SCAN_TOKENS, case_insensitive: bool = True
+) -> str:
+    """Level the prefilter gives a line, NULL when the line is no candidate.
+
+    Reads the columns `detected`, `line` and `_up` (the upper-cased line).
+    """
+    access = lit(fixed.SNIFF_ACCESS.removesuffix(r"\s+") + r"(?:\s|$)")
+    status = f"try_cast(regexp_extract(line, {access}, 1) AS int)"
+    pri = f"try_cast(regexp_extract(line, {lit(fixed.SNIFF_SYSLOG)}, 1) AS int)"
     ladder = {
         level: [t.upper() if case_insensitive else t for t in tokens.get(level, ())] for level in fixed.LEVELS
     }
     return (
-        F.when(detected == "access", http)
-        .when(
-            detected == "syslog",
-            F.when(line.rlike(fixed.SNIFF_SYSLOG) & pri.isin(*_WARN_OR_WORSE), pri),
-        )
-        .otherwise(first_match(ladder, upper if case_insensitive else line))
+        f"CASE WHEN detected = 'access' THEN nullif({status_level(status)}, 'INFO') "
+        f"WHEN detected = 'syslog' THEN CASE WHEN {pri} % 8 <= 4 THEN {pri_level(pri)} END "
+        f"ELSE {first_match(ladder, '_up' if case_insensitive else 'line')} END"
     )
 
 
@@ -99,7 +94,7 @@ def scan_hits(
         "file", "line_no", "line", "detected",
         F.when(name.isin("access", "syslog"), F.lit(None).cast("string")).otherwise(ascii_upper(line)).alias("_up"),
     )
-    level = hit_level(name, line, F.col("_up"), tokens, case_insensitive)
+    level = F.expr(hit_level(tokens, case_insensitive))
     if pass_unknown:
         level = F.when(name != "unknown", level)
     out = out.select("file", "line_no", level.alias("hit_level"), "line", "detected")

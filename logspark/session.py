@@ -16,11 +16,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     UTC is the zone of every text rendering; LAST_WIN and duplicate JSON keys give "last value
     wins"; a fixed minimum split number makes a file scan cut its files the same way each time it
-    is planned, also when executors come and go in between (line numbers depend on that).
+    is planned, also when executors come and go in between (line numbers depend on that). The last
+    two are for speed: plain Java case mapping has an ASCII fast path, and a generated method
+    above 8000 bytes would never be compiled by the JVM, so such stages run operator by operator.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.icu.caseMappings.enabled", "false")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return spark
