@@ -112,7 +112,7 @@ def _parse(name: str) -> str:
         extra = (
             ", '0' AS m_version, 'Acme' AS m_device_vendor, 'Gate' AS m_device_product, '1.' || (user_id % 3) AS m_device_version, "
             f"CAST(event_id AS VARCHAR) AS m_signature_id, event_type || ' seen' AS m_name, {_CEF_SEV} AS m_severity, "
-            "'{\"src\":\"10.0.0.' || (user_id % 250) || '\",\"rt\":\"' || epoch_ms(ts) || '\"' "
+            "'{\"src\":\"10.0.0.' || (user_id % 250) || '\",\"rt\":\"' || (epoch_us(ts) // 1000) || '\"' "
             "|| CASE WHEN event_id % 2 = 0 THEN ',\"msg\":\"done_' || cents || '\"' ELSE '' END || '}' AS m_extension"
         )
     elif name in _META:

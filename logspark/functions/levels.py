@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from logspark.functions.text import integer_text, strip
+from logspark.fixed import LEVELS
+from logspark.functions.text import integer_text, lit, strip
 
 # Level by syslog severity (PRI modulo 8) and by CEF severity 0 to 9 (9 and above).
 PRI_LEVELS = ("CRITICAL", "CRITICAL", "CRITICAL", "ERROR", "WARNING", "INFO", "DEBUG", "DEBUG")
@@ -31,3 +32,9 @@ def cef_level(severity: str) -> str:
 CASE WHEN {severity} RLIKE '^[0-9]$' THEN get({_array(CEF_LEVELS)}, cast({severity} AS int))
      WHEN {text} IS NULL THEN 'UNKNOWN' WHEN char_length({text}) > 9 THEN {large}
      ELSE get({_array(CEF_LEVELS)}, greatest(0, least(9, cast({text} AS int)))) END"""
+
+
+def exact_level(name: str) -> str:
+    """A level given by its exact name in any letter case; UNKNOWN for all other names and none."""
+    known = ", ".join(f"{lit(n)}, {lit(n)}" for n in LEVELS)
+    return f"coalesce(try_element_at(map({known}), upper({name})), 'UNKNOWN')"

@@ -122,13 +122,6 @@ def is_naive(fields: str) -> str:
     return f"get({fields}, 11) = ''"
 
 
-def first_instant(texts: str) -> str:
-    """(ts, naive) of the first ISO text in an array that is a real time."""
-    lists = f"transform({texts}, s -> split({iso_fields('s')}, '\n'))"
-    pairs = f"transform({lists}, q -> struct({instant('q')} AS ts, {is_naive('q')} AS naive))"
-    return f"get(filter({pairs}, x -> x.ts IS NOT NULL), 0)"
-
-
 # The usual notations, written with full digits: cast as they are, `Z` added where there is no zone.
 _USUAL_DAY, _USUAL_CLOCK = r"(?!0000)\d{4}-\d\d-\d\d", r"\d\d:\d\d:\d\d"
 _USUAL_ISO = rf"\A{_USUAL_DAY}[T ]{_USUAL_CLOCK}(?:\.\d{{1,6}})?(?:Z|[+-](?:0\d|1[0-7]):[0-5]\d)?\z"
@@ -178,6 +171,14 @@ def usual_yearless(text: str, year: int) -> str:
     return f"CASE WHEN {text} RLIKE {lit(_USUAL_YEARLESS)} THEN concat({date}, ' ', {part(8, 8)}, 'Z') END"
 
 
+def first_instant(texts: str) -> str:
+    """(ts, naive) of the first ISO text in an array that is a real time."""
+    usual = f"struct(try_cast({usual_iso('s')} AS timestamp) AS ts, {iso_is_naive('s')} AS naive)"
+    other = f"transform(array(split({iso_fields('s')}, '\n')), q -> struct({instant('q')} AS ts, {is_naive('q')} AS naive))"
+    one = f"CASE WHEN s RLIKE {lit(_USUAL_ISO)} THEN {usual} ELSE {other}[0] END"
+    return f"get(filter(transform({texts}, s -> {one}), x -> x.ts IS NOT NULL), 0)"
+
+
 def bracket_fields(text: str, formats) -> str:
     """Fields of the first format that fits; a rewritten text no longer fits the next one."""
     out = strip(text)

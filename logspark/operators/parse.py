@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from logspark import fixed
 from logspark.functions import json_lines, kv, levels, times
 from logspark.functions.text import fields_of, first_match, integer_text, lit, lits, strip, unicode_blanks
+from logspark.operators.once import evaluate_once
 
 ENTRY_COLUMNS = ("file", "line_no", "fmt", "ts", "ts_naive", "level", "message", "raw", "meta")
 ENTRY_SCHEMA = (
@@ -39,17 +40,6 @@ _BRACKET = unicode_blanks(fixed.BRACKET.replace(r"\s+", r"\s++").replace(r"(?<ms
 _CEF = unicode_blanks(fixed.CEF)
 
 
-def _evaluate_once(df: DataFrame, keep: Sequence[str], *columns: str) -> DataFrame:
-    """Fix computed columns so that filters above never copy their expressions below.
-
-    A filter on a plain projected column is pushed through the projection, which would run the
-    regexes behind that column again for the filter. A generator output is computed once; filters
-    on the columns in `keep` (file, line number) still move below it.
-    """
-    df = df.selectExpr(*keep, f"explode(array(struct({', '.join(columns)}))) AS _x")
-    return df.selectExpr(*keep, *[f"_x.{c} AS {c}" for c in columns])
-
-
 def _recognise(df: DataFrame, keep: Sequence[str], formats: Sequence[str], keywords: Mapping) -> DataFrame:
     """Add `_tag`, `_p` (fields of the accepted format, NULL if none), `_json` and `_kv`."""
     todo = "NOT startswith(_m, '\n')"
@@ -93,7 +83,7 @@ def _recognise(df: DataFrame, keep: Sequence[str], formats: Sequence[str], keywo
         else:
             raise ValueError(f"unknown format {name!r}; known: {', '.join(fixed.FORMATS)}")
     df = df.selectExpr(*keep, f"CASE WHEN {todo} THEN NULL ELSE split(_m, '\n') END AS _p", "_json", "_kv")
-    return _evaluate_once(df, keep, "_p", "_json", "_kv")
+    return evaluate_once(df, keep, "_p", "_json", "_kv")
 
 
 def parse_entries(
@@ -152,56 +142,60 @@ def parse_entries(
     )
     df = df.selectExpr("*", f"{kv.lower_keys('_map')} AS _low")
 
-    # Time: the text, the usual notations cast directly, all others by way of a field list.
+    # What the key/value and JSON fields say, and the text of the time.
     kv_times = kv.kv_values("_low", kv_time_keys)
+    rt = "try_element_at(_map, 'rt')"
+    level = (
+        f"CASE WHEN {syslog} THEN {levels.pri_level('cast(_p[2] AS int)')} "
+        f"WHEN _tag = 'access' THEN {levels.status_level('cast(_p[5] AS int)')} "
+        f"WHEN _tag = 'bracket' THEN {levels.exact_level('_p[3]')} "
+        f"WHEN _tag = 'jsonl' THEN {levels.exact_level(json_lines.string_only('_jl'))} "
+        f"WHEN _tag = 'cef' THEN {levels.cef_level('_p[8]')} WHEN _tag = 'loose' THEN _p[2] "
+        f"WHEN {kv_line} THEN {kv.kv_level('_low', kv_level_keys)} {f'ELSE {hit_level}' if hit_level else ''} END"
+    )
     df = df.selectExpr(
-        "*",
+        *keep, "_p", "_tag", "_map", "_jm", f"{level} AS level",
+        f"CASE WHEN _low IS NOT NULL THEN {kv.kv_message('_low', kv_message_keys)} END AS _kvm",
         f"CASE WHEN _tag = 'bracket' THEN _p[2] WHEN _tag IN ('rfc5424', 'rfc3164', 'access') THEN _p[3] "
-        f"WHEN _tag = 'jsonl' THEN {json_lines.string_only('_jt')} ELSE coalesce({kv_times}) END AS _time",
+        f"WHEN _tag = 'jsonl' THEN {json_lines.string_only('_jt')} "
+        f"WHEN _low IS NOT NULL THEN coalesce({kv_times}) END AS _time",
+        f"CASE WHEN _low IS NOT NULL THEN filter(array({kv_times}), x -> x IS NOT NULL) END AS _times",
+        f"CASE WHEN _tag = 'cef' AND {rt} RLIKE '^[0-9]+$' THEN try_cast({rt} AS bigint) END AS _rt",
     )
+
+    # The usual notations are cast directly, all others go by way of a field list.
+    carried = [*keep, "_p", "_tag", "_map", "_jm", "level", "_kvm"]
     df = df.selectExpr(
-        "*",
+        *carried, "_time", "_times", "_rt",
         f"CASE _tag WHEN 'bracket' THEN {times.usual_bracket('_time', bracket_formats)} "
         f"WHEN 'access' THEN {times.usual_access('_time')} "
         f"WHEN 'rfc3164' THEN {times.usual_yearless('_time', as_of.year)} "
         f"ELSE {times.usual_iso('_time')} END AS _usual",
     )
+    zoned = "_tag IN ('bracket', 'access', 'rfc3164')"
     df = df.selectExpr(
-        "*",
+        *carried, "_times", "_rt", "_usual", f"NOT {zoned} AND {times.iso_is_naive('_time')} AS _naive",
         f"CASE WHEN _usual IS NULL THEN split(CASE _tag WHEN 'bracket' THEN {times.bracket_fields('_time', bracket_formats)} "
         f"WHEN 'access' THEN {times.access_fields('_time')} WHEN 'rfc3164' THEN {times.yearless_fields('_time', as_of.year)} "
         f"ELSE {times.iso_fields('_time')} END, '\n') END AS _t",
     )
     df = df.selectExpr(
-        "*",
-        f"CASE WHEN _usual IS NOT NULL THEN try_cast(_usual AS timestamp) ELSE {times.instant('_t')} END AS _ts",
-    )
-    later = f"filter(array({kv_times}), x -> x IS NOT NULL)"
-    rt = "try_element_at(_map, 'rt')"
-    df = df.selectExpr(
-        "*",
-        f"CASE WHEN _ts IS NULL AND _low IS NOT NULL AND _time IS NOT NULL THEN {times.first_instant(later)} END AS _alt",
-        f"CASE WHEN _tag = 'cef' AND {rt} RLIKE '^[0-9]+$' THEN try_cast({rt} AS bigint) END AS _rt",
-        f"upper(CASE WHEN _tag = 'bracket' THEN _p[3] WHEN _tag = 'jsonl' THEN {json_lines.string_only('_jl')} END) AS _name",
+        *carried, "_times", "_rt",
+        f"CASE WHEN _usual IS NULL THEN {times.instant('_t')} ELSE try_cast(_usual AS timestamp) END AS _ts",
+        f"CASE WHEN _usual IS NULL THEN NOT {zoned} AND {times.is_naive('_t')} ELSE _naive END AS _naive",
     )
     latest = (as_of + timedelta(days=1)).astimezone(UTC).strftime("%Y-%m-%d %H:%M:%S.%fZ")
-    level = (
-        f"CASE WHEN {syslog} THEN {levels.pri_level('cast(_p[2] AS int)')} "
-        f"WHEN _tag = 'access' THEN {levels.status_level('cast(_p[5] AS int)')} "
-        f"WHEN _tag IN ('bracket', 'jsonl') THEN CASE WHEN _name IN ({lits(fixed.LEVELS)}) THEN _name ELSE 'UNKNOWN' END "
-        f"WHEN _tag = 'cef' THEN {levels.cef_level('_p[8]')} WHEN _tag = 'loose' THEN _p[2] "
-        f"WHEN {kv_line} THEN {kv.kv_level('_low', kv_level_keys)} {f'ELSE {hit_level}' if hit_level else ''} END"
+    df = df.selectExpr(
+        *carried, "_rt", "_ts", "_naive",
+        f"CASE WHEN _ts IS NULL AND size(_times) > 1 THEN {times.first_instant('_times')} END AS _alt",
     )
     df = df.selectExpr(
-        *keep, "_p", "_tag", "_map", "_jm",
+        *carried,
         f"CASE WHEN _tag = 'rfc3164' AND _ts > TIMESTAMP '{latest}' THEN _ts - INTERVAL '1' YEAR "
         "ELSE coalesce(_ts, _alt.ts, CASE WHEN _rt BETWEEN 0 AND 253402300799999 THEN timestamp_millis(_rt) END) END AS ts",
-        "CASE WHEN _ts IS NULL THEN _alt.naive WHEN _tag IN ('bracket', 'access', 'rfc3164') THEN false "
-        f"WHEN _usual IS NULL THEN {times.is_naive('_t')} ELSE {times.iso_is_naive('_time')} END AS _naive",
-        f"{level} AS level",
-        f"CASE WHEN _low IS NOT NULL THEN {kv.kv_message('_low', kv_message_keys)} END AS _kvm",
+        "CASE WHEN _ts IS NOT NULL THEN _naive ELSE _alt.naive END AS _naive",
     )
-    df = _evaluate_once(df, keep, "_p", "_tag", "_map", "_jm", "ts", "_naive", "level", "_kvm")
+    df = evaluate_once(df, keep, "_p", "_tag", "_map", "_jm", "ts", "_naive", "level", "_kvm")
 
     # Message and extras, computed only for the rows that pass the filters above.
     app = f"CASE WHEN _tag = 'rfc3164' THEN {strip('_p[5]')} ELSE _p[5] END"

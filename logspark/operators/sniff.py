@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logspark import fixed
 from logspark.functions.levels import pri_level, status_level
 from logspark.functions.text import ascii_upper, first_match, lit
+from logspark.operators.once import evaluate_once
 from logspark.session import lookup_side, written_table
 
 _ASCII_BLANKS = " \t\n\r\x0b\x0c"
@@ -90,13 +91,13 @@ def scan_hits(
     if detected is None:
         detected = sniff_formats(lines, sample_lines)
     line, name = F.col("line"), F.col("detected")
-    out = with_detected(lines, detected).select(
-        "file", "line_no", "line", "detected",
-        F.when(name.isin("access", "syslog"), F.lit(None).cast("string")).otherwise(ascii_upper(line)).alias("_up"),
-    )
-    level = F.expr(hit_level(tokens, case_insensitive))
+    upper = F.when(~name.isin("access", "syslog"), ascii_upper(line)).alias("_up")
+    out = with_detected(lines, detected).select("file", "line_no", "line", "detected", upper)
+    level = hit_level(tokens, case_insensitive)
     if pass_unknown:
-        level = F.when(name != "unknown", level)
-    out = out.select("file", "line_no", level.alias("hit_level"), "line", "detected")
+        level = f"CASE WHEN detected <> 'unknown' THEN {level} END"
+    out = out.selectExpr("file", "line_no", "line", "detected", f"{level} AS hit_level")
+    out = evaluate_once(out, ["file", "line_no", "line", "detected"], "hit_level")
     keep = F.col("hit_level").isNotNull()
-    return out.where(keep | (name == "unknown") if pass_unknown else keep).drop("detected")
+    out = out.where(keep | (name == "unknown") if pass_unknown else keep)
+    return out.select("file", "line_no", "hit_level", "line")
