@@ -16,9 +16,10 @@ from logspark.functions.text import fields_of, lit, strip
 
 N_FIELDS = 16  # a leading empty field, then the 15 named above
 
+# Minutes, seconds and a fraction, which may follow hours and minutes too.
 _CLOCK = (
-    r"(?::(?<Pia>\d\d)(?::(?<Psa>\d\d)(?:[.,](?<Pfa>\d++))?)?"
-    r"|(?<Pib>\d\d)(?:(?<Psb>\d\d)(?:[.,](?<Pfb>\d++))?)?)?"
+    r"(?::(?<Pia>\d\d)(?::(?<Psa>\d\d))?|(?<Pib>\d\d)(?<Psb>\d\d)?)?"
+    r"(?:[.,](?<Pfa>\d++)|(?<=:\d\d:\d\d):(?<Pfb>\d++))?"
 )
 _ISO = (
     r"(?s)\A(?<y>\d{4})"
