@@ -39,18 +39,17 @@ def segments(entries: DataFrame, *, max_lines: int = fixed.SEGMENT_LINES, redact
     """Runs of `max_lines` consecutive review entries of a file, in line order.
 
     `file, segment_id, first_line, last_line, n_lines, text, text_sha256`. Entries are spread by ranges of
-    line numbers; the rank inside a range plus the number of entries in the ranges before it (a small
-    per-range table from the same shuffle) is the entry's place in its file.
+    line numbers; the rank inside a range plus the number of entries in the ranges before it is the
+    entry's place in its file. Those counts are a pass of their own over two columns, combined before
+    they are shuffled, so `entries` should be a table and not a parse still to be done.
     """
     if max_lines < 1:
         raise ValueError("max_lines must be at least 1")
     text = line_text()
-    rows = entries.select(
-        "file", "line_no", F.floor((F.col("line_no") - 1) / RANGE_LINES).alias("range"),
-        (redact_text(text) if redacted else text).alias("text"),
-    ).repartition("file", "range")
+    line_range = F.floor((F.col("line_no") - 1) / RANGE_LINES).alias("range")
+    rows = entries.select("file", "line_no", line_range, (redact_text(text) if redacted else text).alias("text"))
 
-    ranges = rows.groupBy("file", "range").agg(F.count("text").alias("n"), F.max("line_no").alias("last"))
+    ranges = rows.groupBy("file", "range").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select("file", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
 

@@ -133,10 +133,14 @@ def review_dataset(
     hours_lookback: int | None = None,
     **options,
 ) -> DataFrame:
-    """Segments, with prompts, of the entries that carry no identified level."""
+    """Segments, with prompts, of the entries that carry no identified level.
+
+    The review entries are written once to the shared folder, so that no line is parsed twice.
+    """
     identified = list(identified_levels)
     found = _review_entries(lines, identified, exclude, hours_lookback=hours_lookback, **options)
     _, rest = review.split_entries(found, identified)
+    rest = written_table(rest.select("file", "line_no", "ts", "ts_naive", "level", "message"), "review-entries")
     segments = review.segments(rest, max_lines=segment_max_lines, redacted=redact)
     return review.prompts(review.dedup_segments(segments), identified)
 
