@@ -218,6 +218,7 @@ SELECT event_id, '{{"timestamp":"' || {EXPECT['logfmt'][1]} || {_BODY.format(lev
   || ',"meta":{{"logfmt":' || {_META['logfmt']} || '}}}}' FROM e WHERE event_id % 3 = 1
 UNION ALL
 SELECT event_id, '{{"timestamp":null' || substring({_BODY.format(level='lvl', message=_LOOSE)}, 2) || '}}' FROM e WHERE event_id % 3 = 2""",
+    "written_entries": f"{_E} SELECT file, line_no, lvl AS level, msg AS message, true AS in_order FROM e",
     "redact_documents": f"""
 WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
 SELECT doc_id, line_no, {_redacted('line')} AS text FROM d""",

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import logspark as ls
 from catalog import render
 from logspark.fixed import FORMATS
 from logspark.functions.times import iso_text
+from logspark.session import shared_dir
 
 AS_OF = datetime(2024, 1, 15, 12, tzinfo=UTC)
 WINDOWS = {
@@ -140,14 +142,24 @@ def exclude_lines(spark, sf_dir):
 
 def payload(spark, sf_dir):
     parsed = ls.parse_entries(render.lines(spark, sf_dir, "payload"), as_of=AS_OF)
-    out = ls.to_payload(parsed, include_raw=False)
-    return ls.in_line_order(out).select(F.col("line_no").alias("event_id"), "payload")
+    return ls.to_payload(parsed, include_raw=False).select(F.col("line_no").alias("event_id"), "payload")
+
+
+def written_entries(spark, sf_dir):
+    """The ordered sink, read back: the place of a row among the written ones follows file and line."""
+    path = f"{shared_dir(spark)}/out-{uuid.uuid4().hex}"
+    ls.write_entries(_bracket_entries(spark, sf_dir).select("file", "line_no", "level", "message"), path, format="parquet")
+    found = spark.read.parquet(path).select(
+        render.file_key().alias("file"), "line_no", "level", "message", F.monotonically_increasing_id().alias("place")
+    )
+    behind = F.lag("place").over(Window.partitionBy("file").orderBy("line_no"))
+    return found.withColumn("in_order", F.coalesce(F.col("place") > behind, F.lit(True))).drop("place")
 
 
 def redact_documents(spark, sf_dir):
     ls.prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = render.spread(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     return ls.redact(rows.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "text"))
 
 
@@ -221,7 +233,7 @@ CASE event_id % 10 WHEN 0 THEN 'no json' WHEN 1 THEN '{{"findings":[]}}' WHEN 2
 
 
 def _responses(spark, sf_dir):
-    return render.events(spark, sf_dir).select(
+    return render.spread(render.events(spark, sf_dir)).select(
         F.col("event_type").alias("file"), F.col("event_id").alias("segment_id"), F.expr(_RESPONSE).alias("response")
     )
 
@@ -328,6 +340,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "contains": contains,
     "exclude_lines": exclude_lines,
     "payload": payload,
+    "written_entries": written_entries,
     "redact_documents": redact_documents,
     "segments": segments,
     "segments_dedup": segments_dedup,

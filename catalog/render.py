@@ -77,9 +77,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_BASE, events=raw)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table stored in fewer pieces than there are cores, spread over them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Rendered lines without a detour over files; the event id is the line number."""
-    return events(spark, sf_dir).select(
+    return spread(events(spark, sf_dir)).select(
         F.col("event_type").alias("file"), F.col("event_id").alias("line_no"), F.expr(LINE[name]).alias("line")
     )
 

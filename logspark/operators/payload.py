@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions.times import iso_text
+from logspark.session import written_table
 
 
 def to_payload(entries: DataFrame, *, include_raw: bool = False) -> DataFrame:
@@ -38,5 +39,9 @@ def in_line_order(df: DataFrame) -> DataFrame:
 
 
 def write_entries(entries: DataFrame, path: str, *, format: str = "json", mode: str = "error") -> None:
-    """Write entries in line order; their number is `count(*)` over the written table."""
-    in_line_order(entries).write.mode(mode).format(format).save(path)
+    """Write entries in line order; their number is `count(*)` over the written table.
+
+    A range shuffle reads its input twice, once to sample the order. So the entries are stored first:
+    both reads then see the found rows, and the logs are parsed once.
+    """
+    in_line_order(written_table(entries, "unordered")).write.mode(mode).format(format).save(path)

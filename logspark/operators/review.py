@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark import fixed
+from logspark.functions.json_lines import string_only
 from logspark.functions.redaction import redact_text
+from logspark.functions.text import lits
 from logspark.functions.times import iso_text
+from logspark.operators.once import evaluate_once
 
 # Lines of one file are ranked inside ranges of this many line numbers, so that no task holds a file.
 RANGE_LINES = 65536
@@ -117,46 +120,38 @@ def parse_findings(responses: DataFrame) -> DataFrame:
     A response is valid when it is an object whose findings (none is fine) all have whole line
     numbers, a known severity, a confidence from 0 to 1 and three texts. `findings` is NULL otherwise.
     """
-    kind = F.schema_of_variant
-    get = F.try_variant_get
-    v = F.col("_v")
-
-    def text(f: Column, key: str) -> Column:
-        value = get(f, f"$.{key}", "variant")
-        return F.when(kind(value) == "STRING", get(value, "$", "string"))
-
-    def whole(n: Column) -> Column:
-        return F.when(get(n, "$", "double") == F.floor(get(n, "$", "double")), get(n, "$", "bigint"))
-
-    def finding(f: Column) -> Column:
-        numbers = F.transform(get(f, "$.line_numbers", "array<variant>"), whole)
-        severity, confidence = text(f, "severity_guess"), get(f, "$.confidence", "double")
-        texts = [text(f, k) for k in ("title", "rationale", "recommendation")]
-        good = (
-            numbers.isNotNull() & ~F.exists(numbers, lambda n: n.isNull())
-            & severity.isin(*fixed.FINDING_SEVERITIES) & confidence.between(0, 1)
-            & texts[0].isNotNull() & texts[1].isNotNull() & texts[2].isNotNull()
-        )
-        return F.when(
-            good,
-            F.struct(
-                numbers.alias("line_numbers"), severity.alias("severity_guess"),
-                confidence.alias("confidence"), texts[0].alias("title"),
-                texts[1].alias("rationale"), texts[2].alias("recommendation"),
-            ),
-        )
-
-    is_object = kind(v).startswith("OBJECT")
-    listed = get(v, "$.findings", "variant")
-    items = F.transform(get(listed, "$", "array<variant>"), finding)
-    empty = F.from_json(F.lit("[]"), "array<struct<line_numbers:array<bigint>,severity_guess:string,confidence:double,title:string,rationale:string,recommendation:string>>")
-    found = F.when(is_object & listed.isNull(), empty).when(
-        is_object & ~F.exists(items, lambda i: i.isNull()), items
+    def text(f: str, key: str) -> str:
+        value = f"try_variant_get({f}, '$.{key}', 'variant')"
+        return f"transform(array({value}), v -> {string_only('v')})[0]"
+
+    # Each step is a column of its own, so that no variant is taken apart twice.
+    whole = (
+        "transform(transform(try_variant_get(f, '$.line_numbers', 'array<variant>'), n -> struct("
+        "try_variant_get(n, '$', 'double') AS d, try_variant_get(n, '$', 'bigint') AS b)), "
+        "n -> CASE WHEN n.d = floor(n.d) THEN n.b END)"
     )
-    parsed = responses.select("file", "segment_id", F.try_parse_json("response").alias("_v"))
-    return parsed.select("file", "segment_id", found.alias("findings")).withColumn(
-        "valid", F.col("findings").isNotNull()
+    fields = (
+        f"struct({whole} AS line_numbers, {text('f', 'severity_guess')} AS severity_guess, "
+        "try_variant_get(f, '$.confidence', 'double') AS confidence, "
+        f"{text('f', 'title')} AS title, {text('f', 'rationale')} AS rationale, {text('f', 'recommendation')} AS recommendation)"
     )
+    good = (
+        "x.line_numbers IS NOT NULL AND NOT exists(x.line_numbers, n -> n IS NULL) "
+        f"AND x.severity_guess IN ({lits(fixed.FINDING_SEVERITIES)}) AND x.confidence BETWEEN 0 AND 1 "
+        "AND x.title IS NOT NULL AND x.rationale IS NOT NULL AND x.recommendation IS NOT NULL"
+    )
+    parsed = responses.selectExpr("file", "segment_id", "try_parse_json(response) AS _v")
+    parsed = parsed.selectExpr(
+        "file", "segment_id", "startswith(schema_of_variant(_v), 'OBJECT') AS _object",
+        "try_variant_get(_v, '$.findings', 'variant') AS _f",
+    )
+    parsed = parsed.selectExpr(
+        "file", "segment_id", "_object AND _f IS NULL AS _none",
+        f"CASE WHEN _object THEN transform(try_variant_get(_f, '$', 'array<variant>'), f -> {fields}) END AS _items",
+    )
+    found = f"CASE WHEN _none THEN array() WHEN forall(_items, x -> {good}) THEN _items END AS findings"
+    parsed = evaluate_once(parsed.selectExpr("file", "segment_id", found), ["file", "segment_id"], "findings")
+    return parsed.withColumn("valid", F.col("findings").isNotNull())
 
 
 def keep_findings(parsed: DataFrame, *, min_confidence: float = fixed.MIN_CONFIDENCE) -> DataFrame:
