@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logspark.session import written_table
 
-__all__ = ["ascii_lower", "named", "pieces", "read_table", "running", "values", "written_table"]
+__all__ = ["ascii_lower", "let", "named", "pieces", "read_table", "running", "values", "written_table"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,19 +43,30 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, also inside other array functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running(items: Column, zero: Column, merge: Callable[[Column, Column], Column], block: int = 256) -> Column:
     """Running results of `merge` over an array, in blocks so that long arrays do not cost their square."""
     whole = lambda part: F.aggregate(part, zero, merge)
-    n_blocks = F.ceil(F.size(items) / block).cast("int")
-    numbers = F.when(F.size(items) > 0, F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array().cast("array<int>"))
-    sums = F.transform(numbers, lambda b: whole(F.slice(items, b * block + 1, F.lit(block))))
 
-    def inner(b: Column) -> Column:
-        own = F.slice(items, b * block + 1, F.lit(block))
-        before = whole(F.slice(sums, F.lit(1), b))
-        return F.transform(own, lambda _, i: merge(before, whole(F.slice(own, F.lit(1), i + 1))))
+    def over(held: Column) -> Column:
+        n_blocks = F.ceil(F.size(held) / block).cast("int")
+        numbers = F.when(F.size(held) > 0, F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array().cast("array<int>"))
+        blocks = F.transform(numbers, lambda b: F.slice(held, b * block + 1, F.lit(block)))
+
+        def each(blocks: Column, sums: Column) -> Column:
+            def inner(own: Column, b: Column) -> Column:
+                before = whole(F.slice(sums, F.lit(1), b))
+                return let(before, lambda past: F.transform(own, lambda _, i: merge(past, whole(F.slice(own, F.lit(1), i + 1)))))
+
+            return F.flatten(F.transform(blocks, inner))
+
+        return let(blocks, lambda bs: let(F.transform(bs, whole), lambda sums: each(bs, sums)))
 
-    return F.flatten(F.transform(numbers, inner))
+    return let(items, over)
 
 
 def pieces(text: Column, pattern: str) -> tuple[Column, Column]:

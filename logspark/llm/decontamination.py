@@ -14,7 +14,7 @@ from logspark.llm.byte_words import digits_only, hash_of, mix, word_hashes, word
 from logspark.llm.common import named, written_table
 
 #: Words of a window; share of an item's windows that make a leak; share of its slot pairs that must agree.
-WINDOW, COVERED, AGREE = 8, 0.5, 0.8
+WINDOW, COVERED, AGREE = 8, 0.5, 0.9
 #: Bits of the filter that keeps most of the corpus's windows out of the join.
 BLOOM = 24
 

@@ -15,7 +15,11 @@ from logspark.llm.common import named, written_table
 #: Labelled texts that the models are fitted on, about; every CHECK-th of them tells where to cut instead.
 SAMPLE, CHECK = 16_000, 4
 #: Buckets of n-grams; how many uses of the pooled model smooth each model; weight of a lost clean text at the cut.
-BUCKETS, SMOOTH, LOSS = 1 << 17, 2000.0, 4.0
+BUCKETS, SMOOTH, LOSS = 1 << 17, 500.0, 10.0
+#: Least G-squared statistic with which a bucket tells two models apart; others weigh nothing.
+EVIDENCE = 50.0
+#: Label of a target text, and of raw texts by what is wrong with them: each kind has a model of its own.
+TARGET, LOW, TOXIC = 0, 1, 2
 
 _SAME = np.uint64(0x1234567)
 
@@ -34,79 +38,98 @@ def features(text: str | None) -> np.ndarray:
 
 
 def _frequencies(docs: DataFrame) -> np.ndarray:
-    """Bucket counts by class (0 raw, 1 target): summed in each task, then over tasks; as large as the buckets."""
+    """Bucket counts by kind of text: summed in each task, then over tasks; as large as the buckets."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, BUCKETS))
+        sums = np.zeros((3, BUCKETS))
         for frame in frames:
-            for target, text in zip(frame["target"], frame["text"], strict=True):
-                sums[int(target)] += np.bincount(features(text), minlength=BUCKETS)
-        for side in (0, 1):
+            for kind, text in zip(frame["kind"], frame["text"], strict=True):
+                sums[int(kind)] += np.bincount(features(text), minlength=BUCKETS)
+        for side in range(3):
             full = np.flatnonzero(sums[side])
             yield pd.DataFrame({"side": side, "bucket": full, "n": sums[side, full]})
 
     rows = docs.mapInPandas(count, "side int, bucket int, n double").groupBy("side", "bucket").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros((2, BUCKETS))
+    out = np.zeros((3, BUCKETS))
     for side, bucket, n in rows:
         out[side, bucket] = n
     return out
 
 
+def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Log-ratio of two smoothed bag-of-n-gram models, 0 where the counts do not tell them apart."""
+    pooled = (target + raw) / (target.sum() + raw.sum())
+    smooth = [(c + SMOOTH * pooled) / (c.sum() + SMOOTH) for c in (target, raw)]
+    seen = pooled > 0
+    out, evidence = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    out[seen] = np.log(smooth[0][seen]) - np.log(smooth[1][seen])
+    for c in (target, raw):
+        some = c > 0
+        evidence[some] += 2 * c[some] * np.log(c[some] / (c.sum() * pooled[some]))
+    out[evidence < EVIDENCE] = 0
+    return out
+
+
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """`text, target, check` of about `sample` labelled texts, chosen by a hash of the id, which bounds their number.
+    """`text, kind, check` of about `sample` labelled texts, chosen by a hash of the id, which bounds their number.
 
-    Target texts have quality 1 and are not toxic, raw texts are the other labelled ones. The chosen labels
-    (a few bytes a row, `sample` rows about) are broadcast to the texts. An id with labels that differ counts as not target.
+    Target texts have quality 1 and are not toxic; raw texts are the other labelled ones, LOW where the quality is bad, else
+    TOXIC. The chosen labels (a few bytes a row, `sample` rows about) are broadcast to the texts. Of labels that
+    differ for one id a bad one holds.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
     n = known.count()
     rate = min(1.0, sample / max(1, n))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
-    known = known.where(chance < int(rate * (1 << 20)) + (rate >= 1)).select(
-        "doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("target")
-    )
-    known = known.groupBy("doc_id").agg(F.min("target").alias("target"))
+    kind = F.when(F.col("quality") != 1, F.lit(LOW)).when(F.coalesce("toxic", F.lit(0)) != 0, F.lit(TOXIC)).otherwise(F.lit(TARGET))
+    known = known.where(chance < int(rate * (1 << 20)) + (rate >= 1)).select("doc_id", kind.alias("kind"))
+    worst = F.min(F.when(F.col("kind") != TARGET, F.col("kind")))
+    known = known.groupBy("doc_id").agg(F.coalesce(worst, F.lit(TARGET)).alias("kind"))
     check = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(CHECK)) == 0
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "target", check.alias("check"))
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "kind", check.alias("check"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """The log-ratio of two bag-of-n-gram models, target over raw, and the weight to cut at.
+    """Log-ratios of n-gram models, target over each kind of raw text, and the weight to cut at.
 
-    Both models are smoothed towards the pooled one, so buckets seen rarely weigh nothing. The cut is the weight that
+    The models are smoothed towards the pooled one, and buckets whose counts do not tell two models apart weigh nothing, so
+    that the many rare words of a long text do not drown what matters. The cut is the weight that
     parts the held-out labelled texts best when a lost target text counts LOSS times a kept other one. Without
     texts of both sides every weight is 0 and all are kept.
     """
     known = written_table(labelled(docs, labels, sample), "labelled")
     counts = _frequencies(known.where("NOT check"))
-    if not counts.any(axis=1).all():
-        return {"ratio": np.zeros(BUCKETS), "cut": -1.0}
-    pooled = counts.sum(axis=0) / counts.sum()
-    raw, target = ((c + SMOOTH * pooled) / (c.sum() + SMOOTH) for c in counts)
-    ratio = np.zeros(BUCKETS)
-    seen = pooled > 0
-    ratio[seen] = np.log(target[seen]) - np.log(raw[seen])
-    model = {"ratio": ratio, "cut": 0.0}
-    held = known.where("check").select(weight(known, model, "text").alias("w"), "target").toPandas()
+    ratios = [log_ratio(counts[TARGET], counts[k]) for k in (LOW, TOXIC) if counts[TARGET].any() and counts[k].any()]
+    model = {"ratios": np.array(ratios).reshape(len(ratios), BUCKETS), "cut": -1.0}
+    if not ratios:
+        return model
+    held = known.where("check").select(weight(known, model, "text").alias("w"), (F.col("kind") == TARGET).cast("int").alias("target")).toPandas()
     if held["target"].nunique() == 2:
         held = held.sort_values("w", kind="stable")
-        lost = np.concatenate([[0], np.cumsum(held["target"])])
-        left = np.concatenate([[0], np.cumsum(1 - held["target"])])[-1] - np.concatenate([[0], np.cumsum(1 - held["target"])])
         w = np.concatenate([[held["w"].iloc[0] - 2.0], held["w"].to_numpy(), [held["w"].iloc[-1] + 2.0]])
-        cost = LOSS * lost + left
+        lost = np.concatenate([[0], np.cumsum(held["target"])])
+        other = np.concatenate([[0], np.cumsum(1 - held["target"])])
+        cost = np.where(w[1:] > w[:-1], LOSS * lost + other[-1] - other, np.inf)  # equal weights are not parted
         best = int(cost.argmin())
         model["cut"] = float((w[best] + w[best + 1]) / 2)
     return model
 
 
+def weigh(text: str | None, ratios: np.ndarray) -> float:
+    """Log importance weight of a text: target over an even mixture of the raw models, each taken over the whole text."""
+    if not len(ratios):
+        return 0.0
+    found = features(text)
+    return float(-np.logaddexp.reduce([-r[found].sum() for r in ratios]) + np.log(len(ratios)))
+
+
 def weight(docs: DataFrame, model: dict, text: str = "text") -> Column:
-    """Log importance weight of a whole text: the sum of its n-grams' log-ratios; 0 for null and empty texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model["ratio"])
+    """`weigh` of a whole text column; 0 for null and empty texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(model["ratios"])
 
     @F.pandas_udf("double")
     def total(texts: pd.Series) -> pd.Series:
-        ratio = shared.value
-        return pd.Series([float(ratio[features(t)].sum()) for t in texts], dtype="float64")
+        return pd.Series([weigh(t, shared.value) for t in texts], dtype="float64")
 
     return total(text)
 

@@ -99,26 +99,27 @@ def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
     return met.where("count = needed").groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
-def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of one rule as an array of `start, rank, end, kind`, in code points."""
+def _matches(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
+    """Lengths in code points: of the text between a rule's matches, of the matches, of their secrets."""
     pattern = _LONG.get(kind, pattern)
     gaps, found = pieces(text, pattern)
-    lengths = F.transform(found, F.length)
-    steps = F.zip_with(F.transform(F.slice(gaps, F.lit(1), F.size(found)), F.length), lengths, lambda a, b: a + b)
-    ends = running(steps, F.lit(0), lambda a, x: a + x)
-    secret = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length) if group else lengths
-    every = F.transform(
-        F.arrays_zip(ends.alias("e"), lengths.alias("n"), secret.alias("s")),
-        lambda x: F.struct(
-            (x["e"] - x["n"]).alias("start"), F.lit(order).alias("rank"), x["e"].alias("end"), F.lit(kind).alias("kind"),
-            x["s"].alias("size"),
-        ),
+    lengths = lambda parts: F.transform(parts, lambda p: F.length(p))
+    secret = lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+    return F.struct(
+        F.lit(order).alias("rank"), F.lit(kind).alias("kind"), F.lit(least).alias("least"), lengths(gaps).alias("gaps"),
+        lengths(found).alias("found"), secret.alias("secret"),
     )
-    kept = F.transform(F.filter(every, lambda x: x["size"] >= least), lambda x: x.dropFields("size"))
-    return kept
 
 
-_NONE = "array<struct<start:int,rank:int,end:int,kind:string>>"
+def _spans(rule: Column) -> Column:
+    """Spans `start, rank, end, kind` of one rule's matches: running totals of what lies before them."""
+    steps = F.zip_with(F.slice(rule["gaps"], F.lit(1), F.size(rule["found"])), rule["found"], lambda a, b: a + b)
+    ends = running(steps, F.lit(0), lambda a, x: a + x)
+    every = F.arrays_zip(ends.alias("e"), rule["found"].alias("n"), rule["secret"].alias("s"))
+    long = F.filter(every, lambda x: x["s"] >= rule["least"])
+    return F.transform(
+        long, lambda x: F.struct((x["e"] - x["n"]).alias("start"), rule["rank"].alias("rank"), x["e"].alias("end"), rule["kind"].alias("kind"))
+    )
 
 
 def find(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -143,8 +144,10 @@ def find(docs: DataFrame, rules=RULES) -> DataFrame:
         due = text.rlike(_LONG.get(kind, pattern))
         if rule not in open_rules:
             due = F.coalesce(F.array_contains("kinds", kind), F.lit(False)) & due
-        parts.append(F.when(due, _spans(text, kind, order, *rule[1:])).otherwise(F.array().cast(_NONE)).cast(_NONE))
-    return both.select("doc", F.array_sort(F.concat(*parts)).alias("spans")).select("doc.*", "spans")
+        parts.append(F.when(due, _matches(text, kind, order, *rule[1:])))
+    matched = both.select("doc", F.array_compact(F.array(*parts)).alias("matched"))
+    spans = F.array_sort(F.flatten(F.transform("matched", _spans)))
+    return matched.select("doc", spans.alias("spans")).select("doc.*", "spans")
 
 
 def digest(found: DataFrame, rules=RULES) -> DataFrame:
