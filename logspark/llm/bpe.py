@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of text that are encoded together, about, and token ids in a batch that leaves a task.
-BLOCK, BATCH = 24_000_000, 4_000_000
+#: Characters of text that are encoded together, about, and token ids in a batch that leaves a task; ids decoded at once.
+BLOCK, BATCH, PART = 12_000_000, 1_000_000, 400_000
 
 _NONE = np.int32(2**31 - 1)
 
@@ -106,7 +106,7 @@ class Merges:
         after[ends[size > 0] - 1] = -1
         before[(ends - size)[size > 0]] = -1
         pair = np.full(n, _NONE, np.int32)
-        inner = np.flatnonzero(after >= 0)
+        inner = np.flatnonzero(after >= 0).astype(np.int32)
         pair[inner] = self.rank(token[inner], token[inner + 1])
         live = np.ones(n, bool)
         index: dict[int, list[np.ndarray]] = {}
@@ -118,7 +118,7 @@ class Merges:
             at, rank = at[known], rank[known]
             if not at.size:
                 return []
-            order = np.argsort(rank, kind="stable")
+            order = np.argsort(rank, kind="stable").astype(np.int32)
             at, rank = at[order], rank[order]
             cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
             new = []
@@ -180,9 +180,13 @@ class Merges:
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids, one after the other, and the length of each."""
-        size = self.length[ids]
-        at = np.repeat(self.start[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return self.text[at], size
+        size, out = self.length[ids], []
+        for low in range(0, len(ids), PART):
+            n = size[low : low + PART]
+            at = np.repeat(self.start[ids[low : low + PART]] - (np.cumsum(n) - n), n)
+            at += np.arange(len(at))
+            out.append(self.text[at])
+        return np.concatenate(out) if out else self.text[:0], size
 
 
 @cache

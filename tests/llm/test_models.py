@@ -196,9 +196,10 @@ def test_tokens_of_odd_texts(docs, tokenizer, monkeypatch):
     rng = random.Random(9)
     letters = "aabbccdeeéß漢字😀 \n\t'sre0123.,-_​ İAB"
     texts = [*ODD, *("".join(rng.choices(letters, k=rng.randint(1, 200))) for _ in range(300)), "a" * 50_000, "ab" * 30_000, "<|endoftext|>", "…" * 900]
-    for block in (24_000_000, 500):
+    for block in (bpe.BLOCK, 500):
         monkeypatch.setattr(bpe, "BLOCK", block)
         monkeypatch.setattr(bpe, "BATCH", block // 5)
+        monkeypatch.setattr(bpe, "PART", block // 9)
         out = bpe.digest(bpe.encode(docs(texts), RANKS, public_tokenizers.PATTERN), RANKS).collect()
         check_tokens(out, dict(enumerate(texts)), tokenizer)
 
