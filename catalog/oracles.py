@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from catalog.render import CHAIN, FILE_EVENTS
 from logspark.fixed import REDACTIONS
-from logspark.operators.review import prompt_intro
 
 _E = f"""
 WITH e AS (
@@ -25,6 +24,14 @@ WITH e AS (
     FROM events) AS base)
 """
 
+_INTRO = """You are given lines of an application log that may hide an incident.
+Already known elsewhere, so not shown: CRITICAL, ERROR, WARNING.
+Reply with one JSON object, shaped {"findings":[{"line_numbers":[int],"severity_guess":"low|medium|high","confidence":0..1,"title":str,"rationale":str,"recommendation":str}]}, and nothing else.
+Name in line_numbers only numbers that stand below. No suspicion means an empty list.
+
+LOG LINES:
+"""
+
 # Expected fields per rendering: fmt, ts, level, message.
 _STATUS = "CASE user_id % 5 WHEN 0 THEN 503 WHEN 1 THEN 500 WHEN 2 THEN 404 WHEN 3 THEN 200 ELSE 301 END"
 _CEF_SEV = "CASE user_id % 5 WHEN 0 THEN '10' WHEN 1 THEN '8' WHEN 2 THEN '5' WHEN 3 THEN '2' ELSE 'High' END"
@@ -217,14 +224,23 @@ UNION ALL
 SELECT event_id, '{{"timestamp":"' || {EXPECT['logfmt'][1]} || {_BODY.format(level=EXPECT['logfmt'][2], message=_QUOTED)}
   || ',"meta":{{"logfmt":' || {_META['logfmt']} || '}}}}' FROM e WHERE event_id % 3 = 1
 UNION ALL
+SELECT event_id, '{{"timestamp":null' || substring({_BODY.format(level='lvl', message=_LOOSE)}, 2) || '}}' FROM e WHERE event_id % 3 = 2""",
+    "written_payload": f"""{_E}
+SELECT event_id, '{{"timestamp":"' || tsec || '+00:00' || {_BODY.format(level='lvl', message='msg')} || '}}' AS payload FROM e WHERE event_id % 3 = 0
+UNION ALL
+SELECT event_id, '{{"timestamp":"' || {EXPECT['logfmt'][1]} || {_BODY.format(level=EXPECT['logfmt'][2], message=_QUOTED)}
+  || ',"meta":{{"logfmt":' || {_META['logfmt']} || '}}}}' FROM e WHERE event_id % 3 = 1
+UNION ALL
 SELECT event_id, '{{"timestamp":null' || substring({_BODY.format(level='lvl', message=_LOOSE)}, 2) || '}}' FROM e WHERE event_id % 3 = 2""",
     "written_entries": f"{_E} SELECT file, line_no, lvl AS level, msg AS message, true AS in_order FROM e",
+    "exclude_before_parse": f"{_E} SELECT event_id, lvl AS level, msg AS message FROM e WHERE event_id % 50 <> 7",
+    "reviewer_failures": f"{_segments()} SELECT file, segment_id, 'RuntimeError: no answer' AS error FROM g WHERE first_line % 3 = 1",
     "redact_documents": f"""
 WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
 SELECT doc_id, line_no, {_redacted('line')} AS text FROM d""",
     "segments": f"{_segments()} SELECT {_SEGMENT}, text FROM g",
     "segments_dedup": f"{_E} SELECT min(event_id) AS segment_id, sha256(host || lvl) AS text_sha256 FROM e GROUP BY 2",
-    "prompts": f"{_segments()} SELECT {_SEGMENT}, '{prompt_intro()}' || text || chr(10) AS prompt FROM g",
+    "prompts": f"{_segments()} SELECT {_SEGMENT}, '{_INTRO}' || text || chr(10) AS prompt FROM g",
     "review_fn": _segments() + _REVIEWED,
     "findings": f"""{_E}, f AS (
   SELECT event_id, 0 AS pos, event_id || ',' || (event_id + 1) AS line_numbers, 'high' AS severity_guess,

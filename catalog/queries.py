@@ -15,7 +15,7 @@ import logspark as ls
 from catalog import render
 from logspark.fixed import FORMATS
 from logspark.functions.times import iso_text
-from logspark.session import shared_dir
+from logspark.session import shared_dir, written_table
 
 AS_OF = datetime(2024, 1, 15, 12, tzinfo=UTC)
 WINDOWS = {
@@ -156,6 +156,35 @@ def written_entries(spark, sf_dir):
     return found.withColumn("in_order", F.coalesce(F.col("place") > behind, F.lit(True))).drop("place")
 
 
+def written_payload(spark, sf_dir):
+    """The sink's files read back as text: one plain JSON object a line."""
+    path = f"{shared_dir(spark)}/out-{uuid.uuid4().hex}"
+    parsed = ls.parse_entries(render.lines(spark, sf_dir, "payload"), as_of=AS_OF)
+    ls.write_entries(ls.to_payload(parsed), path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.line_no").cast("bigint").alias("event_id"), F.col("value").alias("payload"))
+
+
+def exclude_before_parse(spark, sf_dir):
+    """Line numbers left out before the parse."""
+    numbers = [r["event_id"] for r in render.events(spark, sf_dir).where("event_id % 50 = 7").select("event_id").collect()]
+    kept = ls.exclude_lines(render.lines(spark, sf_dir, "bracket"), numbers)
+    return fields(ls.parse_entries(kept, ["bracket"])).select("event_id", "level", "message")
+
+
+def reviewer_failures(spark, sf_dir):
+    """A reviewer that fails on some segments: those are set aside with their error, the others stay."""
+
+    def reviewer(prompt: str) -> str:
+        if int(re.search(r"LOG LINES:\n(\d+) ", prompt).group(1)) % 3 == 1:
+            raise RuntimeError("no answer")
+        return '{"findings": []}'
+
+    asked = ls.prompts(_segments(spark, sf_dir))
+    answers = written_table(ls.review_segments(asked, reviewer, retries=1), "responses")
+    out = ls.rejected(answers, ls.parse_findings(answers))
+    return out.select(render.file_key().alias("file"), "segment_id", "error")
+
+
 def redact_documents(spark, sf_dir):
     ls.prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -341,6 +370,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exclude_lines": exclude_lines,
     "payload": payload,
     "written_entries": written_entries,
+    "written_payload": written_payload,
+    "exclude_before_parse": exclude_before_parse,
+    "reviewer_failures": reviewer_failures,
     "redact_documents": redact_documents,
     "segments": segments,
     "segments_dedup": segments_dedup,

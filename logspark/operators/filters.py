@@ -71,10 +71,17 @@ def filter_window(
 
 
 def exclude_lines(entries: DataFrame, excluded: DataFrame | Iterable[int] | None) -> DataFrame:
-    """Entries without the given lines: line numbers for every file, or a `file, line_no` table."""
+    """Lines or entries without the given ones: line numbers for every file, or a `file, line_no` table.
+
+    Placed before the parse it moves lines only, and excluded lines are never parsed. Given numbers become
+    a small table, not literals of the plan; Spark broadcasts either table by its size or shuffles.
+    """
     if excluded is None:
         return entries
     if isinstance(excluded, DataFrame):
-        return entries.join(excluded.select("file", "line_no"), ["file", "line_no"], "left_anti")
-    numbers = list(excluded)
-    return entries.where(~F.col("line_no").isin(numbers)) if numbers else entries
+        return entries.join(excluded.select("file", "line_no"), ["file", "line_no"], "left_anti").select(*entries.columns)
+    numbers = [(int(n),) for n in excluded]
+    if not numbers:
+        return entries
+    table = entries.sparkSession.createDataFrame(numbers, "line_no bigint")
+    return entries.join(table, "line_no", "left_anti").select(*entries.columns)

@@ -29,14 +29,21 @@ ENTRY_SCHEMA = (
 )
 
 # The shapes with all Unicode blanks, made cheap: runs that cannot overlap what follows them never
-# give back, and messages end at their last non-blank.
+# give back, messages end at their last non-blank, and a blank run has one place where it can start: after a
+# non-blank, or after the first character. A syslog tag starts at the end of the blanks before it; only when
+# a colon follows them it is the last blank.
 _MSG_AT_END = (r"\s*(?<msg>.*)\z", r"\s*+(?<msg>(?:.*\S)?)\s*\z")
 _RFC5424 = unicode_blanks(
     fixed.RFC5424.replace(*_MSG_AT_END).replace(r"\s+", r"\s++").replace(r"\S+", r"\S++")
 )
-_RFC3164 = unicode_blanks(fixed.RFC3164.replace(*_MSG_AT_END))
+_TAG = (r"\s+(?<app>[^:]+):", r"(?:\s++(?=[^:])|\s+(?=\s:))(?<app>[^:]++):")
+_RFC3164 = unicode_blanks(
+    fixed.RFC3164.replace(*_MSG_AT_END).replace(*_TAG).replace(r"{2}\s+", r"{2}\s++").replace(r"\s+(?<host>\S+)", r"\s++(?<host>\S++)")
+)
 _ACCESS = unicode_blanks(fixed.ACCESS.replace(r"\s+", r"\s++").replace(r"\S+", r"\S++"))
-_BRACKET = unicode_blanks(fixed.BRACKET.replace(r"\s+", r"\s++").replace(r"(?<msg>.*)", r"(?<msg>(?:.*\S)?)\s*"))
+_BRACKET = unicode_blanks(
+    fixed.BRACKET.replace(r"\s+", r"\s++").replace(r"(?<msg>.*)", r"(?<msg>(?:.*\S)?)\s*").replace(r"(?<ts>.+?)", r"(?<ts>.|.+?(?<=\S))")
+)
 _CEF = unicode_blanks(fixed.CEF)
 
 

@@ -38,10 +38,18 @@ def in_line_order(df: DataFrame) -> DataFrame:
     return df.orderBy("file", "line_no")
 
 
-def write_entries(entries: DataFrame, path: str, *, format: str = "json", mode: str = "error") -> None:
-    """Write entries in line order; their number is `count(*)` over the written table.
+def write_entries(entries: DataFrame, path: str, *, format: str = "json", mode: str = "error") -> int:
+    """Write entries in line order and return their number.
+
+    Payloads written as JSON become one plain JSON object a line, without a field around them. The number
+    is read from the stored rows, so nothing is parsed again for it.
 
     A range shuffle reads its input twice, once to sample the order. So the entries are stored first:
     both reads then see the found rows, and the logs are parsed once.
     """
-    in_line_order(written_table(entries, "unordered")).write.mode(mode).format(format).save(path)
+    stored = written_table(entries, "unordered")
+    ordered = in_line_order(stored)
+    if format == "json" and "payload" in entries.columns:
+        ordered, format = ordered.select("payload"), "text"
+    ordered.write.mode(mode).format(format).save(path)
+    return stored.count()

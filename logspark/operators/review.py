@@ -80,13 +80,11 @@ def dedup_segments(found: DataFrame) -> DataFrame:
 def prompt_intro(identified=fixed.REVIEW_IDENTIFIED_LEVELS) -> str:
     """What a reviewer is told before the lines."""
     return (
-        "Review these application log lines for signs of a hidden fault or incident.\n"
-        f"They were not classified as any of: {', '.join(sorted(set(identified)))}.\n"
-        'Answer with JSON only: {"findings":[{"line_numbers":[int],"severity_guess":"low|medium|high",'
-        '"confidence":0..1,"title":str,"rationale":str,"recommendation":str}]}.\n'
-        "Base every finding on the lines shown, quote only their line numbers, keep findings few and well "
-        "founded, and leave the list empty when nothing looks wrong.\n\n"
-        "LOG LINES:\n"
+        "You are given lines of an application log that may hide an incident.\n"
+        f"Already known elsewhere, so not shown: {', '.join(sorted(set(identified)))}.\n"
+        'Reply with one JSON object, shaped {"findings":[{"line_numbers":[int],"severity_guess":"low|medium|high",'
+        '"confidence":0..1,"title":str,"rationale":str,"recommendation":str}]}, and nothing else.\n'
+        "Name in line_numbers only numbers that stand below. No suspicion means an empty list.\n\nLOG LINES:\n"
     )
 
 
@@ -96,22 +94,33 @@ def prompts(found: DataFrame, identified=fixed.REVIEW_IDENTIFIED_LEVELS) -> Data
 
 
 def review_segments(
-    found: DataFrame, reviewer: Callable[[str], str], *, concurrency: int = fixed.REVIEW_CONCURRENCY
+    found: DataFrame, reviewer: Callable[[str], str], *, concurrency: int | None = None, retries: int = 0
 ) -> DataFrame:
-    """Call `reviewer(prompt) -> response JSON` for every segment: `file, segment_id, response`.
+    """Call `reviewer(prompt) -> response JSON` for every segment: `file, segment_id, response, error`.
 
-    The number of partitions bounds how many calls run at a time.
+    The number of partitions bounds how many calls run at a time (default: the cores of the cluster). A call that raises is
+    tried `retries` times more; then its response is NULL and `error` names the exception, and the others go on.
     """
-    if concurrency < 1:
-        raise ValueError("concurrency must be at least 1")
+    concurrency = found.sparkSession.sparkContext.defaultParallelism if concurrency is None else concurrency
+    if concurrency < 1 or retries < 0:
+        raise ValueError("concurrency must be at least 1, retries at least 0")
+
+    def ask(prompt: str) -> tuple[str | None, str | None]:
+        for left in range(retries, -1, -1):
+            try:
+                return reviewer(prompt), None
+            except Exception as exc:  # noqa: BLE001
+                if not left:
+                    return None, f"{type(exc).__name__}: {exc}"
 
     def call(batches):
         for batch in batches:
-            batch["response"] = [reviewer(prompt) for prompt in batch["prompt"]]
-            yield batch[["file", "segment_id", "response"]]
+            answers = [ask(prompt) for prompt in batch["prompt"]]
+            batch["response"], batch["error"] = [a for a, _ in answers], [e for _, e in answers]
+            yield batch[["file", "segment_id", "response", "error"]]
 
     asked = found.select("file", "segment_id", "prompt").repartition(concurrency)
-    return asked.mapInPandas(call, "file string, segment_id bigint, response string")
+    return asked.mapInPandas(call, "file string, segment_id bigint, response string, error string")
 
 
 def parse_findings(responses: DataFrame) -> DataFrame:
@@ -165,7 +174,7 @@ def keep_findings(parsed: DataFrame, *, min_confidence: float = fixed.MIN_CONFID
 
 
 def rejected(responses: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Responses that failed the check, with their text."""
+    """Responses that failed the check, with their text, and calls that failed, with their error."""
     return responses.join(parsed.where(~F.col("valid")).select("file", "segment_id"), ["file", "segment_id"], "left_semi")
 
 

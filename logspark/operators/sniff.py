@@ -11,7 +11,7 @@ from logspark import fixed
 from logspark.functions.levels import pri_level, status_level
 from logspark.functions.text import ascii_upper, first_match, lit
 from logspark.operators.once import evaluate_once
-from logspark.session import lookup_side, written_table
+from logspark.session import join_by_file, written_table
 
 _ASCII_BLANKS = " \t\n\r\x0b\x0c"
 
@@ -71,7 +71,7 @@ def with_detected(lines: DataFrame, detected: DataFrame | str) -> DataFrame:
         if detected not in fixed.DETECTED:
             raise ValueError(f"unknown format {detected!r}; known: {', '.join(fixed.DETECTED)}")
         return lines.withColumn("detected", F.lit(detected))
-    return lines.join(lookup_side(written_table(detected, "detected")), "file")
+    return join_by_file(lines, written_table(detected, "detected"))
 
 
 def scan_hits(

@@ -46,7 +46,8 @@ def _apply(lines: DataFrame, parser: Callable, fmt: str, done: str) -> DataFrame
         for batch in batches:
             rows = []
             for file, line_no, line in zip(batch["file"], batch["line_no"], batch["line"]):
-                got = parser(int(line_no), line)
+                line_no = None if pd.isna(line_no) else int(line_no)
+                got = parser(line_no, line)
                 if got is None:
                     rows.append((file, line_no, None, None, None, None, None, line, None, False))
                     continue
@@ -59,7 +60,8 @@ def _apply(lines: DataFrame, parser: Callable, fmt: str, done: str) -> DataFrame
                      str(got.get("message", line)), line, got.get("meta"), True)
                 )
             out = pd.DataFrame(rows, columns=[*names, done])
-            out["ts"] = pd.to_datetime(out["ts"], utc=True)
+            out["ts"] = pd.Series([r[3] for r in rows], dtype=object)  # nanoseconds end in 2262
+            out["line_no"] = pd.array([r[1] for r in rows], dtype="Int64")
             for field in extra:
                 out[field.name] = batch[field.name].values
             yield out[[f.name for f in schema.fields]]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logspark import fixed
 from logspark.operators import filters, review
-from logspark.operators.parse import parse_entries
+from logspark.operators.parse import ENTRY_SCHEMA, parse_entries
 from logspark.operators.sniff import scan_hits
 from logspark.operators.window import resolve_window
 from logspark.session import prepare, written_table
@@ -58,6 +58,9 @@ def entries(
     if hours_lookback is not None:
         since, until = resolve_window(hours_lookback=hours_lookback, as_of=as_of)
     severities = None if severities is None else list(severities)
+    if severities == []:  # nothing can be kept: start no job
+        nothing = lines.sparkSession.createDataFrame([], ENTRY_SCHEMA)
+        return nothing if include_raw else nothing.drop("raw")
 
     # Format detection reads the unfiltered head of each file, so it comes before the text filter.
     level = None
@@ -94,11 +97,16 @@ def triage(
     include_review: bool = False,
     reviewer: Callable[[str], str] | None = None,
     as_of: datetime | None = None,
+    encoding: str = "utf-8",
+    decode_errors: str = "replace",
+    line_sep: str | None = None,
+    allowed_only: bool = False,
     **options,
 ) -> DataFrame | Review:
     """Triage log files: the entries of a time window and a set of levels.
 
-    Without any window the last 24 hours count. With `include_review` the result is a `Review`.
+    Without any window the last 24 hours count. With `include_review` the result is a `Review`. `encoding`,
+    `decode_errors`, `line_sep` and `allowed_only` go to `read_lines`, other options to the job.
     """
     as_of = as_of or datetime.now(UTC)
     wanted = filters.effective_levels(levels, include_all_levels=include_all_levels, with_review=include_review)
@@ -108,19 +116,20 @@ def triage(
     )
     lookback = 24 if start is None and end is None else None
     window = dict(since=start, until=end, hours_lookback=lookback, contains=contains, as_of=as_of)
+    lines = read_lines(
+        spark, paths, encoding=encoding, decode_errors=decode_errors, line_sep=line_sep, allowed_only=allowed_only
+    )
     if include_review:
         return triage_with_review(
-            read_lines(spark, paths), identified_levels=wanted or (), reviewer=reviewer,
+            lines, identified_levels=wanted or (), reviewer=reviewer,
             include_raw=include_raw, **window, **options,
         )
-    return entries(read_lines(spark, paths), severities=wanted, include_raw=include_raw, **window, **options)
+    return entries(lines, severities=wanted, include_raw=include_raw, **window, **options)
 
 
 def _review_entries(lines: DataFrame, identified: Iterable[str], excluded, **options) -> DataFrame:
-    found = entries(
-        lines, severities=review.wanted_levels(identified), fast_prefilter=False, include_raw=True, **options
-    )
-    return filters.exclude_lines(found, excluded)
+    lines = filters.exclude_lines(lines, excluded)
+    return entries(lines, severities=review.wanted_levels(identified), fast_prefilter=False, include_raw=True, **options)
 
 
 def review_dataset(
@@ -154,7 +163,8 @@ def triage_with_review(
     redact: bool = True,
     min_confidence: float = fixed.MIN_CONFIDENCE,
     reviewer: Callable[[str], str] | None = None,
-    concurrency: int = fixed.REVIEW_CONCURRENCY,
+    concurrency: int | None = None,
+    retries: int = 0,
     hours_lookback: int | None = None,
     include_raw: bool = True,
     **options,
@@ -173,7 +183,8 @@ def triage_with_review(
     segments = review.prompts(review.dedup_segments(segments), identified)
     if reviewer is None:
         return Review(known, segments, None, None)
-    answers = written_table(review.review_segments(segments, reviewer, concurrency=concurrency), "responses")
+    answers = review.review_segments(segments, reviewer, concurrency=concurrency, retries=retries)
+    answers = written_table(answers, "responses")
     parsed = review.parse_findings(answers)
     kept = review.keep_findings(parsed, min_confidence=min_confidence)
     return Review(known, segments, kept, review.rejected(answers, parsed))

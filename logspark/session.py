@@ -44,8 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-# A lookup side is broadcast up to this measured size; beyond it the join shuffles.
+# A lookup side is broadcast up to this measured size; beyond it the join shuffles, and a file's rows
+# go to this many keys.
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+KEYS_A_FILE = 256
 
 
 def written_table(df: DataFrame, name: str) -> DataFrame:
@@ -65,5 +67,23 @@ def lookup_side(table: DataFrame, row_bytes: int = 64) -> DataFrame:
 
     Meant for written tables keyed by `file`; counts the bytes of the paths and of the other fields.
     """
+    return F.broadcast(table) if fits_broadcast(table, row_bytes) else table
+
+
+def fits_broadcast(table: DataFrame, row_bytes: int = 64) -> bool:
+    """Whether a table keyed by `file` is small enough to be sent to every executor."""
     size = table.agg(F.sum(F.octet_length("file") + row_bytes)).first()[0] or 0
-    return F.broadcast(table) if size <= MAX_BROADCAST_BYTES else table
+    return size <= MAX_BROADCAST_BYTES
+
+
+def join_by_file(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Join numbered lines with a written table that has one row a file.
+
+    A small table is broadcast. A larger one is shuffled with KEYS_A_FILE copies of each row, and a line
+    takes the copy its number says, so that a big file is spread over tasks either way.
+    """
+    if fits_broadcast(table):
+        return rows.join(F.broadcast(table), "file")
+    copies = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(KEYS_A_FILE - 1))))
+    key = F.pmod(F.coalesce(F.col("line_no"), F.lit(0)), F.lit(KEYS_A_FILE)).cast("int")
+    return rows.withColumn("_copy", key).join(copies, ["file", "_copy"]).drop("_copy")

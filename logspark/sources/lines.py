@@ -40,7 +40,32 @@ def decoded(value: Column, encoding: str = "utf-8", errors: str = "replace") ->
         return F.regexp_replace(wide, r"[\x80-\xff]", _BROKEN if errors == "replace" else "")
     if name in ("latin-1", "latin1", "iso-8859-1"):
         return F.decode(value.cast("binary"), "ISO-8859-1")
-    raise ValueError(f"unsupported encoding {encoding!r}; use utf-8, us-ascii or iso-8859-1")
+    if name in _UTF16:
+        return F.decode(value.cast("binary"), _UTF16[name])
+    return _one_byte(value, encoding, errors)
+
+
+_UTF16 = {"utf-16-le": "UTF-16LE", "utf-16le": "UTF-16LE", "utf-16-be": "UTF-16BE", "utf-16be": "UTF-16BE"}
+
+
+def _one_byte(value: Column, encoding: str, errors: str) -> Column:
+    """Bytes in a charset of one byte a character: read as latin-1, then the characters that differ exchanged."""
+    wide = F.decode(value.cast("binary"), "ISO-8859-1")
+    try:
+        table = [bytes([b]).decode(encoding, "replace") for b in range(256)]
+    except LookupError:
+        raise ValueError(f"unknown encoding {encoding!r}") from None
+    leads = [b for b, c in enumerate(table) if c == _BROKEN and any(len(bytes([b, x]).decode(encoding, "replace")) != 2 for x in (0x41, 0x80, 0xA1))]
+    if leads or any(len(c) != 1 for c in table) or table[:128] != [chr(b) for b in range(128)]:
+        raise ValueError(f"unsupported encoding {encoding!r}; use utf-8, utf-16-le, utf-16-be or one byte a character over ASCII")
+    other = [(chr(b), c) for b, c in enumerate(table) if c != chr(b)]
+    bad = "".join(f"\\x{ord(b):02x}" for b, c in other if c == _BROKEN)
+    if bad and errors == "strict":
+        broken = F.raise_error(F.lit(f"bytes that {encoding} does not know")).cast("string")
+        wide = F.when(wide.rlike(f"[{bad}]"), broken).otherwise(wide)
+    if bad and errors == "ignore":
+        wide = F.regexp_replace(wide, f"[{bad}]", "")
+    return F.translate(wide, "".join(b for b, _ in other), "".join(c for _, c in other)) if other else wide
 
 
 def _block_index(raw: DataFrame) -> DataFrame:
@@ -69,6 +94,9 @@ def read_lines(
     """
     prepare(spark)
     reader = spark.read
+    wide = _UTF16.get(encoding.lower().replace("_", "-"))
+    if wide:  # lines end at the separator's own two bytes; inner carriage returns stay
+        reader, line_sep = reader.option("encoding", wide), line_sep or "\n"
     if line_sep is not None:
         reader = reader.option("lineSep", line_sep)
     if allowed_only:

@@ -83,7 +83,7 @@ def test_dedup_keeps_the_first(spark):
 def test_prompt(lines):
     _, rest = ls.split_entries(ls.parse_entries(lines("x [INFO] a", "x [WARNING] b")))
     prompt = ls.prompts(ls.segments(rest), ["WARNING", "ERROR"]).first().prompt
-    assert "any of: ERROR, WARNING." in prompt and prompt.endswith("LOG LINES:\n1 - [INFO] a\n")
+    assert "so not shown: ERROR, WARNING." in prompt and prompt.endswith("LOG LINES:\n1 - [INFO] a\n")
     assert "[WARNING]" not in prompt
 
 
