@@ -1,5 +1,69 @@
-"""SQL over the given tables for the queries that SQL can state."""
+"""SQL over the given tables for the queries that SQL can state.
+
+The language filters, the ring, surrogates, BPE, template slots, the classifier and SimHash are tested against
+brute force instead.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from logspark.llm.licenses import COVERAGE, MERGE, MIN_VOTES, NOTICES, PHRASES, STRETCH, WORD
+from logspark.llm.secret_scan import BASE, RULES
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATES = ", ".join(
+    f"({i}, {_quoted(label)}, {i < len(PHRASES)}, string_split({_quoted(text)}, ' '))" for i, (label, text) in enumerate([*PHRASES, *NOTICES])
+)
+
+_LICENSES = f"""
+WITH t(tid, label, is_base, w) AS (VALUES {_TEMPLATES}),
+g AS (SELECT tid, label, is_base, len(w) AS n_words, len(w) - 1 AS n_grams, i - 1 AS tpos, w[i] AS a, w[i + 1] AS b FROM t, unnest(range(1, len(w))) AS u(i)),
+d AS (SELECT doc_id, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_quoted(WORD)}) AS w FROM documents),
+p AS (SELECT doc_id, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM d, unnest(range(1, len(w))) AS u(i)),
+h AS (SELECT doc_id, tid, label, is_base, n_words, n_grams, pos - tpos AS diagonal, pos, tpos FROM p JOIN g USING (a, b)),
+v AS (SELECT doc_id, tid, label, is_base, n_words, n_grams, diagonal, count(*) AS votes, min(pos) AS f, max(pos) AS l
+  FROM h GROUP BY ALL HAVING CASE WHEN is_base THEN count(*) = n_grams ELSE count(*) >= {MIN_VOTES} END),
+s AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) > {MERGE}, true) AS apart FROM v WHERE NOT is_base),
+k AS (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) AS span FROM s),
+c AS (SELECT k.doc_id, k.tid, k.label, k.span, count(DISTINCT h.tpos) / any_value(k.n_grams) AS covered, max(l) - min(f) + 2 AS n, any_value(k.n_words) AS n_words
+  FROM k JOIN h ON h.doc_id = k.doc_id AND h.tid = k.tid AND h.diagonal = k.diagonal GROUP BY ALL),
+found AS (
+  SELECT doc_id, label, diagonal AS place, 1.0::DOUBLE AS score FROM v WHERE is_base UNION ALL
+  SELECT doc_id, label, NULL, covered FROM c WHERE covered >= {COVERAGE} AND n <= {STRETCH} * n_words),
+r AS (SELECT doc_id, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (place IS NOT NULL) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+  max(score) AS score FROM found GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN r USING (doc_id)"""
+
+_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, {rank} AS rank, {_quoted(kind)} AS kind, {least} AS least, string_split_regex(x, {_quoted(pattern)}) AS gaps, "
+    f"regexp_extract_all(x, {_quoted(pattern)}) AS found, regexp_extract_all(x, {_quoted(pattern)}, {group}) AS secret FROM d"
+    for rank, (kind, pattern, group, least) in enumerate(RULES)
+)
+_LISTED = "kind || ':' || (e - n) || ':' || e"
+
+_SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+m AS ({_MATCHES}),
+u AS (SELECT doc_id, rank, kind, least, i, length(found[i]) AS n, length(secret[i]) AS size, length(gaps[i]) AS gap FROM m, unnest(range(1, len(found) + 1)) AS v(i)),
+s AS (SELECT *, (sum(gap + n) OVER (PARTITION BY doc_id, kind ORDER BY i))::BIGINT AS e FROM u),
+k AS (SELECT * FROM s WHERE size >= least),
+r AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)},
+  string_agg({_LISTED}, ',' ORDER BY e - n, rank) FILTER (rank < {len(BASE)}) AS base, string_agg({_LISTED}, ',' ORDER BY e - n, rank) AS spans FROM k GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN r USING (doc_id)"""
+
+# At the size of the given tables every bucket is probed, so the search is exact.
+_NEIGHBOURS = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM e AS q JOIN e AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+ORACLES: dict[str, str] = {"op1_license_scan": _LICENSES, "op2_secret_scan": _SECRETS, "op4_nearest_neighbours": _NEIGHBOURS}
