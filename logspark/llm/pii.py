@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from logspark.llm.common import named, pieces, written_table
 
+# Titles before a person's name.
+TITLES = ["Mrs", "Mr", "Ms", "Miss", "Herr", "Frau", "Madame", "Monsieur", "Señora", "Señor", "Господин", "Госпожа"]
+
 # Kinds of entities and their shapes, in order of preference at one place.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*(?<=\.\p{L}{2,24})",
@@ -15,9 +18,23 @@ KINDS = {
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "person": r"(?<!\p{L})(?:Mrs|Mr|Ms|Miss|Herr|Frau|Madame|Monsieur|Señora|Señor|Господин|Госпожа)\.?+ \p{Lu}[\p{L}'’-]++(?: \p{Lu}[\p{L}'’-]++)?",
+    "person": rf"(?<!\p{{L}})(?:{'|'.join(TITLES)})\.?+ \p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++)?",
 }
-ANY = "|".join(KINDS.values())
+
+
+def any_kind() -> str:
+    """The joint pattern, in the order of KINDS at every place, without trying each shape at each character.
+
+    Shapes of digits start at a digit or a plus sign, names and account numbers never do, and no shape that
+    starts otherwise follows a letter: one look at the two characters there leaves out all other shapes.
+    """
+    titles = "(?=[" + "".join(sorted({t[0] for t in TITLES})) + "])"
+    digits = "|".join(KINDS[k] for k in ("email", "phone", "ip", "ssn", "card"))
+    words = "|".join((KINDS["email"], "(?=[A-Z])" + KINDS["iban"], titles + KINDS["person"]))
+    return rf"(?=[0-9+])(?:{digits})|(?<!\p{{L}})(?![0-9+])(?:{words})"
+
+
+ANY = any_kind()
 
 # Titles that tell a woman, and given names and syllables by gender and script.
 WOMAN = r"^(?:Mrs|Ms|Miss|Frau|Madame|Señora|Госпожа)"
@@ -161,7 +178,7 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     its measured size or else shuffles. Null and empty texts stay. Rows with equal or null doc_id share their lookups. An
     input column `n_entities` is replaced.
     """
-    found = entities(docs.select("doc_id", "text"))
+    found = written_table(entities(docs.select("doc_id", "text")).distinct(), "found")
     again = attempts(found, key)
     held = docs.select(F.struct(*[named(c) for c in docs.columns if c != "n_entities"]).alias("doc"))
     due = found.join(again, ["kind", "canon"]).select("doc_id", F.concat_ws("\x1f", "kind", "canon").alias("e"), "attempt")
