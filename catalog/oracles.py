@@ -172,6 +172,7 @@ _WEEK = "s >= TIMESTAMP '2024-01-08' AND s < TIMESTAMP '2024-01-15'"
 _JSON_TS = f"CASE event_id % 4 WHEN 0 THEN ts WHEN 1 THEN ts - INTERVAL 90 MINUTE WHEN 2 THEN ts END"
 _TYPED_TS = f"CASE event_type WHEN 'purchase' THEN {_JSON_TS} WHEN 'signup' THEN NULL ELSE ts END"
 _SQL_LINES = f"{_E} SELECT file, line_no, sec || ' [' || lvl || '] ' || msg AS line FROM e"
+_CHARSET = f"{_E} SELECT file, line_no, '{{}} ' || host || ' na{{}}ve ' || msg AS line FROM e"
 _BODY = "'\",\"level\":\"' || lower({level}) || '\",\"message\":\"' || {message} || '\",\"line_no\":' || event_id"
 _QUOTED = f"CASE WHEN event_id % 2 = 0 THEN msg || ' \\\"ok\\\"' ELSE {_LOGFMT_ODD} END"
 
@@ -179,6 +180,15 @@ ORACLES: dict[str, str] = {
     "lines_numbered": _SQL_LINES,
     "lines_gzip": _SQL_LINES,
     "whole_files": f"{_E} SELECT file, string_agg(sec || ' [' || lvl || '] ' || msg || chr(10), '' ORDER BY event_id) AS text FROM e GROUP BY file",
+    "lines_cp1252": _CHARSET.format("€", "ï"),
+    "lines_latin1": _CHARSET.format("\x80", "ï"),
+    "lines_utf16": _CHARSET.format("\x80", "ï"),
+    "bad_bytes_replaced": _CHARSET.format("\ufffd", "\ufffd"),
+    "bad_bytes_ignored": _CHARSET.format("", ""),
+    "suffix_allowlist": _SQL_LINES,
+    "own_tokens": f"{_E} SELECT event_id, false AS as_given, CASE user_id % 5 WHEN 1 THEN 'ERROR' ELSE 'INFO' END AS hit_level FROM e WHERE user_id % 5 IN (1, 3) "
+    "UNION ALL SELECT event_id, true, 'INFO' FROM e WHERE user_id % 5 = 3",
+    "default_lookback": _window("2024-01-14 12:00:00", "2024-01-15 12:00:00"),
     "sniff_formats": f"{_E} SELECT DISTINCT file, CASE event_type WHEN 'view' THEN 'access' WHEN 'click' THEN 'syslog' "
     "WHEN 'purchase' THEN 'jsonl' WHEN 'error' THEN 'bracket' ELSE 'unknown' END AS detected FROM e",
     "hits_access": f"{_E} SELECT event_id, {EXPECT['access'][2]} AS hit_level FROM e WHERE user_id % 5 < 3",

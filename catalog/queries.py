@@ -71,6 +71,36 @@ def whole_files(spark, sf_dir):
     return found.select(render.file_key().alias("file"), "text")
 
 
+def _charset(written: str, **options) -> Callable:
+    def query(spark, sf_dir):
+        found = ls.read_lines(spark, render.files(spark, sf_dir, "charset", charset=written), **options)
+        return found.select(render.file_key().alias("file"), "line_no", "line")
+
+    return query
+
+
+def suffix_allowlist(spark, sf_dir):
+    """Text files and files of a suffix that is not allowed, read together."""
+    folders = [render.files(spark, sf_dir, "bracket"), render.files(spark, sf_dir, "charset", charset="iso-8859-1")]
+    found = ls.read_lines(spark, [f"{folder}/*/*" for folder in folders], allowed_only=True)
+    return found.select(render.file_key().alias("file"), "line_no", "line")
+
+
+def own_tokens(spark, sf_dir):
+    """The prefilter with a caller's token table, in any letter case and in the given one."""
+    lines = render.lines(spark, sf_dir, "tokens")
+    tokens = {"ERROR": ["FAILED"], "INFO": ["Info"]}
+    any_case = ls.scan_hits(lines, "unknown", tokens=tokens).withColumn("as_given", F.lit(False))
+    as_given = ls.scan_hits(lines, "unknown", tokens=tokens, case_insensitive=False).withColumn("as_given", F.lit(True))
+    return any_case.unionByName(as_given).select(F.col("line_no").alias("event_id"), "as_given", "hit_level")
+
+
+def default_lookback(spark, sf_dir):
+    """No window given: the 24 hours before `as_of`."""
+    found = ls.entries(render.lines(spark, sf_dir, "bracket"), formats=["bracket"], fast_prefilter=False, as_of=AS_OF)
+    return fields(found).select("event_id", "ts", "level", "message")
+
+
 def sniff_formats(spark, sf_dir):
     found = ls.sniff_formats(ls.read_lines(spark, render.files(spark, sf_dir, "by_type")))
     return found.select(render.file_key().alias("file"), "detected")
@@ -343,6 +373,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lines_numbered": lines_numbered,
     "lines_gzip": lines_gzip,
     "whole_files": whole_files,
+    "lines_cp1252": _charset("iso-8859-1", encoding="cp1252"),
+    "lines_latin1": _charset("iso-8859-1", encoding="latin-1"),
+    "lines_utf16": _charset("UTF-16LE", encoding="utf-16-le"),
+    "bad_bytes_replaced": _charset("iso-8859-1"),
+    "bad_bytes_ignored": _charset("iso-8859-1", decode_errors="ignore"),
+    "suffix_allowlist": suffix_allowlist,
+    "own_tokens": own_tokens,
+    "default_lookback": default_lookback,
     "sniff_formats": sniff_formats,
     "hits_access": _hits("access", "access"),
     "hits_syslog": _hits("syslog5424", "syslog"),

@@ -60,6 +60,8 @@ LINE = {
 CHAIN = ("syslog5424", "access", "bracket5", "jsonl", "cef", "logfmt", "ltsv", "loose")
 LINE["chain"] = "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN {LINE[n]}" for i, n in enumerate(CHAIN)) + " END"
 LINE["payload"] = f"CASE event_id % 3 WHEN 0 THEN {LINE['bracket']} WHEN 1 THEN {LINE['logfmt']} ELSE {LINE['loose']} END"
+# Written as latin-1, the first character is the byte that cp1252 reads as a euro sign.
+LINE["charset"] = "char(128) || ' ' || host || ' naïve ' || msg"
 # One format per event type, so that every rendered file has one.
 LINE["by_type"] = (
     f"CASE event_type WHEN 'view' THEN {LINE['access']} WHEN 'click' THEN {LINE['syslog5424']} "
@@ -93,12 +95,15 @@ def lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _written: dict[tuple, str] = {}
 
 
-def files(spark: SparkSession, sf_dir: str, name: str, compression: str = "none") -> str:
-    """Folder of rendered log files, one per event type and million events, in event order."""
-    key = (spark.sparkContext.applicationId, sf_dir, name, compression)
+def files(spark: SparkSession, sf_dir: str, name: str, compression: str = "none", charset: str | None = None) -> str:
+    """Folder of rendered log files, one per event type and million events, in event order.
+
+    Spark's text sink writes UTF-8 only; another charset goes through the CSV sink, for lines that need no quotes.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name, compression, charset)
     if key not in _written:
         path = f"{shared_dir(spark)}/logs-{name}-{uuid.uuid4().hex}"
-        (
+        sink = (
             events(spark, sf_dir)
             .select("event_type", "part", "event_id", F.expr(LINE[name]).alias("value"))
             .repartition("event_type", "part")
@@ -106,8 +111,11 @@ def files(spark: SparkSession, sf_dir: str, name: str, compression: str = "none"
             .drop("event_id")
             .write.partitionBy("event_type", "part")
             .option("compression", compression)
-            .text(path)
         )
+        if charset is None:
+            sink.text(path)
+        else:
+            sink.option("encoding", charset).csv(path)
         _written[key] = path
     return _written[key]
 
