@@ -13,13 +13,13 @@ from logspark.operators.sniff import scan_hits, sniff_formats
 from logspark.operators.user import parse_with
 from logspark.operators.window import resolve_window
 from logspark.plans.jobs import Review, entries, review_dataset, triage, triage_with_review
-from logspark.session import prepare
+from logspark.session import prepare, remove_scratch
 from logspark.sources.lines import read_files, read_lines
 
 __all__ = [
     "Review", "dedup_segments", "effective_levels", "entries", "exclude_lines", "filter_contains",
     "filter_levels", "filter_window", "in_line_order", "keep_findings", "parse_entries", "parse_findings",
     "parse_levels", "parse_with", "prepare", "prompts", "read_files", "read_lines", "redact", "rejected",
-    "resolve_window", "review_dataset", "review_segments", "scan_hits", "segments", "sniff_formats",
+    "remove_scratch", "resolve_window", "review_dataset", "review_segments", "scan_hits", "segments", "sniff_formats",
     "split_entries", "to_payload", "triage", "triage_with_review", "write_entries",
 ]

@@ -44,6 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; all intermediate tables lie there."""
+    return f"{shared_dir(spark)}/logspark-{spark.sparkContext.applicationId}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables; results that still read them cannot be computed afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # A lookup side is broadcast up to this measured size; beyond it the join shuffles, and a file's rows
 # go to this many keys.
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
@@ -57,7 +68,7 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     runs.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

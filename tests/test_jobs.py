@@ -4,6 +4,7 @@ from datetime import UTC, datetime
 import pytest
 
 import logspark as ls
+from logspark import session
 
 ISO = [
     "2025-12-30T08:12:01Z [INFO] service started", "2025-12-30T08:12:03Z [WARNING] retrying request id=abc123",
@@ -123,3 +124,14 @@ def test_stream_matches_batch(spark, tmp_path):
         q.stop()
     batch = ls.entries(ls.read_lines(spark, str(tmp_path / "in")), as_of=as_of, hours_lookback=None, severities=["ERROR", "CRITICAL"])
     assert got == sorted((r.level, r.message) for r in batch.collect()) and len(got) == 3
+
+
+def test_intermediate_tables_in_one_folder(spark, tmp_path, monkeypatch):
+    """All lie below the application's folder, which one call removes without touching its neighbours."""
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    (tmp_path / "neighbour").mkdir()
+    assert session.written_table(spark.range(3).toDF("id"), "three").count() == 3
+    assert sorted(p.name for p in tmp_path.iterdir()) == [f"logspark-{spark.sparkContext.applicationId}", "neighbour"]
+    for _ in range(2):
+        ls.remove_scratch(spark)
+        assert [p.name for p in tmp_path.iterdir()] == ["neighbour"]
