@@ -191,6 +191,8 @@ ORACLES: dict[str, str] = {
     "default_lookback": _window("2024-01-14 12:00:00", "2024-01-15 12:00:00"),
     "sniff_formats": f"{_E} SELECT DISTINCT file, CASE event_type WHEN 'view' THEN 'access' WHEN 'click' THEN 'syslog' "
     "WHEN 'purchase' THEN 'jsonl' WHEN 'error' THEN 'bracket' ELSE 'unknown' END AS detected FROM e",
+    "read_and_sniff": f"{_E} SELECT file, CASE any_value(event_type) WHEN 'view' THEN 'access' WHEN 'click' THEN 'syslog' "
+    f"WHEN 'purchase' THEN 'jsonl' WHEN 'error' THEN 'bracket' ELSE 'unknown' END AS detected, count({_HIT}) AS hits FROM e GROUP BY file",
     "hits_access": f"{_E} SELECT event_id, {EXPECT['access'][2]} AS hit_level FROM e WHERE user_id % 5 < 3",
     "hits_syslog": f"{_E} SELECT event_id, lvl AS hit_level FROM e WHERE sev <= 4",
     "hits_tokens": f"{_E} SELECT event_id, lvl AS hit_level FROM e WHERE user_id % 5 < 4",

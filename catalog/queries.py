@@ -106,6 +106,14 @@ def sniff_formats(spark, sf_dir):
     return found.select(render.file_key().alias("file"), "detected")
 
 
+def read_and_sniff(spark, sf_dir):
+    """Formats found while the lines are counted, and the candidate lines they lead to."""
+    lines, found = ls.read_and_sniff(spark, render.files(spark, sf_dir, "by_type"))
+    hits = ls.scan_hits(lines, found).groupBy("file").agg(F.count("*").alias("hits"))
+    found = found.join(hits, "file", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return found.select(render.file_key().alias("file"), "detected", "hits")
+
+
 def _hits(name: str, detected: str) -> Callable:
     def query(spark, sf_dir):
         found = ls.scan_hits(render.lines(spark, sf_dir, name), detected)
@@ -382,6 +390,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "own_tokens": own_tokens,
     "default_lookback": default_lookback,
     "sniff_formats": sniff_formats,
+    "read_and_sniff": read_and_sniff,
     "hits_access": _hits("access", "access"),
     "hits_syslog": _hits("syslog5424", "syslog"),
     "hits_tokens": _hits("tokens", "unknown"),

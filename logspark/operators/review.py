@@ -72,7 +72,10 @@ def segments(entries: DataFrame, *, max_lines: int = fixed.SEGMENT_LINES, redact
 
 
 def dedup_segments(found: DataFrame) -> DataFrame:
-    """The first segment of every text in a file; only hashes and ids are regrouped, not texts."""
+    """The first segment of every text in a file; only hashes and ids are regrouped, not texts.
+
+    Reads `found` twice, so it should be a table and not segments still to be built.
+    """
     first = found.groupBy("file", "text_sha256").agg(F.min("segment_id").alias("segment_id"))
     return found.join(first.select("file", "segment_id"), ["file", "segment_id"], "left_semi")
 

@@ -2,47 +2,106 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark import fixed
 from logspark.functions.levels import pri_level, status_level
 from logspark.functions.text import ascii_upper, first_match, lit
 from logspark.operators.once import evaluate_once
-from logspark.session import join_by_file, written_table
+from logspark.session import join_by_file, prepare, written_table
+from logspark.sources.lines import block_index, line_text, numbered, raw_lines
 
 _ASCII_BLANKS = " \t\n\r\x0b\x0c"
 
 
+# The order in which a file's format is settled.
+_KINDS = ("access", "syslog", "jsonl", "bracket")
+# Bits of a row id that number the rows of one task.
+_IN_TASK = (1 << 33) - 1
+
+
+def _looks(line: Column, max_bytes: int) -> dict[str, Column]:
+    """Whether the head of a line looks like each of the formats."""
+    cut = F.substring(line.cast("binary"), 1, max_bytes).cast("string")
+    s = F.btrim(F.when(F.octet_length(line) > max_bytes, cut).otherwise(line), F.lit(_ASCII_BLANKS))
+    return dict(zip(_KINDS, (
+        s.rlike(fixed.SNIFF_ACCESS), s.rlike(fixed.SNIFF_SYSLOG), s.startswith("{") & s.endswith("}"), s.rlike(fixed.SNIFF_BRACKET),
+    ), strict=True))
+
+
+def _guess(sample_lines: int) -> Column:
+    """A file's format by its counts; a gzip file is judged by its compressed bytes, which look like nothing."""
+    enough = max(3, sample_lines // 10)
+    guess = F.when(F.lower("file").endswith(".gz"), "unknown")
+    for name in _KINDS:
+        guess = guess.when(F.col(name) >= enough, name)
+    return guess.otherwise("unknown").alias("detected")
+
+
+def _head_counts(lines: DataFrame, sample_lines: int, max_bytes: int) -> DataFrame:
+    head = lines.where(F.col("line_no") <= sample_lines)
+    return head.groupBy("file").agg(*[F.count_if(c).alias(name) for name, c in _looks(F.col("line"), max_bytes).items()])
+
+
 def sniff_formats(
     lines: DataFrame, sample_lines: int = fixed.SNIFF_LINES, max_bytes_per_line: int = fixed.SNIFF_BYTES
 ) -> DataFrame:
     """Guess each file's format from its first lines: `file, detected`.
 
-    A gzip file is judged by its compressed bytes, which look like nothing.
+    Takes a scan of `lines`; `read_and_sniff` finds the same while it counts lines.
     """
-    cut = F.substring(F.col("line").cast("binary"), 1, max_bytes_per_line).cast("string")
-    head = lines.where(F.col("line_no") <= sample_lines).select(
-        "file",
-        F.btrim(
-            F.when(F.octet_length("line") > max_bytes_per_line, cut).otherwise(F.col("line")),
-            F.lit(_ASCII_BLANKS),
-        ).alias("s"),
-    )
-    s = F.col("s")
-    counts = head.groupBy("file").agg(
-        F.count_if(s.rlike(fixed.SNIFF_ACCESS)).alias("access"),
-        F.count_if(s.rlike(fixed.SNIFF_SYSLOG)).alias("syslog"),
-        F.count_if(s.startswith("{") & s.endswith("}")).alias("jsonl"),
-        F.count_if(s.rlike(fixed.SNIFF_BRACKET)).alias("bracket"),
+    return _head_counts(lines, sample_lines, max_bytes_per_line).select("file", _guess(sample_lines))
+
+
+def read_and_sniff(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    sample_lines: int = fixed.SNIFF_LINES,
+    max_bytes_per_line: int = fixed.SNIFF_BYTES,
+    *,
+    encoding: str = "utf-8",
+    decode_errors: str = "replace",
+    line_sep: str | None = None,
+    allowed_only: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """`read_lines` of files, and their formats (`file, detected`, a written table; no row for a file without lines).
+
+    The scan that counts the lines of every split looks at the first lines on the way: where a file's first split
+    is also its task's first, a row's number in the task is its place. That holds for every file of at least a split's
+    size. Smaller files, several of which share a task, and files whose first split has too few lines are
+    read once more (with an index of their own, unless all files are that small).
+    """
+    prepare(spark)
+    raw = raw_lines(spark, paths, encoding, line_sep, allowed_only)
+    text = line_text(encoding, decode_errors)
+    place = F.col("row").bitwiseAND(F.lit(_IN_TASK))
+    # One number for a line's looks, so that nothing of it is computed for lines that are not looked at.
+    code = sum((c.cast("int") * (1 << i) for i, c in enumerate(_looks(text, max_bytes_per_line).values())), F.lit(0))
+    looked = raw.withColumn("looks", F.when((F.col("block") == 0) & (place < sample_lines), code))
+    counts = [F.count_if(F.col("looks").bitwiseAND(F.lit(1 << i)) != 0).alias(name) for i, name in enumerate(_KINDS)]
+    index = written_table(block_index(looked, F.max("size").alias("size"), *counts), "line-index")
+    lines = numbered(raw, index, text)
+
+    head = (F.col("block") == 0) & (F.col("first_row").bitwiseAND(F.lit(_IN_TASK)) == 0)
+    files = index.groupBy("file").agg(
+        F.max("size").alias("size"), F.coalesce(F.max(F.when(head, F.col("n_rows"))), F.lit(0)).alias("seen"),
+        F.sum("n_rows").alias("n_lines"), *[F.max(name).alias(name) for name in _KINDS],
     )
-    enough = max(3, sample_lines // 10)
-    guess = F.when(F.lower("file").endswith(".gz"), "unknown")
-    for name in ("access", "syslog", "jsonl", "bracket"):
-        guess = guess.when(F.col(name) >= enough, name)
-    return counts.select("file", guess.otherwise("unknown").alias("detected"))
+    settled = F.lower("file").endswith(".gz") | (F.col("seen") >= F.least(F.lit(sample_lines), F.col("n_lines")))
+    files = files.withColumn("settled", settled)
+    found = files.where("settled").select("file", *_KINDS)
+    largest, rest = files.agg(F.max("size"), F.max(F.when(~F.col("settled"), F.col("size")))).first()
+    if rest is not None:
+        again = lines
+        if rest < largest:
+            small = raw.where(F.col("size") <= rest)
+            again = numbered(small, written_table(block_index(small), "line-index"), text)
+        others = _head_counts(again, sample_lines, max_bytes_per_line)
+        found = found.unionByName(others.join(files.where("NOT settled").select("file"), "file", "left_semi"))
+    return lines, written_table(found.select("file", _guess(sample_lines)), "detected")
 
 
 def hit_level(
@@ -66,12 +125,13 @@ def hit_level(
 
 
 def with_detected(lines: DataFrame, detected: DataFrame | str) -> DataFrame:
-    """Add the `detected` column: a format name for all files, or a `file, detected` table."""
+    """Add the `detected` column: a format name for all files, or a `file, detected` table (`unknown` for files it does not name)."""
     if isinstance(detected, str):
         if detected not in fixed.DETECTED:
             raise ValueError(f"unknown format {detected!r}; known: {', '.join(fixed.DETECTED)}")
         return lines.withColumn("detected", F.lit(detected))
-    return join_by_file(lines, written_table(detected, "detected"))
+    joined = join_by_file(lines, written_table(detected, "detected"))
+    return joined.withColumn("detected", F.coalesce("detected", F.lit("unknown")))
 
 
 def scan_hits(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logspark import fixed
 from logspark.operators import filters, review
 from logspark.operators.parse import ENTRY_SCHEMA, parse_entries
-from logspark.operators.sniff import scan_hits
+from logspark.operators.sniff import read_and_sniff, scan_hits
 from logspark.operators.window import resolve_window
 from logspark.session import prepare, written_table
 from logspark.sources.lines import read_lines
@@ -49,7 +49,8 @@ def entries(
     """Entries of numbered lines after prefilter, parse and filters.
 
     `fast_prefilter` looks at candidate lines only, in files whose format is recognised; without it
-    every line is parsed.
+    every line is parsed. Without `detected`, the formats take a scan of `lines`; lines of files had better
+    come with their formats from `read_and_sniff`, as in `triage`.
     """
     prepare(lines.sparkSession)
     if (since is not None or until is not None) and hours_lookback is not None:
@@ -116,9 +117,11 @@ def triage(
     )
     lookback = 24 if start is None and end is None else None
     window = dict(since=start, until=end, hours_lookback=lookback, contains=contains, as_of=as_of)
-    lines = read_lines(
-        spark, paths, encoding=encoding, decode_errors=decode_errors, line_sep=line_sep, allowed_only=allowed_only
-    )
+    reading = dict(encoding=encoding, decode_errors=decode_errors, line_sep=line_sep, allowed_only=allowed_only)
+    if not include_review and options.get("fast_prefilter", True) and options.get("detected") is None:
+        lines, options["detected"] = read_and_sniff(spark, paths, options.get("sniff_lines", fixed.SNIFF_LINES), **reading)
+    else:
+        lines = read_lines(spark, paths, **reading)
     if include_review:
         return triage_with_review(
             lines, identified_levels=wanted or (), reviewer=reviewer,
@@ -144,13 +147,14 @@ def review_dataset(
 ) -> DataFrame:
     """Segments, with prompts, of the entries that carry no identified level.
 
-    The review entries are written once to the shared folder, so that no line is parsed twice.
+    The review entries and the segments are written once to the shared folder, so that no line is parsed, and no text
+    masked or hashed, twice.
     """
     identified = list(identified_levels)
     found = _review_entries(lines, identified, exclude, hours_lookback=hours_lookback, **options)
     _, rest = review.split_entries(found, identified)
     rest = written_table(rest.select("file", "line_no", "ts", "ts_naive", "level", "message"), "review-entries")
-    segments = review.segments(rest, max_lines=segment_max_lines, redacted=redact)
+    segments = written_table(review.segments(rest, max_lines=segment_max_lines, redacted=redact), "segments")
     return review.prompts(review.dedup_segments(segments), identified)
 
 
@@ -171,7 +175,7 @@ def triage_with_review(
 ) -> Review:
     """Identified entries, review segments with prompts and, given a reviewer, its findings.
 
-    The parsed entries are written once to the shared folder: both halves read them from there, and a
+    The parsed entries and the segments are written once to the shared folder and read from there, and a
     reviewer's answers are stored before they are checked, so no line is parsed and no segment
     reviewed twice.
     """
@@ -179,7 +183,7 @@ def triage_with_review(
     found = _review_entries(lines, identified, exclude, hours_lookback=hours_lookback, **options)
     found = written_table(found if include_raw else found.drop("raw"), "entries")
     known, rest = review.split_entries(found, identified)
-    segments = review.segments(rest, max_lines=segment_max_lines, redacted=redact)
+    segments = written_table(review.segments(rest, max_lines=segment_max_lines, redacted=redact), "segments")
     segments = review.prompts(review.dedup_segments(segments), identified)
     if reviewer is None:
         return Review(known, segments, None, None)

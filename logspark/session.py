@@ -88,13 +88,13 @@ def fits_broadcast(table: DataFrame, row_bytes: int = 64) -> bool:
 
 
 def join_by_file(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Join numbered lines with a written table that has one row a file.
+    """Add to numbered lines the columns of a written table that has one row a file; NULL for files it does not name.
 
     A small table is broadcast. A larger one is shuffled with KEYS_A_FILE copies of each row, and a line
     takes the copy its number says, so that a big file is spread over tasks either way.
     """
     if fits_broadcast(table):
-        return rows.join(F.broadcast(table), "file")
+        return rows.join(F.broadcast(table), "file", "left")
     copies = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(KEYS_A_FILE - 1))))
     key = F.pmod(F.coalesce(F.col("line_no"), F.lit(0)), F.lit(KEYS_A_FILE)).cast("int")
-    return rows.withColumn("_copy", key).join(copies, ["file", "_copy"]).drop("_copy")
+    return rows.withColumn("_copy", key).join(copies, ["file", "_copy"], "left").drop("_copy")

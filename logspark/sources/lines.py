@@ -68,13 +68,49 @@ def _one_byte(value: Column, encoding: str, errors: str) -> Column:
     return F.translate(wide, "".join(b for b, _ in other), "".join(c for _, c in other)) if other else wide
 
 
-def _block_index(raw: DataFrame) -> DataFrame:
-    """Per split of a file: its first row id, its rows, and the rows of the file before it."""
-    blocks = raw.groupBy("file", "block").agg(F.min("row").alias("first_row"), F.count("*").alias("n_rows"))
+def raw_lines(
+    spark: SparkSession, paths: str | Sequence[str], encoding: str = "utf-8", line_sep: str | None = None, allowed_only: bool = False
+) -> DataFrame:
+    """Lines as stored, with their split: `file, size, block, row, value`."""
+    reader = spark.read
+    wide = _UTF16.get(encoding.lower().replace("_", "-"))
+    if wide:  # lines end at the separator's own two bytes; inner carriage returns stay
+        reader, line_sep = reader.option("encoding", wide), line_sep or "\n"
+    if line_sep is not None:
+        reader = reader.option("lineSep", line_sep)
+    if allowed_only:
+        reader = reader.option("pathGlobFilter", allowed_glob())
+    return reader.text([paths] if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col("value"),
+    )
+
+
+def line_text(encoding: str = "utf-8", decode_errors: str = "replace") -> Column:
+    """The text of a stored line, without its end."""
+    return F.rtrim(decoded(F.col("value"), encoding, decode_errors), F.lit("\r\n"))
+
+
+def block_index(raw: DataFrame, *more: Column) -> DataFrame:
+    """Per split of a file: its first row id, its rows, the rows of the file before it, and `more` aggregates."""
+    blocks = raw.groupBy("file", "block").agg(F.min("row").alias("first_row"), F.count("*").alias("n_rows"), *more)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return blocks.withColumn("before", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
 
 
+def numbered(raw: DataFrame, index: DataFrame, text: Column) -> DataFrame:
+    """`file, line_no, line` of raw lines by the written index of the same scan."""
+    places = index.select("file", "block", "first_row", "n_rows", "before")
+    place = F.col("row") - F.col("first_row")
+    number = F.when(
+        F.col("first_row").isNotNull() & (place >= 0) & (place < F.col("n_rows")), F.col("before") + place + 1
+    ).otherwise(F.raise_error(F.lit("file splits changed between two scans")).cast("bigint"))
+    return raw.join(lookup_side(places), ["file", "block"], "left").select("file", number.alias("line_no"), text.alias("line"))
+
+
 def read_lines(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -93,29 +129,8 @@ def read_lines(
     returns, the default splits on `\\n`, `\\r\\n` and `\\r`.
     """
     prepare(spark)
-    reader = spark.read
-    wide = _UTF16.get(encoding.lower().replace("_", "-"))
-    if wide:  # lines end at the separator's own two bytes; inner carriage returns stay
-        reader, line_sep = reader.option("encoding", wide), line_sep or "\n"
-    if line_sep is not None:
-        reader = reader.option("lineSep", line_sep)
-    if allowed_only:
-        reader = reader.option("pathGlobFilter", allowed_glob())
-    raw = reader.text([paths] if isinstance(paths, str) else list(paths)).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-        F.col("value"),
-    )
-    index = written_table(_block_index(raw), "line-index")
-    place = F.col("row") - F.col("first_row")
-    number = F.when(
-        F.col("first_row").isNotNull() & (place >= 0) & (place < F.col("n_rows")), F.col("before") + place + 1
-    ).otherwise(F.raise_error(F.lit("file splits changed between two scans")).cast("bigint"))
-    text = decoded(F.col("value"), encoding, decode_errors)
-    return raw.join(lookup_side(index), ["file", "block"], "left").select(
-        "file", number.alias("line_no"), F.rtrim(text, F.lit("\r\n")).alias("line")
-    )
+    raw = raw_lines(spark, paths, encoding, line_sep, allowed_only)
+    return numbered(raw, written_table(block_index(raw), "line-index"), line_text(encoding, decode_errors))
 
 
 def read_files(

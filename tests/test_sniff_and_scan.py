@@ -1,4 +1,5 @@
 import gzip
+import os
 
 import pytest
 
@@ -87,3 +88,60 @@ def test_hits_per_detected_file(spark, tmp_path):
     assert count(ls.scan_hits(df, pass_unknown=True)) == {"a.log": 10, "b.log": 12, "c.log": 2}
     with pytest.raises(ValueError):
         ls.scan_hits(df, "xml")
+
+
+def _read_bytes(spark):
+    """Bytes that this JVM has read from local files so far."""
+    statistics = spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics()
+    return sum(s.getBytesRead() for s in statistics if s.getScheme() == "file")
+
+
+def test_formats_found_while_counting_are_those_of_a_scan(spark, write):
+    texts = {
+        "a.log": [ACCESS.format(404)] * 300, "b.log": ["x [INFO] y"] * 11 + ["plain"] * 400, "c.log": ["x [INFO] y"] * 12,
+        "d.log": [SYSLOG.format(34)] * 12 + ["é" * 5000] * 30, "e.log": ["plain"] * 120 + ['{"a":1}'] * 50,
+    }
+    paths = [write(*lines, name=name) for name, lines in texts.items()] + [write(name="f.log", data=b"")]
+    paths.append(write(name="g.log.gz", data=gzip.compress(b"x [INFO] y\n" * 50)))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    try:
+        # Splits of many, some and no files; at the least, first splits have fewer lines than the sample.
+        for size in ("128m", "40k", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for options in ({}, {"encoding": "latin-1"}, {"allowed_only": True}):
+                lines, found = ls.read_and_sniff(spark, paths, **options)
+                whole = ls.read_lines(spark, paths, **options)
+                assert rows(found) == rows(ls.sniff_formats(whole))
+                assert [name for _, name in rows(found)] == ["access", "unknown", "bracket", "syslog", "unknown", "unknown"]
+                assert rows(lines) == rows(whole)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    wide = write(name="w.log", data=("x [INFO] y\n" * 12).encode("utf-16-le"))
+    assert [r.detected for r in ls.read_and_sniff(spark, wide, encoding="utf-16-le")[1].collect()] == ["bracket"]
+    assert rows(ls.read_and_sniff(spark, paths[5])[1]) == []
+
+
+def test_a_large_file_is_read_once_for_number_and_format(spark, write):
+    large = write(*["x [INFO] some words to fill the line"] * 400_000, name="large.log")
+    small = write(*["plain"] * 200, name="small.log")
+    size = os.path.getsize(large)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        before = _read_bytes(spark)
+        lines, found = ls.read_and_sniff(spark, [large, small])
+        assert sorted(r.detected for r in found.collect()) == ["bracket", "unknown"]
+        assert _read_bytes(spark) - before < 1.4 * size
+        assert lines.count() == 400_200
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_that_a_table_does_not_name_are_unknown(spark, lines, monkeypatch):
+    from logspark import session
+
+    found = lines("x [INFO] y", "plain", file="a").unionByName(lines("<11>1 z", "<14>1 z", file="b"))
+    table = spark.createDataFrame([("b", "syslog")], "file string, detected string")
+    for limit in (session.MAX_BROADCAST_BYTES, 0):
+        monkeypatch.setattr(session, "MAX_BROADCAST_BYTES", limit)
+        got = sorted((r.file, r.line_no) for r in ls.scan_hits(found, table, pass_unknown=True).collect())
+        assert got == [("a", 1), ("a", 2), ("b", 1)]
