@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logspark.llm.byte_words import mix, tokens, word_hashes
 from logspark.llm.common import named, written_table
@@ -16,7 +17,7 @@ from logspark.llm.common import named, written_table
 SAMPLE, CHECK = 16_000, 4
 #: Buckets of n-grams; how many uses of the pooled model smooth each model; weight of a lost clean text at the cut.
 BUCKETS, SMOOTH, LOSS = 1 << 17, 500.0, 10.0
-#: Least G-squared statistic with which a bucket tells two models apart; others weigh nothing.
+#: Least G-squared statistic, over families of texts, with which a bucket tells two models apart; others weigh nothing.
 EVIDENCE = 50.0
 #: Label of a target text, and of raw texts by what is wrong with them: each kind has a model of its own.
 TARGET, LOW, TOXIC = 0, 1, 2
@@ -37,36 +38,58 @@ def features(text: str | None) -> np.ndarray:
     return (mix(np.concatenate([one, two])) >> marks).astype(np.int64)
 
 
-def _frequencies(docs: DataFrame) -> np.ndarray:
-    """Bucket counts by kind of text: summed in each task, then over tasks; as large as the buckets."""
+def family(text: str | None) -> int:
+    """The least hash among a text's pairs of neighbours, its only token, or 0: near copies mostly share it."""
+    found = features(text)
+    n = (found.size + 1) // 2
+    pairs = found[n:] if found.size > 1 else found
+    return int((mix(pairs.astype(np.uint64)) >> np.uint64(1)).min()) if pairs.size else 0
+
+
+@F.pandas_udf(T.LongType())
+def _families(texts: pd.Series) -> pd.Series:
+    return pd.Series([family(t) for t in texts], dtype="int64")
+
+
+def _frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Uses of each bucket and texts that hold it, by kind of text: summed in each task, then over tasks."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((3, BUCKETS))
+        uses, held = np.zeros((3, BUCKETS)), np.zeros((3, BUCKETS))
         for frame in frames:
             for kind, text in zip(frame["kind"], frame["text"], strict=True):
-                sums[int(kind)] += np.bincount(features(text), minlength=BUCKETS)
+                n = np.bincount(features(text), minlength=BUCKETS)
+                uses[int(kind)] += n
+                held[int(kind)] += n > 0
         for side in range(3):
-            full = np.flatnonzero(sums[side])
-            yield pd.DataFrame({"side": side, "bucket": full, "n": sums[side, full]})
-
-    rows = docs.mapInPandas(count, "side int, bucket int, n double").groupBy("side", "bucket").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros((3, BUCKETS))
-    for side, bucket, n in rows:
-        out[side, bucket] = n
+            full = np.flatnonzero(uses[side])
+            yield pd.DataFrame({"side": side, "bucket": full, "n": uses[side, full], "d": held[side, full]})
+
+    rows = docs.mapInPandas(count, "side int, bucket int, n double, d double")
+    uses, held = np.zeros((3, BUCKETS)), np.zeros((3, BUCKETS))
+    for side, bucket, n, d in rows.groupBy("side", "bucket").agg(F.sum("n"), F.sum("d")).collect():
+        uses[side, bucket], held[side, bucket] = n, d
+    return uses, held
+
+
+def evidence(target: np.ndarray, raw: np.ndarray, n_target: int, n_raw: int) -> np.ndarray:
+    """G-squared statistic of each bucket: texts that hold it, of the target's and of the raw ones."""
+    share = (target + raw) / (n_target + n_raw)
+    out = np.zeros(len(share))
+    for held, n in ((target, n_target), (raw, n_raw)):
+        for part, chance in ((held, share), (n - held, 1 - share)):
+            some = part > 0
+            out[some] += 2 * part[some] * np.log(part[some] / (n * chance[some]))
     return out
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log-ratio of two smoothed bag-of-n-gram models, 0 where the counts do not tell them apart."""
+    """Log-ratio of two smoothed bag-of-n-gram models."""
     pooled = (target + raw) / (target.sum() + raw.sum())
     smooth = [(c + SMOOTH * pooled) / (c.sum() + SMOOTH) for c in (target, raw)]
     seen = pooled > 0
-    out, evidence = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    out = np.zeros(BUCKETS)
     out[seen] = np.log(smooth[0][seen]) - np.log(smooth[1][seen])
-    for c in (target, raw):
-        some = c > 0
-        evidence[some] += 2 * c[some] * np.log(c[some] / (c.sum() * pooled[some]))
-    out[evidence < EVIDENCE] = 0
     return out
 
 
@@ -89,26 +112,44 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "kind", check.alias("check"))
 
 
+def _ratios(learning: DataFrame) -> np.ndarray:
+    """Log-ratios of the target's model over that of each kind of raw text, 0 for buckets that prove nothing."""
+    uses, held = _frequencies(learning)
+    n = {k: rows for k, rows in learning.groupBy("kind").count().collect()}
+    kinds = [k for k in (LOW, TOXIC) if uses[TARGET].any() and uses[k].any()]
+    out = np.zeros((len(kinds), BUCKETS))
+    for ratio, k in zip(out, kinds, strict=True):
+        proven = evidence(held[TARGET], held[k], n[TARGET], n[k]) >= EVIDENCE
+        ratio[proven] = log_ratio(uses[TARGET], uses[k])[proven]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Log-ratios of n-gram models, target over each kind of raw text, and the weight to cut at.
 
-    The models are smoothed towards the pooled one, and buckets whose counts do not tell two models apart weigh nothing, so
-    that the many rare words of a long text do not drown what matters. The cut is the weight that
+    Near copies are one text to the models: of the learning texts of one kind and family, one is counted (every text, where
+    families are too few to prove anything). The models are
+    smoothed towards the pooled one, and buckets that do not tell two models apart by the number of texts that hold them
+    weigh nothing, so that the many rare words of a long text, or of a text with many copies, do not drown what matters. The cut is the weight that
     parts the held-out labelled texts best when a lost target text counts LOSS times a kept other one. Without
     texts of both sides every weight is 0 and all are kept.
     """
-    known = written_table(labelled(docs, labels, sample), "labelled")
-    counts = _frequencies(known.where("NOT check"))
-    ratios = [log_ratio(counts[TARGET], counts[k]) for k in (LOW, TOXIC) if counts[TARGET].any() and counts[k].any()]
-    model = {"ratios": np.array(ratios).reshape(len(ratios), BUCKETS), "cut": -1.0}
-    if not ratios:
+    known = labelled(docs, labels, sample).withColumn("family", _families("text")).withColumn("row", F.monotonically_increasing_id())
+    known = written_table(known, "labelled")
+    learning = known.where("NOT check")
+    one = learning.groupBy("kind", "family").agg(F.min("row").alias("row")).select("row")
+    ratios = _ratios(learning.join(one, "row", "left_semi"))
+    if not ratios.any():
+        ratios = _ratios(learning)
+    model = {"ratios": ratios, "cut": -1.0}
+    if not len(ratios):
         return model
-    held = known.where("check").select(weight(known, model, "text").alias("w"), (F.col("kind") == TARGET).cast("int").alias("target")).toPandas()
-    if held["target"].nunique() == 2:
-        held = held.sort_values("w", kind="stable")
-        w = np.concatenate([[held["w"].iloc[0] - 2.0], held["w"].to_numpy(), [held["w"].iloc[-1] + 2.0]])
-        lost = np.concatenate([[0], np.cumsum(held["target"])])
-        other = np.concatenate([[0], np.cumsum(1 - held["target"])])
+    checks = known.where("check").select(weight(known, model, "text").alias("w"), (F.col("kind") == TARGET).cast("int").alias("target")).toPandas()
+    if checks["target"].nunique() == 2:
+        checks = checks.sort_values("w", kind="stable")
+        w = np.concatenate([[checks["w"].iloc[0] - 2.0], checks["w"].to_numpy(), [checks["w"].iloc[-1] + 2.0]])
+        lost = np.concatenate([[0], np.cumsum(checks["target"])])
+        other = np.concatenate([[0], np.cumsum(1 - checks["target"])])
         cost = np.where(w[1:] > w[:-1], LOSS * lost + other[-1] - other, np.inf)  # equal weights are not parted
         best = int(cost.argmin())
         model["cut"] = float((w[best] + w[best + 1]) / 2)
