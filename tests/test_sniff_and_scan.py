@@ -106,14 +106,13 @@ def test_formats_found_while_counting_are_those_of_a_scan(spark, write):
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     try:
         # Splits of many, some and no files; at the least, first splits have fewer lines than the sample.
-        for size in ("128m", "40k", "1k"):
+        for size, options in (("128m", {"encoding": "latin-1"}), ("40k", {"allowed_only": True}), ("16k", {})):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-            for options in ({}, {"encoding": "latin-1"}, {"allowed_only": True}):
-                lines, found = ls.read_and_sniff(spark, paths, **options)
-                whole = ls.read_lines(spark, paths, **options)
-                assert rows(found) == rows(ls.sniff_formats(whole))
-                assert [name for _, name in rows(found)] == ["access", "unknown", "bracket", "syslog", "unknown", "unknown"]
-                assert rows(lines) == rows(whole)
+            lines, found = ls.read_and_sniff(spark, paths, **options)
+            whole = ls.read_lines(spark, paths, **options)
+            assert rows(found) == rows(ls.sniff_formats(whole))
+            assert [name for _, name in rows(found)] == ["access", "unknown", "bracket", "syslog", "unknown", "unknown"]
+            assert rows(lines) == rows(whole)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     wide = write(name="w.log", data=("x [INFO] y\n" * 12).encode("utf-16-le"))
