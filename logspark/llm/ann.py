@@ -9,10 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logspark.llm.common import written_table
+
 #: Hash tables, share of a table's buckets that a query probes, and candidates it should meet at least (all if fewer).
 TABLES, PROBES, WANTED = 10, 0.08, 1000
 #: Vectors and queries that meet in one group at most, about; larger buckets are split into such groups.
 GROUP, QUERIES = 20_000, 4_000
+#: Bands of length that an octave has.
+STEPS = 4
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -23,6 +27,12 @@ def usable(table: DataFrame) -> DataFrame:
     return held.where(finite & F.exists("v", lambda x: x != 0))
 
 
+def by_size(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Dimension, vec_ids and vectors of the rows of each dimension."""
+    for dim, own in frame.groupby(frame["v"].map(len)):
+        yield int(dim), own["vec_id"].to_numpy(np.int64), np.array(own["v"].tolist(), dtype=np.float64).reshape(len(own), dim)
+
+
 def rotated(x: np.ndarray, table: int, seed: int) -> np.ndarray:
     """Pseudo-random rotation: three rounds of random signs and the fast Hadamard transform."""
     n = x.shape[1]
@@ -46,21 +56,14 @@ def axes(x: np.ndarray, table: int, probes: int, seed: int) -> np.ndarray:
     return np.argsort(-signed, axis=1, kind="stable")[:, :probes]
 
 
-def lifted(v: np.ndarray, longest: float, width: int, query: bool) -> np.ndarray:
-    """Vectors as unit vectors of `width` components, so that the largest inner product is the nearest.
-
-    A data vector is divided by the greatest length and gets one component that fills it up to one; a
-    query is divided by its own length.
-    """
-    out = np.zeros((len(v), width))
-    if query:
-        out[:, : v.shape[1]] = v / np.linalg.norm(v, axis=1, keepdims=True)
-    else:
-        out[:, : v.shape[1]] = v / longest
-        fill = np.clip(1 - (out**2).sum(axis=1), 0, None)
-        if v.shape[1] < width:
-            out[:, v.shape[1]] = np.sqrt(fill)
-    return out
+def directions(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of `width` components, and the bands of length they come from."""
+    most = np.abs(v).max(axis=1, keepdims=True)
+    unit = v / most
+    length = np.sqrt((unit**2).sum(axis=1, keepdims=True))
+    # Half a step aside, so that vectors of about unit length share a band.
+    band = np.floor(STEPS * (np.log2(most) + np.log2(length)) + 0.5)[:, 0].astype(np.int64)
+    return np.pad(unit / length, ((0, 0), (0, width - v.shape[1]))), band
 
 
 def exact(q: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -76,12 +79,18 @@ def search(
 ) -> DataFrame:
     """The k largest inner products for each row whose vec_id is divisible by `every`: `query_id, rank, vec_id, score`.
 
-    Every vector falls into one bucket a table, that of its nearest signed axis after a fast Hadamard
+    Vectors are hashed by their directions, so that a vector's length does not move its bucket. What a short
+    direction match loses, a greater length can win: vectors are counted by bands of nearly equal length, and only a
+    band that is large enough for a share of it to hold WANTED vectors is hashed, or one that holds most of the vectors.
+    Every query meets all vectors of the other bands.
+
+    A hashed vector falls into one bucket a table, that of its nearest signed axis after a fast Hadamard
     pseudo-rotation; a query probes the buckets of its nearest axes. A bucket's vectors and queries
     meet in one group, where candidates are reranked by their exact products and the k best of a query leave it.
     Buckets are counted first (as many numbers as tables times axes); a large one is split by vectors
     and by queries, and the parts are paired, so no group grows with a hot bucket and no candidate is lost. The share of axes probed
-    rises where few vectors are held, so that small tables are searched whole.
+    rises where few vectors are held, so that small tables are searched whole. Queries that end with fewer
+    than k candidates meet every vector.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor those of another
     dimension than most have. Rows that repeat a vec_id are one candidate with its best product; a query never
@@ -89,67 +98,86 @@ def search(
     Ties go to the smaller vec_id.
     """
     held = usable(table)
-    # One row a dimension: a few numbers.
-    kinds = held.groupBy(F.size("v").alias("dim")).agg(
-        F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("most"),
-        F.min(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("least"),
-    ).orderBy(F.desc("n"), "dim").limit(1).collect()
+
+    def lengths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dim, _, v in by_size(frame):
+                band, n = np.unique(directions(v, dim)[1], return_counts=True)
+                yield pd.DataFrame({"dim": dim, "band": band, "n": n})
+
+    # One row a dimension and band: a few numbers.
+    kinds: dict[int, dict[int, int]] = {}
+    for dim, band, n in held.mapInPandas(lengths, "dim int, band long, n long").groupBy("dim", "band").agg(F.sum("n").alias("n")).collect():
+        kinds.setdefault(dim, {})[band] = n
     schema = "query_id long, rank int, vec_id long, score double"
     if not kinds:
         return table.sparkSession.createDataFrame([], schema)
-    dim, n, most, least = kinds[0]
-    alike = least >= most * (1 - 1e-5)
-    width = 1 << max(1, (dim if alike else dim + 1) - 1).bit_length()
-    longest = float(np.sqrt(most))
-    buckets = 2 * width
-    probes = int(min(buckets, max(1, round(buckets * probe_share), -(-buckets * WANTED // n))))
-    held = held.where(F.size("v") == dim)
-
-    def hashed(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray | None]]:
+    kinds = dict(sorted(kinds.items(), key=lambda kind: (-sum(kind[1].values()), kind[0]))[:1])
+    held = held.where(F.size("v").isin(list(kinds)))
+    # By dimension: first bucket (of the vectors that all queries meet), width, probes, and the bands that are not hashed.
+    plans, n_buckets = {}, 0
+    for dim, bands in kinds.items():
+        large = [n for n in bands.values() if n * probe_share >= WANTED or n > max(WANTED, sum(bands.values()) / 2)]
+        width = 1 << max(1, (dim - 1).bit_length())
+        probes = int(min(2 * width, max(1, round(2 * width * probe_share), -(-2 * width * WANTED // min(large))))) if large else 0
+        plans[dim] = n_buckets, width, probes, [band for band, n in bands.items() if n not in large]
+        n_buckets += 1 + (2 * width * tables if large else 0)
+
+    def places(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids and vectors; the rows that fall into buckets, and those; the rows that ask, and the buckets they probe."""
         for at in range(0, len(frame), 2000):
-            part = frame.iloc[at : at + 2000]
-            ids = part["vec_id"].to_numpy(np.int64)
-            v = np.array(part["v"].tolist(), dtype=np.float64).reshape(len(part), dim)
-            asks = np.flatnonzero(ids % every == 0)
-            data, ask = lifted(v, longest, width, False), lifted(v[asks], longest, width, True)
-            for t in range(tables):
-                yield ids, v, t, axes(data, t, 1, seed)[:, 0], asks, axes(ask, t, probes, seed) if len(asks) else np.zeros((0, probes), int)
+            for dim, ids, v in by_size(frame.iloc[at : at + 2000]):
+                start, width, probes, whole = plans[dim]
+                unit, band = directions(v, width)
+                near = ~np.isin(band, whole) & (probes > 0)
+                asks, rows, rest = np.flatnonzero(ids % every == 0), np.flatnonzero(near), np.flatnonzero(~near)
+                if whole:
+                    yield ids, v, rest, np.full(len(rest), start), asks, np.full((len(asks), 1), start)
+                for t in range(tables if probes else 0):
+                    first = start + 1 + 2 * width * t
+                    own = axes(unit[rows], t, 1, seed)[:, 0] if len(rows) else rows
+                    yield ids, v, rows, first + own, asks, first + axes(unit[asks], t, probes, seed) if len(asks) else np.zeros((0, probes), int)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, tables * buckets), np.int64)
+        sums = np.zeros((2, n_buckets), np.int64)
         for frame in frames:
-            for _, _, t, own, _, asked in hashed(frame):
-                sums[0] += np.bincount(t * buckets + own, minlength=tables * buckets)
-                sums[1] += np.bincount(t * buckets + asked.ravel(), minlength=tables * buckets)
+            for _, _, _, own, _, asked in places(frame):
+                sums[0] += np.bincount(own, minlength=n_buckets)
+                sums[1] += np.bincount(asked.ravel(), minlength=n_buckets)
         full = np.flatnonzero(sums.sum(axis=0))
         yield pd.DataFrame({"bucket": full, "n": sums[0, full], "asked": sums[1, full]})
 
     sizes = held.mapInPandas(count, "bucket long, n long, asked long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked"))
-    splits = np.ones((2, tables * buckets), np.int64)
+    splits = np.ones((2, n_buckets), np.int64)
     for bucket, n_data, n_asked in sizes.collect():
         splits[:, bucket] = max(1, -(-n_data // GROUP)), max(1, -(-n_asked // QUERIES))
 
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(places, splits: np.ndarray):
         """Rows of cells (bucket, part of its vectors, part of its queries): each vector and each query where it is met."""
-        for frame in frames:
-            for ids, v, t, own, asks, asked in hashed(frame):
-                raw = [r.tobytes() for r in v]
-                spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-                rows = []
-                for i, bucket in enumerate((t * buckets + own).tolist()):
-                    a, b = splits[:, bucket]
-                    rows += [(bucket, int(spread[i] % a), j, False, ids[i], raw[i]) for j in range(b)]
-                for i, many in zip(asks.tolist(), (t * buckets + asked).tolist(), strict=True):
-                    for bucket in many:
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for ids, v, held, own, asks, asked in places(frame):
+                    raw = [r.tobytes() for r in v]
+                    spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+                    rows = []
+                    for i, bucket in zip(held.tolist(), own.tolist(), strict=True):
                         a, b = splits[:, bucket]
-                        rows += [(bucket, j, int(spread[i] % b), True, ids[i], raw[i]) for j in range(a)]
-                yield pd.DataFrame(rows, columns=["bucket", "a", "b", "asks", "vec_id", "v"])
+                        rows += [(bucket, int(spread[i] % a), j, False, ids[i], raw[i]) for j in range(b)]
+                    for i, many in zip(asks.tolist(), asked.tolist(), strict=True):
+                        for bucket in many:
+                            a, b = splits[:, bucket]
+                            rows += [(bucket, j, int(spread[i] % b), True, ids[i], raw[i]) for j in range(a)]
+                    yield pd.DataFrame(rows, columns=["bucket", "a", "b", "asks", "vec_id", "v"])
+
+        return run
 
     def rerank(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id", kind="stable")
         ids, asks = frame["vec_id"].to_numpy(np.int64), frame["asks"].to_numpy(bool)
-        v = np.frombuffer(b"".join(frame["v"]), np.float64).reshape(len(frame), dim)
+        v = np.frombuffer(b"".join(frame["v"]), np.float64).reshape(len(frame), -1)
         d, d_ids, q, q_ids = v[~asks], ids[~asks], v[asks], ids[asks]
+        longest = np.linalg.norm(d, axis=1).max(initial=0.0)
         out = []
         for at in range(0, len(q) if len(d) else 0, 256):
             part, part_ids = q[at : at + 256], q_ids[at : at + 256]
@@ -158,15 +186,39 @@ def search(
             for row, one, own in zip(near, part, part_ids.tolist(), strict=True):
                 edge = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
                 # Products by matrix differ in the last digits; what is near the edge is computed anew.
-                some = np.flatnonzero((row >= edge - 1e-9 * max(1.0, abs(edge))) & (row > -np.inf)) if edge > -np.inf else np.flatnonzero(row > -np.inf)
-                score = exact(np.broadcast_to(one, (len(some), dim)), d[some])
+                slack = 1e-9 * max(1.0, abs(edge)) + 1e-13 * np.linalg.norm(one) * longest
+                some = np.flatnonzero((row >= edge - slack) & (row > -np.inf)) if edge > -np.inf else np.flatnonzero(row > -np.inf)
+                score = exact(np.broadcast_to(one, d[some].shape), d[some])
                 best = np.argsort(-score, kind="stable")[:k]
                 out.append(pd.DataFrame({"query_id": own, "vec_id": d_ids[some][best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    cells = held.mapInPandas(deal, "bucket long, a long, b long, asks boolean, vec_id long, v binary")
-    found = cells.groupBy("bucket", "a", "b").applyInPandas(rerank, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    def nearest(rows: DataFrame, places, splits: np.ndarray) -> DataFrame:
+        cells = rows.mapInPandas(deal(places, splits), "bucket long, a long, b long, asks boolean, vec_id long, v binary")
+        found = cells.groupBy("bucket", "a", "b").applyInPandas(rerank, "query_id long, vec_id long, score double")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return found.select("query_id", "rank", "vec_id", "score")
+
+    found = nearest(held, places, splits)
+    if not any(0 < probes < 2 * width for _, width, probes, _ in plans.values()):
+        return found
+    found = written_table(found, "neighbours")
+    asking = held.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id")).distinct()
+    few = written_table(asking.join(found.where(F.col("rank") == k), "query_id", "left_anti"), "few-neighbours")
+    n_few = few.count()
+    if not n_few:
+        return found
+    starts = {dim: i for i, dim in enumerate(plans)}
+
+    def everywhere(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for asks in (False, True):
+            for dim, ids, v in by_size(frame[frame["few"] == asks]):
+                rows = np.arange(len(ids))
+                yield ids, v, rows, np.full(len(ids), starts[dim]), rows[: len(rows) * asks], np.full((len(ids) * asks, 1), starts[dim])
+
+    parts = np.array([[max(1, -(-sum(bands.values()) // GROUP)) for bands in kinds.values()], [-(-n_few // QUERIES)] * len(kinds)])
+    marked = held.join(few.withColumn("few", F.lit(True)), F.col("vec_id") == F.col("query_id"), "left")
+    marked = marked.select("vec_id", "v", F.coalesce("few", F.lit(False)).alias("few"))
+    return found.join(few, "query_id", "left_anti").select(*found.columns).unionByName(nearest(marked, everywhere, parts))

@@ -115,6 +115,34 @@ def test_large_buckets_are_split_without_loss(spark, monkeypatch):
     test_small_tables_are_searched_whole(spark)
 
 
+@pytest.mark.parametrize("lengths", ["one long", "lognormal"])
+def test_neighbours_of_unlike_lengths(spark, lengths):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(20_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v *= np.where(np.arange(20_000) == 3, 100, 1)[:, None] if lengths == "one long" else rng.lognormal(0, 0.5, (20_000, 1))
+    table = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.search(table, every=100).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    scores = v[::100] @ v.T
+    scores[np.arange(200), np.arange(0, 20_000, 100)] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert len(got) == 200 and all(len(x) == 20 for x in got.values())
+    assert sum(len(got[100 * i] & set(x)) for i, x in enumerate(want.tolist())) >= 0.95 * 20 * 200
+
+
+def test_queries_with_few_candidates_meet_all(spark, monkeypatch):
+    monkeypatch.setattr(ann, "WANTED", 1)
+    rng = np.random.default_rng(3)
+    # Nearly all vectors lie in one direction; the queries lie elsewhere.
+    rows = [(20 * i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(6, 8)))]
+    rows += [(20 * i + 1, (np.eye(8)[0] * (1 + 1e-4 * i)).tolist()) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.search(table, tables=1, probe_share=0.01).collect()}
+    assert got == {(q, i + 1): j for q, v in near_by_force(rows).items() for i, (j, _) in enumerate(v)}
+
+
 # Sharding.
 
 
