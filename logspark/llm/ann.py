@@ -28,9 +28,11 @@ def usable(table: DataFrame) -> DataFrame:
 
 
 def by_size(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Dimension, vec_ids and vectors of the rows of each dimension."""
+    """Dimension, vec_ids and vectors of the rows of each dimension; rows that are repeated here come once."""
     for dim, own in frame.groupby(frame["v"].map(len)):
-        yield int(dim), own["vec_id"].to_numpy(np.int64), np.array(own["v"].tolist(), dtype=np.float64).reshape(len(own), dim)
+        v = np.array(own["v"].tolist(), dtype=np.float64).reshape(len(own), dim)
+        once = ~pd.DataFrame({"vec_id": own["vec_id"].to_numpy(), "v": [r.tobytes() for r in v]}).duplicated().to_numpy()
+        yield int(dim), own["vec_id"].to_numpy(np.int64)[once], v[once]
 
 
 def rotated(x: np.ndarray, table: int, seed: int) -> np.ndarray:
@@ -173,24 +175,29 @@ def search(
         return run
 
     def rerank(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("vec_id", kind="stable")
+        """The k best vec_ids of each query vector here; a vec_id counts once, with its best product."""
+        frame = frame.drop_duplicates(["asks", "vec_id", "v"]).sort_values("vec_id", kind="stable")
         ids, asks = frame["vec_id"].to_numpy(np.int64), frame["asks"].to_numpy(bool)
         v = np.frombuffer(b"".join(frame["v"]), np.float64).reshape(len(frame), -1)
         d, d_ids, q, q_ids = v[~asks], ids[~asks], v[asks], ids[asks]
         longest = np.linalg.norm(d, axis=1).max(initial=0.0)
+        own_ids, starts, of = np.unique(d_ids, return_index=True, return_inverse=True)
         out = []
         for at in range(0, len(q) if len(d) else 0, 256):
             part, part_ids = q[at : at + 256], q_ids[at : at + 256]
             near = part @ d.T
             near[part_ids[:, None] == d_ids[None, :]] = -np.inf
-            for row, one, own in zip(near, part, part_ids.tolist(), strict=True):
-                edge = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                # Products by matrix differ in the last digits; what is near the edge is computed anew.
-                slack = 1e-9 * max(1.0, abs(edge)) + 1e-13 * np.linalg.norm(one) * longest
-                some = np.flatnonzero((row >= edge - slack) & (row > -np.inf)) if edge > -np.inf else np.flatnonzero(row > -np.inf)
-                score = exact(np.broadcast_to(one, d[some].shape), d[some])
-                best = np.argsort(-score, kind="stable")[:k]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": d_ids[some][best], "score": score[best]}))
+            tops = np.maximum.reduceat(near, starts, axis=1)
+            for row, top, one, own in zip(near, tops, part, part_ids.tolist(), strict=True):
+                edge = np.partition(top, len(top) - k)[len(top) - k] if len(top) > k else -np.inf
+                # Products by matrix differ in the last digits; what is near the edge is computed anew, of each vec_id what is near its best.
+                slack = 1e-9 * (max(1.0, abs(edge)) if edge > -np.inf else 1.0) + 1e-13 * np.linalg.norm(one) * longest
+                some = np.flatnonzero((row >= edge - slack) & (row >= top[of] - slack) & (row > -np.inf))
+                score = np.full(len(own_ids), -np.inf)
+                np.maximum.at(score, of[some], exact(np.broadcast_to(one, d[some].shape), d[some]))
+                met = np.unique(of[some])
+                best = met[np.argsort(-score[met], kind="stable")[:k]]
+                out.append(pd.DataFrame({"query_id": own, "vec_id": own_ids[best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     def nearest(rows: DataFrame, places, splits: np.ndarray) -> DataFrame:

@@ -143,6 +143,24 @@ def test_queries_with_few_candidates_meet_all(spark, monkeypatch):
     assert got == {(q, i + 1): j for q, v in near_by_force(rows).items() for i, (j, _) in enumerate(v)}
 
 
+def test_repeated_ids_are_one_candidate(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(60)]
+    # Beside the queries 0 and 20: one vec_id on equal rows and one on rows that differ a little.
+    rows += [(101, (3 * np.array(rows[0][1])).tolist())] * 35
+    rows += [(103, (np.array(rows[20][1]) * (3 + 0.01 * i)).tolist()) for i in range(35)] + [rows[20]] * 30
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in ann.search(table).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], round(r["score"], 9)))
+    for q in (0, 20, 40):
+        best = {}
+        for j, w in rows:
+            if j != q:
+                best[j] = max(best.get(j, -np.inf), float(np.dot(rows[q][1], w)))
+        assert got[q] == [(j, round(s, 9)) for j, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]]
+
+
 # Sharding.
 
 
