@@ -94,8 +94,8 @@ def search(
     rises where few vectors are held, so that small tables are searched whole. Queries that end with fewer
     than k candidates meet every vector.
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor those of another
-    dimension than most have. Rows that repeat a vec_id are one candidate with its best product; a query never
+    Vectors that are null, zero or hold null or non-finite components take no part. Vectors of each dimension are
+    searched among their own. Rows that repeat a vec_id are one candidate with its best product; a query never
     meets its own vec_id.
     Ties go to the smaller vec_id.
     """
@@ -114,8 +114,6 @@ def search(
     schema = "query_id long, rank int, vec_id long, score double"
     if not kinds:
         return table.sparkSession.createDataFrame([], schema)
-    kinds = dict(sorted(kinds.items(), key=lambda kind: (-sum(kind[1].values()), kind[0]))[:1])
-    held = held.where(F.size("v").isin(list(kinds)))
     # By dimension: first bucket (of the vectors that all queries meet), width, probes, and the bands that are not hashed.
     plans, n_buckets = {}, 0
     for dim, bands in kinds.items():

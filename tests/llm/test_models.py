@@ -161,6 +161,14 @@ def test_repeated_ids_are_one_candidate(spark):
         assert got[q] == [(j, round(s, 9)) for j, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]]
 
 
+def test_each_dimension_is_searched_among_its_own(spark):
+    rng = np.random.default_rng(5)
+    parts = [[(i, rng.normal(size=dim).tolist()) for i in ids] for dim, ids in ((6, range(60)), (9, range(60, 100)), (1, range(100, 103)))]
+    table = spark.createDataFrame(sum(parts, []), "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.search(table).collect()}
+    assert got == {(q, i + 1): j for rows in parts for q, v in near_by_force(rows).items() for i, (j, _) in enumerate(v)}
+
+
 # Sharding.
 
 
