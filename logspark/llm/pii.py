@@ -81,19 +81,35 @@ def _draw(draws: Column, i: Column | int, below: Column | int) -> Column:
 _ALPHABETS = (  # first letter and number of letters of the scripts that are kept
     ("0", "9"), ("a", "z"), ("A", "Z"), ("а", "я"), ("А", "Я"), ("α", "ω"), ("Α", "Ω"),
 )
+_BLOCKS = (  # first and last code of further letters, and the letters drawn for them
+    (0x370, 0x3FF, "α", "ρ"), (0x400, 0x52F, "а", "я"), (0x531, 0x58F, "ա", "ֆ"), (0x590, 0x5FF, "א", "ת"), (0x600, 0x6FF, "ا", "غ"),
+    (0x900, 0x97F, "क", "ह"), (0xE00, 0xE7F, "ก", "ฮ"), (0x10D0, 0x10FF, "ა", "ჰ"), (0x3040, 0x309F, "ぁ", "ん"), (0x30A0, 0x30FF, "ァ", "ン"),
+    (0x3400, 0x9FFF, "一", "仿"), (0xAC00, 0xD7A3, "가", "곿"),
+)
 
 
 def _alike(value: Column, draws: Column, fixed: Column) -> Column:
-    """Every letter and digit after the first `fixed` characters replaced within its script and case."""
+    """Every letter and digit after the first `fixed` characters replaced within its script and case.
+
+    Letters of a script that has no letters here become Latin ones, and other digits ASCII ones.
+    """
 
     def one(c: Column, i: Column) -> Column:
-        code, out = F.ascii(c), c
+        letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _draw(draws, i, 26) + 1, F.lit(1))
+        code = F.ascii(c)
+        pool, start, n = "abcdefghijklmnopqrstuvwxyz", F.lit(0), F.lit(26)
+        for low, high, first, last in _BLOCKS:
+            start = F.when(code.between(low, high), len(pool)).otherwise(start)
+            n = F.when(code.between(low, high), ord(last) - ord(first) + 1).otherwise(n)
+            pool += "".join(map(chr, range(ord(first), ord(last) + 1)))
+        out = F.substring(F.lit(pool), start + _draw(draws, i, n) + 1, F.lit(1))
+        out = F.when(c.rlike(r"^\p{L}"), out).when(c.rlike(r"^\p{N}"), _draw(draws, i, 10).cast("string")).otherwise(c)
+        out = F.when(code < 0x80, c).otherwise(out)
         for first, last in _ALPHABETS:
             n = ord(last) - ord(first) + 1
             drawn = F.substring(F.lit("".join(chr(ord(first) + k) for k in range(n))), _draw(draws, i, n) + 1, F.lit(1))
             out = F.when((code >= ord(first)) & (code <= ord(last)), drawn).otherwise(out)
-        latin = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _draw(draws, i, 26) + 1, F.lit(1))
-        latin = F.when(code.between(0xC0, 0x24F), F.when(c == F.upper(c), F.upper(latin)).otherwise(latin)).otherwise(out)
+        latin = F.when(code.between(0xC0, 0x24F), F.when(c == F.upper(c), F.upper(letter)).otherwise(letter)).otherwise(out)
         return F.when(i < fixed, c).otherwise(latin)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")

@@ -175,6 +175,20 @@ def test_surrogates_stay_distinct(spark, docs, monkeypatch):
     assert len({a for a, _ in pairs}) == len(names) and not {a for a, _ in pairs} & set(names)
 
 
+def test_mails_of_any_script(docs):
+    mails = [
+        "李明@公司.com", "김민수@회사.com", "たなか@タナカ.com", "محمد@شركة.com", "שרה@חברה.com", "สมชย@บรษท.com", "कमल@घर.com", "აბ@გდ.com", "ሰላም@ቤት.com", "ёжик@ўсё.com",
+        "٣٤@٥٦.com", "άέ@ϊό.com", "𝒜𝒷@𐐨𐐩.com",
+    ]
+    new = [r["text"] for r in pii.replace(docs([f"An {m} und {m}" for m in mails]), "key").orderBy("doc_id").collect()]
+    assert len(new) == len(set(new)) == len(mails)
+    for old, text in zip(mails, new, strict=True):
+        one, two = re.fullmatch(r"An (\S+) und (\S+)", text).groups()
+        assert one == two and len(one) == len(old) and one.endswith(".com") and one[:-4].count("@") == 1
+        assert all(a == "@" or a.isalnum() for a in one[:-4]) and sum(a != b for a, b in zip(old[:-4], one, strict=False)) >= len(old[:-4]) // 2
+    assert re.fullmatch(r"[一-鿿]{2}@[一-鿿]{2}\.com", re.search(r"\S+@\S+", new[0])[0])
+
+
 def test_no_personal_data_is_left(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     old = {r["doc_id"]: re.findall(r"[\w.]+@[\w.]+\w|(?<!\d)\d{16}(?!\d)|\+1 \(\d{3}\) 555-\d{4}", r["text"] or "") for r in df.collect()}
