@@ -115,12 +115,14 @@ def _alike(value: Column, draws: Column, fixed: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
-def surrogate(kind: Column, value: Column, draws: Column) -> Column:
+def surrogate(kind: Column, value: Column, draws: Column, attempt: Column) -> Column:
     """The replacement of one notation of an entity.
 
     Drawn digits and letters stand by the entity's own letters and digits, so that other separators give the
     same replacement in the other notation. A phone keeps its country code, an e-mail its top domain, a person the
-    title, gender, script and the number of names; an IP's numbers stay below 256.
+    title, gender, script and the number of names; an IP's numbers stay below 256. A surname gets one more syllable
+    with each attempt, an e-mail's domain one more letter and a phone one more digit with each attempt after the third,
+    so that the space grows until all replacements are distinct.
     """
     bare = F.regexp_replace(value, r"[^\p{L}\p{N}]", "")
     code = F.length(F.regexp_extract(value, r"^\+([0-9]{1,3}?)(?=[ .(-])", 1))
@@ -129,7 +131,9 @@ def surrogate(kind: Column, value: Column, draws: Column) -> Column:
     gaps = F.split(value, r"[\p{L}\p{N}]", -1)
     numbers = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(F.split(moved, ""), lambda c, i: F.concat(c, F.get(gaps, i + 1))), ""))
     top = F.regexp_extract(value, r"\.\p{L}+$", 0)
-    mail = F.concat(_alike(F.substring(F.lower(value), F.lit(1), F.length(value) - F.length(top)), draws, F.lit(0)), top)
+    more = lambda to: F.substring(F.translate(draws, "0123456789abcdef", to), F.lit(64 * BLOCKS - 63), F.greatest(attempt - 3, F.lit(0)))
+    numbers = F.when(kind == "phone", F.concat(numbers, more("0123456789012345"))).otherwise(numbers)
+    mail = F.concat(_alike(F.substring(F.lower(value), F.lit(1), F.length(value) - F.length(top)), draws, F.lit(0)), more("abcdefghijklmnop"), top)
     address = F.concat_ws(".", *[(_draw(draws, i, 254) + 1).cast("string") for i in range(4)])
     title = F.regexp_extract(value, r"^[^ ]+ ", 0)
     parts = F.size(F.split(value, " "))
@@ -138,7 +142,8 @@ def surrogate(kind: Column, value: Column, draws: Column) -> Column:
     def person(script: str) -> Column:
         given = lambda w: F.element_at(F.array(*map(F.lit, NAMES[script, w])), _draw(draws, 0, len(NAMES[script, w])) + 1)
         pool = F.array(*map(F.lit, SYLLABLES[script]))
-        last = F.initcap(F.concat(*[F.element_at(pool, _draw(draws, i, len(SYLLABLES[script])) + 1) for i in (1, 2, 3, 4)]))
+        syllables = F.transform(F.sequence(F.lit(1), attempt + 4), lambda i: F.element_at(pool, _draw(draws, i, len(SYLLABLES[script])) + 1))
+        last = F.initcap(F.array_join(syllables, ""))
         first = F.when(value.rlike(WOMAN), given(True)).otherwise(given(False))
         return F.concat(title, F.when(parts > 2, F.concat(first, F.lit(" "), last)).otherwise(last))
 
@@ -168,7 +173,7 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
         state = every if again is None else every.join(again, ["kind", "canon"], "left")
         drawn = state.select("kind", "canon", "value", tries.alias("attempt"))
         drawn = drawn.withColumn("draws", draws_of(F.col("kind"), F.col("canon"), F.col("attempt"), key))
-        drawn = drawn.withColumn("new", surrogate(F.col("kind"), F.col("value"), F.col("draws")))
+        drawn = drawn.withColumn("new", surrogate(F.col("kind"), F.col("value"), F.col("draws"), F.col("attempt")))
         drawn = drawn.select("kind", "canon", "attempt", canonical(F.col("kind"), F.col("new")).alias("new"))
         known = every.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
         same = Window.partitionBy("kind", "new").orderBy("canon")
@@ -210,10 +215,11 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
         held = F.transform(held, lambda e: F.struct(e["value"], e["kind"], canonical(e["kind"], e["value"]).alias("canon")))
 
         def drawn(e: Column) -> Column:
-            attempt = F.coalesce(F.try_element_at("again", F.concat_ws("\x1f", e["kind"], e["canon"])), F.lit(0))
-            return F.struct(e["value"], e["kind"], draws_of(e["kind"], e["canon"], attempt, key).alias("draws"))
+            return F.struct(e["value"], e["kind"], e["attempt"], draws_of(e["kind"], e["canon"], e["attempt"], key).alias("draws"))
 
-        return F.transform(F.transform(held, drawn), lambda e: F.coalesce(surrogate(e["kind"], e["value"], e["draws"]), e["value"]))
+        tried = lambda e: F.coalesce(F.try_element_at("again", F.concat_ws("\x1f", e["kind"], e["canon"])), F.lit(0))
+        held = F.transform(held, lambda e: F.struct(e["value"], e["kind"], e["canon"], tried(e).alias("attempt")))
+        return F.transform(F.transform(held, drawn), lambda e: F.coalesce(surrogate(e["kind"], e["value"], e["draws"], e["attempt"]), e["value"]))
 
     has = F.coalesce(text.rlike(ANY), F.lit(False))
     both = both.select("doc", "again", F.when(has, gaps).alias("gaps"), F.when(has, values).alias("values"))

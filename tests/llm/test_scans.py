@@ -175,6 +175,17 @@ def test_surrogates_stay_distinct(spark, docs, monkeypatch):
     assert len({a for a, _ in pairs}) == len(names) and not {a for a, _ in pairs} & set(names)
 
 
+def test_small_pools_grow(docs, monkeypatch):
+    """More names than a pool holds, and all e-mails and phones of one short form."""
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "de"])  # sixteen surnames of four syllables
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    held = [f"Mr N{a}{b}" for a in letters[:6] for b in letters[:10]] + [f"{a}@{b}.de" for a in letters for b in letters]
+    held += [f"+1 2 {a:02} {b:02}" for a in range(0, 100, 20) for b in range(100)]
+    new = [r["text"] for r in pii.replace(docs([f"{x} " for x in held]), "key").orderBy("doc_id").collect()]
+    assert len(set(new)) == len(held) and not set(new) & {f"{x} " for x in held}
+    assert all(re.fullmatch(r"Mr \w+ |\w@\w+\.de |\+1 \d \d\d \d\d+ ", x) for x in new)
+
+
 def test_mails_of_any_script(docs):
     mails = [
         "李明@公司.com", "김민수@회사.com", "たなか@タナカ.com", "محمد@شركة.com", "שרה@חברה.com", "สมชย@บรษท.com", "कमल@घर.com", "აბ@გდ.com", "ሰላም@ቤት.com", "ёжик@ўсё.com",
