@@ -66,4 +66,37 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
-ORACLES: dict[str, str] = {"op1_license_scan": _LICENSES, "op2_secret_scan": _SECRETS, "op4_nearest_neighbours": _NEIGHBOURS}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_RANKED = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(w) AS term FROM q) GROUP BY ALL),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+t AS (SELECT doc_id, len(w)::BIGINT AS n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) GROUP BY doc_id, w, term),
+g AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, c GROUP BY term, n_docs),
+s AS (
+  SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM i JOIN t USING (term) JOIN g USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
+_COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+c AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, w[i:i + m - 1] AS words, count(*)::HUGEINT AS f FROM p, unnest(range(1, 6)) AS x(m), unnest(range(1, len(w) - m + 2)) AS u(i) GROUP BY ALL),
+o AS (SELECT * FROM g WHERE f >= 100),
+k AS (SELECT o.lang, o.words, o.f AS a, k, l.f AS l, r.f AS r, (1000 * o.f * n) // (l.f * r.f) AS score
+  FROM o JOIN c USING (lang), unnest(range(1, len(o.words))) AS x(k)
+  JOIN o AS l ON l.lang = o.lang AND l.words = o.words[1:k] JOIN o AS r ON r.lang = o.lang AND r.words = o.words[k + 1:]),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, k) AS best FROM k),
+h AS (SELECT lang, words[i:i + m - 1] AS words, max(f) AS longest FROM o, unnest(range(2, len(words))) AS x(m), unnest(range(1, len(words) - m + 2)) AS u(i) GROUP BY ALL),
+s AS (SELECT m.*, array_to_string(m.words, ' ') AS phrase FROM m LEFT JOIN h USING (lang, words) WHERE best = 1 AND (longest IS NULL OR 100 * longest < 100 * a)),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM z JOIN c USING (lang) WHERE rank <= 2000"""
+
+ORACLES: dict[str, str] = {
+    "op1_license_scan": _LICENSES, "op2_secret_scan": _SECRETS, "op4_nearest_neighbours": _NEIGHBOURS, "op11_lexical_search": _RANKED,
+    "op12_collocations": _COLLOCATIONS,
+}

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from logspark.llm import (
-    ann, bpe, decontamination, language_id, licenses, pii, quality, secret_scan, sharding, simhash,
+    ann, bpe, decontamination, language_id, lexical, licenses, phrases, pii, quality, secret_scan, sentence_bpe, sharding, simhash,
 )
 from logspark.llm.common import read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +63,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(PIECES)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_bpe.digest(sentence_bpe.encode(docs, path), path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_secret_scan, op3_language_id, op4_nearest_neighbours, op5_sharding, op6_surrogates, op7_bpe,
-        op8_decontamination, op9_quality, op10_simhash,
+        op8_decontamination, op9_quality, op10_simhash, op11_lexical_search, op12_collocations, op13_sentencepiece,
     )
 }
