@@ -9,9 +9,9 @@ from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +22,10 @@ from logspark.llm.common import written_table
 LONGEST, LEAST = 5, 100
 #: Share, in hundredths, of a phrase's occurrences that a longer one must hold to take its place.
 INSIDE = 100
-#: Bits (as a power of two) of the filters that keep most rare words and pairs out of the streams.
-BITS = 25
+#: Counters (as a power of two) that keep most rare pairs and triples out of the streams, and those of a part.
+COUNTERS, PART = 27, 20
 #: Characters of text that are counted together, about; a longer text is cut between two pieces.
-BLOCK = 8_000_000
+BLOCK = 6_000_000
 #: Groups a first ranking is dealt into, so that none holds all phrases of a language.
 DEALT = 64
 
@@ -45,32 +45,43 @@ def _chain(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(0x9E3779B97F4A7C15) + right)
 
 
-def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    shift = np.uint64(64 - BITS)
-    return (h >> shift).astype(np.int64), ((h * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift).astype(np.int64)
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNTERS)).astype(np.int64)
 
 
-def bit_filter(spark, hashes: DataFrame) -> np.ndarray:
-    """A filter of 2^BITS bits over the column `h`, filled by tasks; its size does not depend on theirs."""
+def _packed(h: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A block's sums a counter, in counter order, by parts: steps from one counter to the next, and sums up to LEAST."""
+    place, back = np.unique(_counter(h), return_inverse=True)
+    sums = np.minimum(np.bincount(back, counts), LEAST).astype(np.uint32)
+    cuts = np.flatnonzero(np.diff(place >> PART)) + 1
+    for own, part in zip(np.split(place, cuts), np.split(sums, cuts), strict=True):
+        if own.size:
+            steps = np.diff(own & ((1 << PART) - 1), prepend=0).astype(np.uint32)
+            yield int(own[0] >> PART), zstandard.compress(np.concatenate([steps, part]).tobytes(), 1)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (BITS - 6), np.uint64)
+
+def often_counted(packed: DataFrame) -> np.ndarray:
+    """Which counters reach LEAST, as bits: `part, data` summed by tasks, each over parts of its own."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for place in _places(np.asarray(batch.column(0)).view(np.uint64)):
-                np.bitwise_or.at(bits, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
-        word = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits[word].view(np.int64))], names=["word", "mask"])
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                steps, own = np.frombuffer(zstandard.decompress(data.as_py()), np.uint32).reshape(2, -1)
+                at, total = np.cumsum(steps, dtype=np.int64), sums.setdefault(part, np.zeros(1 << PART, np.uint32))
+                total[at] = np.minimum(total[at] + own, LEAST)
+        bits = [np.packbits(total >= LEAST, bitorder="little").tobytes() for total in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], names=["part", "bits"])
 
-    filled = hashes.select("h").mapInArrow(fill, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[filled["word"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64)
-    return out
+    out = np.zeros((1 << (COUNTERS - PART), 1 << (PART - 3)), np.uint8)
+    for part, bits in packed.repartition("part").mapInArrow(add, "part int, bits binary").toLocalIterator():
+        out[part] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
 
 
 def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    one, two = _places(h)
-    inside = lambda p: (bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) != 0
-    return inside(one) & inside(two)
+    place = _counter(h)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 != 0
 
 
 class Block:
@@ -122,17 +133,33 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         yield Block(held)
 
 
-def _counted(docs: DataFrame, count: Callable[[Block], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """`lang, words, c` of phrases, summed over all blocks; `count` gives a block's phrases as rows of keys, and their counts."""
+def _each_block(docs: DataFrame, count: Callable[[Block], Iterator[tuple]]) -> DataFrame:
+    """`lang, words, c` of blocks' phrases, and in other rows `part, data` of their counters.
+
+    `count` yields a block's phrases as rows of keys and their counts, and hashes of phrases with None and their counts.
+    """
+    kind = "lang string, words array<string>, c long, part int, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            for keys, counts in count(block):
-                for low in range(0, len(keys), 200_000):
-                    yield block.rows(keys[low : low + 200_000], counts[low : low + 200_000])
+            for keys, hashes, counts in count(block):
+                if hashes is None:
+                    for low in range(0, len(keys), 200_000):
+                        own = block.rows(keys[low : low + 200_000], counts[low : low + 200_000])
+                        none = [pa.nulls(own.num_rows, pa.int32()), pa.nulls(own.num_rows, pa.binary())]
+                        yield pa.RecordBatch.from_arrays([*own.columns, *none], names=["lang", "words", "c", "part", "data"])
+                else:
+                    parts, data = zip(*_packed(hashes, counts), strict=True)
+                    none = [pa.nulls(len(parts), k) for k in (pa.string(), pa.list_(pa.string()), pa.int64())]
+                    tail = [pa.array(parts, pa.int32()), pa.array(data, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*none, *tail], names=["lang", "words", "c", "part", "data"])
+
+    return docs.mapInArrow(run, kind)
+
 
-    rows = docs.mapInArrow(run, "lang string, words array<string>, c long")
-    return rows.groupBy("lang", "words").agg(F.sum("c").alias("c"))
+def _summed(stored: DataFrame) -> DataFrame:
+    """`lang, words, c` over all blocks."""
+    return stored.where("part IS NULL").groupBy("lang", "words").agg(F.sum("c").alias("c"))
 
 
 def _lowered(docs: DataFrame) -> DataFrame:
@@ -140,79 +167,92 @@ def _lowered(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang"), F.lit(UNKNOWN)).alias("lang"), low.alias("text"))
 
 
-def _each_word(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    counts = np.bincount(block.key[block.key >= 0], minlength=len(block.words))
-    keys = np.flatnonzero(counts)
-    yield keys[:, None], counts[keys]
-
-
 def _runs(rows: np.ndarray) -> np.ndarray:
     """Where runs of equal rows begin, in sorted rows."""
     return np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
 
 
-def _paired(block: Block, words) -> tuple[np.ndarray, np.ndarray]:
-    """Keys where words that the filter does not hold part pieces, too, and the places at which a pair starts."""
-    often = np.append(_held(words.value, block.hashes), False)  # the last place serves -1
-    key = np.where(often[block.key], block.key, -1)
-    return key, np.flatnonzero((key[:-1] >= 0) & (key[1:] >= 0))
+def _beside(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places at which a pair of words starts, the number of each one's pair, the distinct pairs, their hashes and counts."""
+    key = block.key
+    at = np.flatnonzero((key[:-1] >= 0) & (key[1:] >= 0))
+    own, place, counts = np.unique(key[at] << 32 | key[at + 1], return_inverse=True, return_counts=True)
+    pairs = np.stack([own >> 32, own & 0xFFFFFFFF], axis=1)
+    return at, place, pairs, _chain(block.hashes[pairs[:, 0]], block.hashes[pairs[:, 1]]), counts
+
+
+def _triples(block: Block, at: np.ndarray, place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the triples that start at those places of which the next also starts a pair, and these places."""
+    start = at[:-1][np.diff(at) == 1]
+    of = place[:-1][np.diff(at) == 1]
+    return _chain(h[of], block.hashes[block.key[start + 2]]), start
 
 
 def frequent(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to LONGEST words that occur LEAST times in a language, `lang, words, c`, and all words' number, `lang, n`.
 
-    Three passes over the texts, each combined in blocks before its shuffle: words; pairs of words that are both frequent;
-    longer phrases, of which all pairs are frequent, as prefixes of windows sorted in prefix order. A phrase occurs no more often than
-    its parts, so this loses none. What is frequent reaches the next pass as a bit filter of fixed size: a bit set by
-    chance costs a row in the shuffle and changes no count.
+    Three passes over the texts, each combined in blocks before its shuffle. The first counts words, and pairs by hashed
+    counters; the second pairs whose counter reached LEAST, and triples of two such pairs by counters; the third phrases of three and
+    more words, all of whose triples reached it, as prefixes of windows sorted in prefix order. A phrase occurs no more often
+    than its parts and no more than its counter says, so this loses none, and what passes is counted exactly. The number of
+    counters is fixed: the fuller they are, the more rare phrases pass into a shuffle, at most all of them.
     """
     spark, texts = docs.sparkSession, _lowered(docs)
     often = F.col("c") >= LEAST
-    every = written_table(_counted(texts, _each_word), "words")
-    sums = written_table(every.groupBy("lang").agg(F.sum("c").alias("n")), "word-sums")
-    words = every.where(often)
-
-    def hashed(phrases: DataFrame) -> DataFrame:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                lang = np.array([_hash(x) for x in frame["lang"]], np.uint64)
-                h = [_chain(lang, np.array([_hash(w[i]) for w in frame["words"]], np.uint64)) for i in range(len(frame["words"].iloc[0]) if len(frame) else 0)]
-                if h:
-                    yield pd.DataFrame({"h": (h[0] if len(h) == 1 else _chain(h[0], h[1])).view(np.int64)})
-
-        return phrases.mapInPandas(run, "h long")
-
-    known = spark.sparkContext.broadcast(bit_filter(spark, hashed(words)))
-
-    def pairs_of(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        key, at = _paired(block, known)
-        found, counts = np.unique(key[at] << 32 | key[at + 1], return_counts=True)
-        yield np.stack([found >> 32, found & 0xFFFFFFFF], axis=1), counts
-
-    pairs = written_table(_counted(texts, pairs_of).where(often), "pairs")
-    coupled = spark.sparkContext.broadcast(bit_filter(spark, hashed(pairs)))
-
-    def windows_of(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        key, at = _paired(block, known)
-        own, place = np.unique(key[at] << 32 | key[at + 1], return_inverse=True)
-        often = _held(coupled.value, _chain(block.hashes[own >> 32], block.hashes[own & 0xFFFFFFFF]))
-        joined = np.zeros(key.size, bool)
-        joined[at] = often[place]
-        at = np.flatnonzero(joined[:-1] & joined[1:])
-        rows = np.stack([key[at], key[at + 1], key[at + 2], *[np.full(at.size, -1)] * (LONGEST - 3)], axis=1)
-        on = np.ones(at.size, bool)
+
+    def first(block: Block) -> Iterator[tuple]:
+        counts = np.bincount(block.key[block.key >= 0], minlength=len(block.words))
+        keys = np.flatnonzero(counts)
+        yield keys[:, None], None, counts[keys]
+        _, _, pairs, h, counts = _beside(block)
+        if len(pairs):
+            yield None, h, counts
+
+    stored = written_table(_each_block(texts, first), "words")
+    sums = written_table(stored.where("part IS NULL").groupBy("lang").agg(F.sum("c").alias("n")), "word-sums")
+    words = _summed(stored).where(often)
+
+    def counters(stored: DataFrame):
+        return spark.sparkContext.broadcast(often_counted(stored.where("part IS NOT NULL").select("part", "data")))
+
+    coupled = counters(stored)
+
+    def second(block: Block) -> Iterator[tuple]:
+        at, place, pairs, h, counts = _beside(block)
+        held = _held(coupled.value, h)
+        yield pairs[held], None, counts[held]
+        on = held[place]
+        h, _ = _triples(block, at[on], place[on], h)
+        if h.size:
+            yield None, h, np.ones(h.size, np.int64)
+
+    stored = written_table(_each_block(texts, second), "pairs")
+    pairs = _summed(stored).where(often)
+    tripled = counters(stored)
+
+    def third(block: Block) -> Iterator[tuple]:
+        at, place, _, h, _ = _beside(block)
+        h, start = _triples(block, at, place, h)
+        start = start[_held(tripled.value, h)]
+        key, joined = block.key, np.zeros(block.key.size, bool)
+        joined[start] = True
+        rows = np.stack([key[start], key[start + 1], key[start + 2], *[np.full(start.size, -1)] * (LONGEST - 3)], axis=1)
+        on = np.ones(start.size, bool)
         for i in range(3, LONGEST):
-            on = on & joined[at + i - 1]
-            rows[on, i] = key[(at + i)[on]]
+            on &= joined[start + i - 2]
+            rows[on, i] = key[(start + i)[on]]
         rows = rows[np.lexsort(rows.T[::-1])]  # prefix order
         for size in range(3, LONGEST + 1):
             held = rows[rows[:, size - 1] >= 0, :size]
             if len(held):
                 starts = _runs(held)
-                yield held[starts], np.diff(np.append(starts, len(held)))
+                yield held[starts], None, np.diff(np.append(starts, len(held)))
 
-    longer = _counted(texts, windows_of).where(often)
-    return written_table(words.unionByName(pairs).unionByName(longer), "phrases"), sums
+    longer = _summed(_each_block(texts, third)).where(often)
+    found = written_table(words.unionByName(pairs).unionByName(longer), "phrases")
+    for bits in (coupled, tripled):
+        bits.unpersist()
+    return found, sums
 
 
 def collocations(docs: DataFrame, most: int = 2000) -> DataFrame:
