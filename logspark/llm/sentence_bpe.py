@@ -410,7 +410,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _pieces(data.value)
         for batch in batches:
-            own = [None if x is None else np.asarray(x.values) for x in batch.column(place)]
+            own = [None if x.values is None else np.asarray(x.values) for x in batch.column(place)]
             texts = pa.array([None if x is None else model.decode(x) for x in own], pa.binary()).cast(pa.string())
             tail = [texts]
             if packed:
