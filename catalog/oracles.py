@@ -171,6 +171,11 @@ FROM g WHERE first_line % 100 >= 55"""
 _WEEK = "s >= TIMESTAMP '2024-01-08' AND s < TIMESTAMP '2024-01-15'"
 _JSON_TS = f"CASE event_id % 4 WHEN 0 THEN ts WHEN 1 THEN ts - INTERVAL 90 MINUTE WHEN 2 THEN ts END"
 _TYPED_TS = f"CASE event_type WHEN 'purchase' THEN {_JSON_TS} WHEN 'signup' THEN NULL ELSE ts END"
+# What the user parser of the queries says of the token lines.
+_SVC = (
+    "'svc' AS fmt, strftime(TIMESTAMP '2024-01-01' + to_seconds(event_id), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS ts, "
+    f"CASE WHEN user_id % 5 = 1 THEN 'ERROR' ELSE 'INFO' END AS level, substring({_TOKENS}, 5) AS message, '{{\"id\":\"' || event_id || '\"}}' AS meta"
+)
 _SQL_LINES = f"{_E} SELECT file, line_no, sec || ' [' || lvl || '] ' || msg AS line FROM e"
 _CHARSET = f"{_E} SELECT file, line_no, '{{}} ' || host || ' na{{}}ve ' || msg AS line FROM e"
 _BODY = "'\",\"level\":\"' || lower({level}) || '\",\"message\":\"' || {message} || '\",\"line_no\":' || event_id"
@@ -244,27 +249,40 @@ SELECT event_id, '{{"timestamp":"' || {EXPECT['logfmt'][1]} || {_BODY.format(lev
   || ',"meta":{{"logfmt":' || {_META['logfmt']} || '}}}}' FROM e WHERE event_id % 3 = 1
 UNION ALL
 SELECT event_id, '{{"timestamp":null' || substring({_BODY.format(level='lvl', message=_LOOSE)}, 2) || '}}' FROM e WHERE event_id % 3 = 2""",
-    "written_entries": f"{_E} SELECT file, line_no, lvl AS level, msg AS message, true AS in_order FROM e",
+    "written_entries": f"{_E} SELECT file, line_no, lvl AS level, msg AS message, true AS in_order, count(*) OVER () AS n_written FROM e",
     "exclude_before_parse": f"{_E} SELECT event_id, lvl AS level, msg AS message FROM e WHERE event_id % 50 <> 7",
     "reviewer_failures": f"{_segments()} SELECT file, segment_id, 'RuntimeError: no answer' AS error FROM g WHERE first_line % 3 = 1",
     "redact_documents": f"""
 WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
 SELECT doc_id, line_no, {_redacted('line')} AS text FROM d""",
     "segments": f"{_segments()} SELECT {_SEGMENT}, text FROM g",
-    "segments_dedup": f"{_E} SELECT min(event_id) AS segment_id, sha256(host || lvl) AS text_sha256 FROM e GROUP BY 2",
+    "segments_many_splits": f"{_segments()} SELECT {_SEGMENT}, text FROM g",
+    "segments_dedup": f"""{_E}, r AS (SELECT event_id % 7 AS source, event_id // 7 + 1 AS n, (event_id // 7 + 1) || ' - [INFO] [' || lvl || '] step' AS txt FROM e),
+g AS (SELECT source, (n - 1) // 2 AS s, count(*) AS n_lines, string_agg(txt, chr(10) ORDER BY n) AS text FROM r GROUP BY ALL)
+SELECT min(7 * s + source) AS segment_id, n_lines, text FROM g GROUP BY n_lines, text""",
     "prompts": f"{_segments()} SELECT {_SEGMENT}, '{_INTRO}' || text || chr(10) AS prompt FROM g",
     "review_fn": _segments() + _REVIEWED,
+    "stored_answers": _segments() + _REVIEWED,
     "findings": f"""{_E}, f AS (
   SELECT event_id, 0 AS pos, event_id || ',' || (event_id + 1) AS line_numbers, 'high' AS severity_guess,
     CAST(cents % 100 AS DOUBLE) / 100 AS confidence, 't ' || user_id AS title, 'r' AS rationale, 'c' AS recommendation FROM e WHERE event_id % 10 > 5
   UNION ALL SELECT event_id, 1, '', 'low', 0.55, 'x', 'y', 'z' FROM e WHERE event_id % 10 > 5)
 SELECT event_id, CAST(pos AS BIGINT) AS pos, line_numbers, severity_guess, confidence, title, rationale, recommendation FROM f WHERE confidence >= 0.55""",
     "findings_rejected": "SELECT event_id FROM events WHERE event_id % 10 IN (0, 3, 4, 5)",
-    "user_parser": f"{_E} SELECT event_id, 'svc' AS fmt, CASE WHEN user_id % 5 = 1 THEN 'ERROR' ELSE 'INFO' END AS level, "
-    f"substring({_TOKENS}, 5) AS message FROM e WHERE user_id % 5 < 4",
-    "user_chain": f"{_E} SELECT event_id, CASE event_type WHEN 'signup' THEN 'svc' ELSE {_TYPED[0]} END AS fmt, {_TYPED[1]} AS ts, "
-    f"CASE WHEN event_type = 'signup' THEN CASE WHEN user_id % 5 = 1 THEN 'ERROR' ELSE 'INFO' END ELSE {_TYPED[2]} END AS level "
-    "FROM e WHERE event_type <> 'signup' OR user_id % 5 < 4",
+    "user_parser": f"{_E} SELECT event_id, {_SVC} FROM e WHERE user_id % 5 < 4",
+    "user_chain": f"{_E} SELECT event_id, {_columns(_TYPED)}, CAST(NULL AS VARCHAR) AS meta FROM e WHERE event_type <> 'signup' "
+    f"UNION ALL SELECT event_id, {_SVC} FROM e WHERE event_type = 'signup' AND user_id % 5 < 4",
+    "own_tables": f"""{_E}
+SELECT event_id, 'logfmt' AS fmt, CASE WHEN event_id % 2 = 1 THEN us END AS ts, CASE WHEN event_id % 2 = 1 THEN 'CRITICAL' ELSE 'UNKNOWN' END AS level,
+  CAST(event_id AS VARCHAR) AS message FROM e
+UNION ALL SELECT event_id, 'jsonl', CASE WHEN event_id % 4 = 2 THEN us END, CASE WHEN event_id % 4 = 2 THEN lvl ELSE 'UNKNOWN' END,
+  CASE event_id % 4 WHEN 0 THEN '{{"timestamp":"' || us6 || 'Z","level":"' || lower(lvl) || '","message":"' || msg || '"}}'
+    WHEN 1 THEN '{{"ts":"' || us6 || '+01:30", "level":"' || lower(lvl) || '", "msg":' || cents || '}}'
+    WHEN 2 THEN 'a "b" ' || event_id ELSE CAST(event_id AS VARCHAR) END FROM e
+UNION ALL SELECT event_id, 'bracket', CASE WHEN event_id % 5 = 3 THEN tsec || '+00:00' END, {EXPECT['bracket5'][2]}, msg FROM e
+UNION ALL SELECT event_id, 'loose', NULL, CASE WHEN user_id % 5 = 0 THEN 'ERROR' ELSE 'INFO' END, {_LOOSE} FROM e
+  WHERE user_id % 5 IN (0, 4) OR starts_with(CAST(user_id AS VARCHAR), '1')""",
+    "missing_files": f"{_E} SELECT file, count(*) AS n_lines, 'PATH_NOT_FOUND' AS error FROM e GROUP BY file",
     "triage": f"{_E} SELECT file, line_no, tsec || '+00:00' AS ts, lvl AS level, msg AS message FROM e "
     "WHERE s >= TIMESTAMP '2024-01-05' AND s < TIMESTAMP '2024-01-06' AND lvl IN ('WARNING', 'ERROR')",
     "triage_full": f"""SELECT file, line_no, ts, level, message FROM ({_E}

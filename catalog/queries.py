@@ -6,8 +6,9 @@ import json
 import re
 import uuid
 from collections.abc import Callable
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ import logspark as ls
 from catalog import render
 from logspark.fixed import FORMATS
 from logspark.functions.times import iso_text
-from logspark.session import shared_dir, written_table
+from logspark.session import scratch_dir, written_table
 
 AS_OF = datetime(2024, 1, 15, 12, tzinfo=UTC)
 WINDOWS = {
@@ -184,28 +185,31 @@ def payload(spark, sf_dir):
 
 
 def written_entries(spark, sf_dir):
-    """The ordered sink, read back: the place of a row among the written ones follows file and line."""
-    path = f"{shared_dir(spark)}/out-{uuid.uuid4().hex}"
-    ls.write_entries(_bracket_entries(spark, sf_dir).select("file", "line_no", "level", "message"), path, format="parquet")
-    found = spark.read.parquet(path).select(
-        render.file_key().alias("file"), "line_no", "level", "message", F.monotonically_increasing_id().alias("place")
-    )
+    """The ordered sink over files of many splits, read back: the place of a row among the written ones follows file and line."""
+    path = f"{scratch_dir(spark)}/out-{uuid.uuid4().hex}"
+    with render.many_splits(spark, render.files(spark, sf_dir, "bracket")) as logs:
+        lines = ls.read_lines(spark, logs, keep_split=True)
+        found = ls.parse_entries(lines, ["bracket"], carry=["split"]).select("file", "line_no", "level", "message", "split")
+        n = ls.write_entries(found, path, format="parquet")
+    place = F.struct(F.col("split").cast("bigint"), F.col("_metadata.row_index"))
+    written = spark.read.parquet(path).select(render.file_key().alias("file"), "line_no", "level", "message", place.alias("place"))
     behind = F.lag("place").over(Window.partitionBy("file").orderBy("line_no"))
-    return found.withColumn("in_order", F.coalesce(F.col("place") > behind, F.lit(True))).drop("place")
+    in_order = F.coalesce(F.col("place") > behind, F.lit(True))
+    return written.select("file", "line_no", "level", "message", in_order.alias("in_order"), F.lit(n).alias("n_written"))
 
 
 def written_payload(spark, sf_dir):
     """The sink's files read back as text: one plain JSON object a line."""
-    path = f"{shared_dir(spark)}/out-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/out-{uuid.uuid4().hex}"
     parsed = ls.parse_entries(render.lines(spark, sf_dir, "payload"), as_of=AS_OF)
     ls.write_entries(ls.to_payload(parsed), path)
     return spark.read.text(path).select(F.get_json_object("value", "$.line_no").cast("bigint").alias("event_id"), F.col("value").alias("payload"))
 
 
 def exclude_before_parse(spark, sf_dir):
-    """Line numbers left out before the parse."""
-    numbers = [r["event_id"] for r in render.events(spark, sf_dir).where("event_id % 50 = 7").select("event_id").collect()]
-    kept = ls.exclude_lines(render.lines(spark, sf_dir, "bracket"), numbers)
+    """Lines left out before the parse, as a table."""
+    lines = render.lines(spark, sf_dir, "bracket")
+    kept = ls.exclude_lines(lines, lines.where("line_no % 50 = 7").select("file", "line_no"))
     return fields(ls.parse_entries(kept, ["bracket"])).select("event_id", "level", "message")
 
 
@@ -218,7 +222,7 @@ def reviewer_failures(spark, sf_dir):
         return '{"findings": []}'
 
     asked = ls.prompts(_segments(spark, sf_dir))
-    answers = written_table(ls.review_segments(asked, reviewer, retries=1), "responses")
+    answers = written_table(ls.review_segments(asked, reviewer, retries=1, pause=0), "responses")
     out = ls.rejected(answers, ls.parse_findings(answers))
     return out.select(render.file_key().alias("file"), "segment_id", "error")
 
@@ -230,13 +234,11 @@ def redact_documents(spark, sf_dir):
     return ls.redact(rows.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "text"))
 
 
-def _bracket_entries(spark, sf_dir):
-    return ls.parse_entries(ls.read_lines(spark, render.files(spark, sf_dir, "bracket")), ["bracket"])
-
-
 def _segments(spark, sf_dir):
-    _, rest = ls.split_entries(_bracket_entries(spark, sf_dir))
-    return ls.segments(rest)
+    """Segments of files, built where the stored review entries lie."""
+    lines = ls.read_lines(spark, render.files(spark, sf_dir, "bracket"), keep_split=True)
+    _, rest = ls.split_entries(ls.parse_entries(lines, ["bracket"], carry=["split"]))
+    return ls.segments(ls.stored(rest.drop("raw", "meta"), "review-entries"))
 
 
 def _segment_columns(found: DataFrame, *more: str) -> DataFrame:
@@ -249,13 +251,23 @@ def segments(spark, sf_dir):
     return _segment_columns(_segments(spark, sf_dir), "text")
 
 
+def segments_many_splits(spark, sf_dir):
+    """Files of many splits: most segments lie in one of them, some are cut by a border."""
+    with render.many_splits(spark, render.files(spark, sf_dir, "bracket")):
+        return _segment_columns(_segments(spark, sf_dir), "text")
+
+
 def segments_dedup(spark, sf_dir):
-    """Equal texts under one file: the segments of all files, told apart by nothing but their id."""
-    found = render.events(spark, sf_dir).select(
-        F.lit("all").alias("file"), F.col("event_id").alias("segment_id"),
-        F.sha2(F.concat(F.col("host"), F.col("lvl")), 256).alias("text_sha256"),
+    """Segments of seven sources with short texts, many of them equal, regarded as one file."""
+    lines = render.events(spark, sf_dir).select(
+        F.concat(F.lit("source "), F.col("event_id") % 7).alias("file"), F.expr("event_id div 7 + 1").alias("line_no"),
+        F.expr("'[' || lvl || '] step'").alias("message"), F.lit("INFO").alias("level"),
+        F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("boolean").alias("ts_naive"),
     )
-    return ls.dedup_segments(found).select("segment_id", "text_sha256")
+    found = ls.segments(lines, max_lines=2)
+    number = F.col("segment_id") * 7 + F.substring("file", 8, 1).cast("bigint")
+    one = written_table(found.withColumns({"segment_id": number, "file": F.lit("all")}), "segments")
+    return ls.dedup_segments(one).select("segment_id", "n_lines", "text")
 
 
 def prompts(spark, sf_dir):
@@ -289,6 +301,19 @@ def review_fn(spark, sf_dir):
     return _finding_columns(found, render.file_key().alias("file"), "segment_id")
 
 
+def stored_answers(spark, sf_dir):
+    """Answers kept in a folder: a second job finds them all, so its reviewer, which would fail, is not called."""
+
+    def silent(prompt: str) -> str:
+        raise RuntimeError("asked again")
+
+    asked = written_table(ls.prompts(_segments(spark, sf_dir)), "asked")
+    path = f"{scratch_dir(spark)}/answers-{uuid.uuid4().hex}"
+    ls.review_segments(asked, _reviewer(), answers=path, batch=50)
+    again = ls.review_segments(asked, silent, answers=path)
+    return _finding_columns(ls.keep_findings(ls.parse_findings(again)), render.file_key().alias("file"), "segment_id")
+
+
 _RESPONSE = """
 CASE event_id % 10 WHEN 0 THEN 'no json' WHEN 1 THEN '{{"findings":[]}}' WHEN 2 THEN '{{}}' ELSE
 '{{"findings":[{{"line_numbers":[' || event_id || ',' || (event_id + 1) || '],"severity_guess":"'
@@ -320,20 +345,45 @@ def _tokens_parser() -> Callable:
         words = line.split(" ")
         if words[0] != "svc" or words[1] == "nothing":
             return None
-        return {"level": "ERROR" if words[1] == "call" else "INFO", "message": " ".join(words[1:])}
+        return {
+            "ts": datetime(2024, 1, 1, tzinfo=UTC) + timedelta(seconds=int(words[-1])), "level": "ERROR" if words[1] == "call" else "INFO",
+            "message": " ".join(words[1:]), "meta": {"logfmt": {"id": words[-1]}},
+        }
 
     return svc
 
 
 def user_parser(spark, sf_dir):
     found = ls.parse_with(render.lines(spark, sf_dir, "tokens"), _tokens_parser(), fmt="svc")
-    return fields(found).select("event_id", "fmt", "level", "message")
+    return fields(found).withColumn("meta", F.to_json("meta.logfmt"))
 
 
 def user_chain(spark, sf_dir):
     """A user parser between built-in formats: it sees only what they left."""
     found = ls.parse_entries(render.lines(spark, sf_dir, "by_type"), ["syslog", "access", _tokens_parser(), "bracket", "jsonl"], as_of=AS_OF)
-    return fields(found).select("event_id", "fmt", "ts", "level")
+    return fields(found).withColumn("meta", F.to_json("meta.logfmt"))
+
+
+def own_tables(spark, sf_dir):
+    """A caller's own keys, words and time notations in place of the default ones."""
+    logfmt = ls.parse_entries(render.lines(spark, sf_dir, "logfmt"), ["logfmt"], kv_time_keys=["@timestamp"], kv_level_keys=["severity"], kv_message_keys=["id"])
+    jsonl = ls.parse_entries(render.lines(spark, sf_dir, "jsonl"), ["jsonl"], json_time_keys=["time"], json_level_keys=["severity"], json_message_keys=["detail", "id"])
+    bracket = ls.parse_entries(render.lines(spark, sf_dir, "bracket5"), ["bracket"], bracket_formats=["%Y/%m/%d %H:%M:%S"])
+    loose = ls.parse_entries(render.lines(spark, sf_dir, "loose"), ["loose"], keywords={"ERROR": ["PANIC"], "INFO": ["USER 1", "TRACE "]})
+    return fields(logfmt.unionByName(jsonl).unionByName(bracket).unionByName(loose)).drop("meta")
+
+
+def missing_files(spark, sf_dir):
+    """What reading says of each rendered file's neighbour that is not there."""
+    found = spark.read.text(render.files(spark, sf_dir, "bracket")).select(F.col("_metadata.file_path").alias("file")).groupBy("file").count()
+    rows = []
+    for row in found.orderBy("file").toLocalIterator():
+        try:
+            ls.read_lines(spark, row["file"] + ".gone")
+            rows.append((row["file"], row["count"], None))
+        except AnalysisException as exc:
+            rows.append((row["file"], row["count"], exc.getCondition()))
+    return spark.createDataFrame(rows, "file string, n_lines bigint, error string").select(render.file_key().alias("file"), "n_lines", "error")
 
 
 def _triage_columns(found: DataFrame) -> DataFrame:
@@ -422,13 +472,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reviewer_failures": reviewer_failures,
     "redact_documents": redact_documents,
     "segments": segments,
+    "segments_many_splits": segments_many_splits,
     "segments_dedup": segments_dedup,
     "prompts": prompts,
     "review_fn": review_fn,
+    "stored_answers": stored_answers,
     "findings": findings,
     "findings_rejected": findings_rejected,
     "user_parser": user_parser,
     "user_chain": user_chain,
+    "own_tables": own_tables,
+    "missing_files": missing_files,
     "triage": triage,
     "triage_full": triage_full,
     "review_dataset": review_dataset,

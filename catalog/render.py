@@ -7,11 +7,13 @@ known from the columns and the checks need not read the line back.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.session import prepare, shared_dir
+from logspark.session import prepare, scratch_dir
 
 # Events per rendered file and event type; keeps a file's writer bounded at any scale.
 FILE_EVENTS = 1_000_000
@@ -102,7 +104,7 @@ def files(spark: SparkSession, sf_dir: str, name: str, compression: str = "none"
     """
     key = (spark.sparkContext.applicationId, sf_dir, name, compression, charset)
     if key not in _written:
-        path = f"{shared_dir(spark)}/logs-{name}-{uuid.uuid4().hex}"
+        path = f"{scratch_dir(spark)}/logs-{name}-{uuid.uuid4().hex}"
         sink = (
             events(spark, sf_dir)
             .select("event_type", "part", "event_id", F.expr(LINE[name]).alias("value"))
@@ -120,6 +122,22 @@ def files(spark: SparkSession, sf_dir: str, name: str, compression: str = "none"
     return _written[key]
 
 
+@contextmanager
+def many_splits(spark: SparkSession, path: str) -> Iterator[str]:
+    """While it lasts, the files of a folder are read in some thirty splits or more, whatever their size."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    wanted = {"spark.sql.files.maxPartitionBytes": str(max(4096, size // 32)), "spark.sql.files.openCostInBytes": "512"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield path
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def file_key(column: str = "file") -> Column:
     """`type/part` of a rendered file's path."""
     return F.regexp_replace(column, r"^.*/event_type=([^/]+)/part=([^/]+)/.*$", "$1/$2")

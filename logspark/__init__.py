@@ -7,7 +7,7 @@ from logspark.operators.parse import parse_entries
 from logspark.operators.payload import in_line_order, to_payload, write_entries
 from logspark.operators.review import (
     dedup_segments, keep_findings, parse_findings, prompts, redact, rejected, review_segments, segments,
-    split_entries,
+    split_entries, stored,
 )
 from logspark.operators.sniff import read_and_sniff, scan_hits, sniff_formats
 from logspark.operators.user import parse_with
@@ -21,5 +21,5 @@ __all__ = [
     "filter_levels", "filter_window", "in_line_order", "keep_findings", "parse_entries", "parse_findings",
     "parse_levels", "parse_with", "prepare", "prompts", "read_and_sniff", "read_files", "read_lines", "redact", "rejected",
     "remove_scratch", "resolve_window", "review_dataset", "review_segments", "scan_hits", "segments", "sniff_formats",
-    "split_entries", "to_payload", "triage", "triage_with_review", "write_entries",
+    "split_entries", "stored", "to_payload", "triage", "triage_with_review", "write_entries",
 ]

@@ -107,12 +107,10 @@ SNIFF_BYTES = 4096
 # ---------------------------------------------------------------- review
 SEGMENT_LINES = 40
 MIN_CONFIDENCE = 0.55
-REVIEW_CONCURRENCY = 3
+# Seconds between a reviewer's tries: the first pause, doubled up to the longest.
+REVIEW_PAUSE = 1.0
+REVIEW_LONGEST_PAUSE = 8.0
 FINDING_SEVERITIES = ("low", "medium", "high")
-FINDINGS_SCHEMA = (
-    "struct<findings:array<struct<line_numbers:array<bigint>,severity_guess:string,"
-    "confidence:double,title:string,rationale:string,recommendation:string>>>"
-)
 
 # ---------------------------------------------------------------- files
 ALLOWED_SUFFIXES = ("log", "txt", "md")

@@ -125,7 +125,7 @@ def parse_entries(
             json_message_keys=json_message_keys, kv_time_keys=kv_time_keys,
             kv_level_keys=kv_level_keys, kv_message_keys=kv_message_keys,
         )
-        return parse_mixed(lines.select("file", "line_no", "line", *([hit_level] if hit_level else [])), formats, hit_level=hit_level, **kwargs)
+        return parse_mixed(lines, formats, hit_level=hit_level, carry=carry, **kwargs)
 
     as_of = as_of or datetime.now(UTC)
     if as_of.tzinfo is None:

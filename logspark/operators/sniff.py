@@ -12,7 +12,7 @@ from logspark.functions.levels import pri_level, status_level
 from logspark.functions.text import ascii_upper, first_match, lit
 from logspark.operators.once import evaluate_once
 from logspark.session import join_by_file, prepare, written_table
-from logspark.sources.lines import block_index, line_text, numbered, raw_lines
+from logspark.sources.lines import block_index, line_text, numbered, raw_lines, with_splits
 
 _ASCII_BLANKS = " \t\n\r\x0b\x0c"
 
@@ -66,6 +66,7 @@ def read_and_sniff(
     decode_errors: str = "replace",
     line_sep: str | None = None,
     allowed_only: bool = False,
+    keep_split: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """`read_lines` of files, and their formats (`file, detected`, a written table; no row for a file without lines).
 
@@ -82,7 +83,8 @@ def read_and_sniff(
     code = sum((c.cast("int") * (1 << i) for i, c in enumerate(_looks(text, max_bytes_per_line).values())), F.lit(0))
     looked = raw.withColumn("looks", F.when((F.col("block") == 0) & (place < sample_lines), code))
     counts = [F.count_if(F.col("looks").bitwiseAND(F.lit(1 << i)) != 0).alias(name) for i, name in enumerate(_KINDS)]
-    index = written_table(block_index(looked, F.max("size").alias("size"), *counts), "line-index")
+    index = block_index(looked, F.max("size").alias("size"), *counts)
+    index = written_table(with_splits(index) if keep_split else index, "line-index")
     lines = numbered(raw, index, text)
 
     head = (F.col("block") == 0) & (F.col("first_row").bitwiseAND(F.lit(_IN_TASK)) == 0)
@@ -143,7 +145,7 @@ def scan_hits(
     sample_lines: int = fixed.SNIFF_LINES,
     pass_unknown: bool = False,
 ) -> DataFrame:
-    """Candidate lines: `file, line_no, hit_level, line`.
+    """Candidate lines: `file, line_no, hit_level, line`, and further columns of `lines`.
 
     Access files keep 4xx/5xx, syslog files PRI warnings and worse, all others lines with a level
     token. With `pass_unknown`, every line of an unrecognised file passes, without a level.
@@ -152,12 +154,13 @@ def scan_hits(
         detected = sniff_formats(lines, sample_lines)
     line, name = F.col("line"), F.col("detected")
     upper = F.when(~name.isin("access", "syslog"), ascii_upper(line)).alias("_up")
-    out = with_detected(lines, detected).select("file", "line_no", "line", "detected", upper)
+    more = [c for c in lines.columns if c not in ("file", "line_no", "line", "detected", "hit_level")]
+    out = with_detected(lines, detected).select("file", "line_no", "line", "detected", upper, *more)
     level = hit_level(tokens, case_insensitive)
     if pass_unknown:
         level = f"CASE WHEN detected <> 'unknown' THEN {level} END"
-    out = out.selectExpr("file", "line_no", "line", "detected", f"{level} AS hit_level")
-    out = evaluate_once(out, ["file", "line_no", "line", "detected"], "hit_level")
+    out = out.selectExpr("file", "line_no", "line", "detected", *more, f"{level} AS hit_level")
+    out = evaluate_once(out, ["file", "line_no", "line", "detected", *more], "hit_level")
     keep = F.col("hit_level").isNotNull()
     out = out.where(keep | (name == "unknown") if pass_unknown else keep)
-    return out.select("file", "line_no", "hit_level", "line")
+    return out.select("file", "line_no", "hit_level", "line", *more)

@@ -2,75 +2,103 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from datetime import timezone
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from logspark import fixed
 from logspark.operators.parse import ENTRY_COLUMNS, ENTRY_SCHEMA, parse_entries
 
+_ENTRY = f"struct<{ENTRY_SCHEMA}>"
+_KIND = "ts timestamp, ts_naive boolean, level string, message string, meta " + ENTRY_SCHEMA.partition(" meta ")[2]
+_TEXTS = pa.map_(pa.string(), pa.string())
+_META = pa.struct({
+    "syslog": pa.struct({"pri": pa.int32(), "severity": pa.int32(), "facility": pa.int32(), "host": pa.string(), "app": pa.string()}),
+    "cef": pa.struct({
+        "version": pa.string(), "device_vendor": pa.string(), "device_product": pa.string(), "device_version": pa.string(),
+        "signature_id": pa.string(), "name": pa.string(), "severity": pa.string(), "extension": _TEXTS,
+    }),
+    "logfmt": _TEXTS, "ltsv": _TEXTS,
+})
+_FOUND = pa.struct({
+    "ts": pa.timestamp("us", "UTC"), "ts_naive": pa.bool_(), "level": pa.string(), "message": pa.string(), "meta": _META,
+})
+
+
+def _pairs(kind: pa.DataType, value):
+    """A value in the shape Arrow takes: maps as lists of pairs."""
+    if value is None:
+        return None
+    if pa.types.is_map(kind):
+        return [(k, None if v is None else str(v)) for k, v in dict(value).items()]
+    if pa.types.is_struct(kind):
+        return {f.name: _pairs(f.type, value.get(f.name)) for f in kind}
+    return value
+
+
+def parsed_by(parser: Callable[[int, str], dict | None], line: Column | str = "line") -> Column:
+    """What `parser(line_no, line)` says, as one struct column: `ts, ts_naive, level, message, meta`, NULL where it passes.
+
+    A vectorised function: only the line's number and text go to Python, all other columns stay where they are. A
+    NULL line is not shown to the parser.
+    """
+
+    def one(line_no: int | None, line: str | None) -> dict | None:
+        got = None if line is None else parser(line_no, line)
+        if got is None:
+            return None
+        ts = got.get("ts")
+        naive = None if ts is None else ts.tzinfo is None
+        if ts is not None:
+            ts = ts.replace(tzinfo=timezone.utc) if naive else ts.astimezone(timezone.utc)
+        return {
+            "ts": ts, "ts_naive": naive, "level": str(got.get("level") or "UNKNOWN"), "message": str(got.get("message", line)),
+            "meta": _pairs(_META, got.get("meta")),
+        }
+
+    def run(line_no: pa.Array, line: pa.Array) -> pa.Array:
+        return pa.array([one(n, x) for n, x in zip(line_no.to_pylist(), line.to_pylist(), strict=True)], _FOUND)
+
+    return F.arrow_udf(run, _KIND).asNondeterministic()("line_no", line)  # evaluated once, wherever it is read
+
+
+def _entry(found: Column, fmt: str, line: Column) -> Column:
+    """An entry struct of what a parser found; NULL where it found nothing."""
+    fields = {
+        "file": F.col("file"), "line_no": F.col("line_no").cast("bigint"), "fmt": F.lit(fmt), "raw": line,
+        **{f.name: found[f.name] for f in _FOUND},
+    }
+    return F.when(found.isNotNull(), F.struct(*[fields[c].alias(c) for c in ENTRY_COLUMNS]).cast(_ENTRY))
+
 
 def parse_with(
-    lines: DataFrame, parser: Callable[[int, str], dict | None], *, fmt: str | None = None, hit_level: str | None = None
+    lines: DataFrame, parser: Callable[[int, str], dict | None], *, fmt: str | None = None, hit_level: str | None = None,
+    carry: Iterable[str] = (),
 ) -> DataFrame:
     """Run `parser(line_no, line) -> dict or None` over the lines: entries.
 
     The dict may hold `ts` (datetime), `level`, `message` and `meta`; None drops the line, or, with
-    `hit_level`, keeps it with that level and the stripped line.
+    `hit_level`, keeps it with that level and the stripped line. `carry` names further columns to pass through.
     """
-    out = _apply(lines, parser, fmt or getattr(parser, "__name__", "user"), "_done")
-    taken = F.col("_done")
-    if hit_level is None:
-        return out.where(taken).select(*ENTRY_COLUMNS)
-    level = F.when(taken, F.col("level")).otherwise(F.col(hit_level))
-    message = F.when(taken, F.col("message")).otherwise(F.btrim("raw", F.lit(fixed.BLANKS)))
-    out = out.where(taken | F.col(hit_level).isNotNull())
-    return out.withColumns({"level": level, "message": message}).select(*ENTRY_COLUMNS)
-
-
-def _apply(lines: DataFrame, parser: Callable, fmt: str, done: str) -> DataFrame:
-    extra = [f for f in lines.schema.fields if f.name not in ("file", "line_no", "line")]
-    schema = StructType.fromDDL(ENTRY_SCHEMA)
-    names = [f.name for f in schema.fields]
-    for field in extra:
-        schema.add(field)
-    schema.add(done, "boolean")
-
-    def run(batches):
-        import pandas as pd
-        from datetime import timezone
-
-        utc = timezone.utc
-        for batch in batches:
-            rows = []
-            for file, line_no, line in zip(batch["file"], batch["line_no"], batch["line"]):
-                line_no = None if pd.isna(line_no) else int(line_no)
-                got = parser(line_no, line)
-                if got is None:
-                    rows.append((file, line_no, None, None, None, None, None, line, None, False))
-                    continue
-                ts = got.get("ts")
-                naive = None if ts is None else ts.tzinfo is None
-                if ts is not None:
-                    ts = ts.replace(tzinfo=utc) if naive else ts.astimezone(utc)
-                rows.append(
-                    (file, line_no, fmt, ts, naive, str(got.get("level") or "UNKNOWN"),
-                     str(got.get("message", line)), line, got.get("meta"), True)
-                )
-            out = pd.DataFrame(rows, columns=[*names, done])
-            out["ts"] = pd.Series([r[3] for r in rows], dtype=object)  # nanoseconds end in 2262
-            out["line_no"] = pd.array([r[1] for r in rows], dtype="Int64")
-            for field in extra:
-                out[field.name] = batch[field.name].values
-            yield out[[f.name for f in schema.fields]]
-
-    return lines.mapInPandas(run, schema)
+    named = parser if fmt is None else _Named(parser, fmt)
+    return parse_mixed(lines, [named], hit_level=hit_level, carry=carry)
+
+
+class _Named:
+    """A parser under another name."""
+
+    def __init__(self, parser: Callable, name: str):
+        self.parser, self.__name__ = parser, name
+
+    def __call__(self, line_no: int, line: str) -> dict | None:
+        return self.parser(line_no, line)
 
 
 def parse_mixed(
-    lines: DataFrame, formats: Sequence[str | Callable], *, hit_level: str | None = None, **options
+    lines: DataFrame, formats: Sequence[str | Callable], *, hit_level: str | None = None, carry: Iterable[str] = (), **options
 ) -> DataFrame:
     """A chain in which some formats are functions: each part parses what the parts before it left."""
     runs: list = []
@@ -81,44 +109,29 @@ def parse_mixed(
             runs[-1].append(item)
 
     # All lines go through every part once; a line that is taken keeps its entry.
-    entry = F.struct(*ENTRY_COLUMNS)
-    rest = lines.withColumn("_e", F.lit(None).cast(StructType.fromDDL(ENTRY_SCHEMA)))
+    keep = list(dict.fromkeys([*([hit_level] if hit_level else []), *carry]))
+    rest = lines.select("file", "line_no", "line", *keep, F.lit(None).cast(_ENTRY).alias("_e"))
     for part in runs:
         if callable(part):
-            fmt = getattr(part, "__name__", "user")
-            guarded = _skip_taken(part)
-            carried = rest.select("*", F.col("line").alias("_line")).withColumn(
-                "line", F.when(F.col("_e").isNull(), F.col("line"))
-            )
-            tried = _apply(carried, guarded, fmt, "_done")
-            rest = tried.select(
-                "file", "line_no", F.col("_line").alias("line"),
-                *[c for c in lines.columns if c not in ("file", "line_no", "line")],
-                F.when(F.col("_done"), entry).otherwise(F.col("_e")).alias("_e"),
-            )
+            shown = F.when(F.col("_e").isNull(), F.col("line"))
+            tried = rest.withColumn("_found", parsed_by(part, shown))
+            new = _entry(F.col("_found"), getattr(part, "__name__", "user"), F.col("line"))
+            rest = tried.withColumn("_e", F.coalesce("_e", new)).drop("_found")
         else:
-            keep = [c for c in lines.columns if c not in ("file", "line_no", "line")]
             marked = rest.withColumn("_mark", F.lit("?"))
             parsed = parse_entries(marked, part, hit_level="_mark", carry=[*keep, "_e"], **options)
             taken = F.col("fmt").isNotNull() & F.col("_e").isNull()
             rest = parsed.select(
                 "file", "line_no", F.col("raw").alias("line"), *keep,
-                F.when(taken, entry).otherwise(F.col("_e")).alias("_e"),
+                F.when(taken, F.struct(*ENTRY_COLUMNS)).otherwise(F.col("_e")).alias("_e"),
             )
     e = F.col("_e")
     if hit_level is None:
-        return rest.where(e.isNotNull()).select("_e.*")
+        return rest.where(e.isNotNull()).select("_e.*", *carry)
     kept = rest.where(e.isNotNull() | F.col(hit_level).isNotNull())
     return kept.select(
-        "file", "line_no", "_e.fmt", "_e.ts", "_e.ts_naive",
+        "file", F.col("line_no").cast("bigint").alias("line_no"), "_e.fmt", "_e.ts", "_e.ts_naive",
         F.coalesce(F.col("_e.level"), F.col(hit_level)).alias("level"),
         F.coalesce(F.col("_e.message"), F.btrim("line", F.lit(fixed.BLANKS))).alias("message"),
-        F.col("line").alias("raw"), "_e.meta",
+        F.col("line").alias("raw"), "_e.meta", *carry,
     )
-
-
-def _skip_taken(parser: Callable) -> Callable:
-    def guarded(line_no, line):
-        return None if line is None else parser(line_no, line)
-
-    return guarded

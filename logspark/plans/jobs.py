@@ -60,7 +60,8 @@ def entries(
         since, until = resolve_window(hours_lookback=hours_lookback, as_of=as_of)
     severities = None if severities is None else list(severities)
     if severities == []:  # nothing can be kept: start no job
-        nothing = lines.sparkSession.createDataFrame([], ENTRY_SCHEMA)
+        more = ", split bigint" if "split" in lines.columns else ""
+        nothing = lines.sparkSession.createDataFrame([], ENTRY_SCHEMA + more)
         return nothing if include_raw else nothing.drop("raw")
 
     # Format detection reads the unfiltered head of each file, so it comes before the text filter.
@@ -72,7 +73,8 @@ def entries(
             sample_lines=sniff_lines, pass_unknown=True,
         )
     lines = filters.filter_contains(lines, contains)
-    out = parse_entries(lines, formats, as_of=as_of, hit_level=level, **parse_options)
+    carry = [c for c in ("split",) if c in lines.columns]
+    out = parse_entries(lines, formats, as_of=as_of, hit_level=level, carry=carry, **parse_options)
     out = filters.filter_levels(out, severities)
     out = filters.filter_window(out, since, until, timestamp_policy=timestamp_policy, default_tz=default_tz)
     return out if include_raw else out.drop("raw")
@@ -102,12 +104,14 @@ def triage(
     decode_errors: str = "replace",
     line_sep: str | None = None,
     allowed_only: bool = False,
+    keep_split: bool = False,
     **options,
 ) -> DataFrame | Review:
     """Triage log files: the entries of a time window and a set of levels.
 
     Without any window the last 24 hours count. With `include_review` the result is a `Review`. `encoding`,
-    `decode_errors`, `line_sep` and `allowed_only` go to `read_lines`, other options to the job.
+    `decode_errors`, `line_sep` and `allowed_only` go to `read_lines`, other options to the job. `keep_split` adds the column
+    by which `write_entries` keeps line order without a shuffle.
     """
     as_of = as_of or datetime.now(UTC)
     wanted = filters.effective_levels(levels, include_all_levels=include_all_levels, with_review=include_review)
@@ -117,7 +121,7 @@ def triage(
     )
     lookback = 24 if start is None and end is None else None
     window = dict(since=start, until=end, hours_lookback=lookback, contains=contains, as_of=as_of)
-    reading = dict(encoding=encoding, decode_errors=decode_errors, line_sep=line_sep, allowed_only=allowed_only)
+    reading = dict(encoding=encoding, decode_errors=decode_errors, line_sep=line_sep, allowed_only=allowed_only, keep_split=keep_split or include_review)
     if not include_review and options.get("fast_prefilter", True) and options.get("detected") is None:
         lines, options["detected"] = read_and_sniff(spark, paths, options.get("sniff_lines", fixed.SNIFF_LINES), **reading)
     else:
@@ -148,16 +152,22 @@ def review_dataset(
     """Segments, with prompts, of the entries that carry no identified level.
 
     The review entries and the segments are written once to the shared folder, so that no line is parsed, and no text
-    masked or hashed, twice.
+    masked or hashed, twice. Lines read with `keep_split` become segments where they are stored, without a shuffle of texts.
     """
     identified = list(identified_levels)
     found = _review_entries(lines, identified, exclude, hours_lookback=hours_lookback, **options)
     _, rest = review.split_entries(found, identified)
-    rest = written_table(rest.select("file", "line_no", "ts", "ts_naive", "level", "message"), "review-entries")
-    segments = written_table(review.segments(rest, max_lines=segment_max_lines, redacted=redact), "segments")
+    rest = review.stored(rest.drop("fmt", "raw", "meta"), "review-entries")
+    segments = _written_segments(rest, max_lines=segment_max_lines, redacted=redact)
     return review.prompts(review.dedup_segments(segments), identified)
 
 
+def _written_segments(rest: DataFrame, **options) -> DataFrame:
+    """Segments as a table; those built in scan order are stored already."""
+    found = review.segments(rest, **options)
+    return found if "split" in rest.columns else written_table(found, "segments")
+
+
 def triage_with_review(
     lines: DataFrame,
     *,
@@ -169,6 +179,8 @@ def triage_with_review(
     reviewer: Callable[[str], str] | None = None,
     concurrency: int | None = None,
     retries: int = 0,
+    pause: float = fixed.REVIEW_PAUSE,
+    answers: str | None = None,
     hours_lookback: int | None = None,
     include_raw: bool = True,
     **options,
@@ -177,18 +189,19 @@ def triage_with_review(
 
     The parsed entries and the segments are written once to the shared folder and read from there, and a
     reviewer's answers are stored before they are checked, so no line is parsed and no segment
-    reviewed twice.
+    reviewed twice. `answers` names a folder that keeps them for later jobs, too (see `review_segments`).
     """
     identified = list(identified_levels)
     found = _review_entries(lines, identified, exclude, hours_lookback=hours_lookback, **options)
-    found = written_table(found if include_raw else found.drop("raw"), "entries")
+    found = review.stored(found if include_raw else found.drop("raw"), "entries")
     known, rest = review.split_entries(found, identified)
-    segments = written_table(review.segments(rest, max_lines=segment_max_lines, redacted=redact), "segments")
+    known = known.drop("split")
+    segments = _written_segments(rest, max_lines=segment_max_lines, redacted=redact)
     segments = review.prompts(review.dedup_segments(segments), identified)
     if reviewer is None:
         return Review(known, segments, None, None)
-    answers = review.review_segments(segments, reviewer, concurrency=concurrency, retries=retries)
-    answers = written_table(answers, "responses")
-    parsed = review.parse_findings(answers)
+    replies = review.review_segments(segments, reviewer, concurrency=concurrency, retries=retries, pause=pause, answers=answers)
+    replies = written_table(replies, "responses")
+    parsed = review.parse_findings(replies)
     kept = review.keep_findings(parsed, min_confidence=min_confidence)
-    return Review(known, segments, kept, review.rejected(answers, parsed))
+    return Review(known, segments, kept, review.rejected(replies, parsed))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -61,11 +62,18 @@ MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 KEYS_A_FILE = 256
 
 
+def keeps_scan_order(df: DataFrame) -> bool:
+    """Whether rows still stand as their files hold them: no shuffle is planned, and a broadcast moves no row of `df`."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.search(r"(?<!Broadcast)Exchange\b", plan) is None
+
+
 def written_table(df: DataFrame, name: str) -> DataFrame:
-    """Compute a small table once and read it back from the shared folder.
+    """Compute a table once and read it back from the shared folder.
 
     Cuts the lineage durably: nothing is computed again when executors are lost or a second action
-    runs.
+    runs. Most such tables are small; entries to review and segments can be as big as the input. All stay until
+    `remove_scratch`.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -101,14 +101,20 @@ def block_index(raw: DataFrame, *more: Column) -> DataFrame:
     return blocks.withColumn("before", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
 
 
+def with_splits(index: DataFrame) -> DataFrame:
+    """Add `split`: a number a split that grows with the file's name and the place in the file. Moves the index only."""
+    return index.orderBy("file", "block").withColumn("split", F.monotonically_increasing_id())
+
+
 def numbered(raw: DataFrame, index: DataFrame, text: Column) -> DataFrame:
-    """`file, line_no, line` of raw lines by the written index of the same scan."""
-    places = index.select("file", "block", "first_row", "n_rows", "before")
+    """`file, line_no, line` of raw lines by the written index of the same scan, and `split` where the index has it."""
+    more = [c for c in ("split",) if c in index.columns]
+    places = index.select("file", "block", "first_row", "n_rows", "before", *more)
     place = F.col("row") - F.col("first_row")
     number = F.when(
         F.col("first_row").isNotNull() & (place >= 0) & (place < F.col("n_rows")), F.col("before") + place + 1
     ).otherwise(F.raise_error(F.lit("file splits changed between two scans")).cast("bigint"))
-    return raw.join(lookup_side(places), ["file", "block"], "left").select("file", number.alias("line_no"), text.alias("line"))
+    return raw.join(lookup_side(places), ["file", "block"], "left").select("file", number.alias("line_no"), text.alias("line"), *more)
 
 
 def read_lines(
@@ -119,6 +125,7 @@ def read_lines(
     decode_errors: str = "replace",
     line_sep: str | None = None,
     allowed_only: bool = False,
+    keep_split: bool = False,
 ) -> DataFrame:
     """Read text or gzip files as `file, line_no, line`, numbered from 1 within each file.
 
@@ -126,11 +133,13 @@ def read_lines(
     per-file running total of those counts is a small table, and a second scan adds it to the row's
     place in its split. Both scans must cut the files alike; every row checks that its place lies
     inside the counted split and the query fails otherwise. `line_sep="\\n"` keeps inner carriage
-    returns, the default splits on `\\n`, `\\r\\n` and `\\r`.
+    returns, the default splits on `\\n`, `\\r\\n` and `\\r`. `keep_split` adds `split`, which numbers the splits of all files
+    in order: what it goes through without a shuffle can be written, or cut into segments, in line order without one.
     """
     prepare(spark)
     raw = raw_lines(spark, paths, encoding, line_sep, allowed_only)
-    return numbered(raw, written_table(block_index(raw), "line-index"), line_text(encoding, decode_errors))
+    index = with_splits(block_index(raw)) if keep_split else block_index(raw)
+    return numbered(raw, written_table(index, "line-index"), line_text(encoding, decode_errors))
 
 
 def read_files(
