@@ -285,6 +285,10 @@ UNION ALL SELECT event_id, 'loose', NULL, CASE WHEN user_id % 5 = 0 THEN 'ERROR'
     "missing_files": f"{_E} SELECT file, count(*) AS n_lines, 'PATH_NOT_FOUND' AS error FROM e GROUP BY file",
     "triage": f"{_E} SELECT file, line_no, tsec || '+00:00' AS ts, lvl AS level, msg AS message FROM e "
     "WHERE s >= TIMESTAMP '2024-01-05' AND s < TIMESTAMP '2024-01-06' AND lvl IN ('WARNING', 'ERROR')",
+    "triage_skipping": f"{_E} SELECT file, line_no, tsec || '+00:00' AS ts, lvl AS level, msg AS message FROM e "
+    "WHERE s >= TIMESTAMP '2024-01-05' AND s < TIMESTAMP '2024-01-06' AND lvl IN ('WARNING', 'ERROR')",
+    "time_zones": f"""{_E}, t AS (SELECT file, event_type IN ('view', 'click', 'error') AS timed, event_type = 'purchase' AS kept, sec FROM e)
+SELECT file, min(sec) FILTER (timed) AS least, max(sec) FILTER (timed) AS greatest, count(*) FILTER (kept) AS open FROM t GROUP BY file""",
     "triage_full": f"""SELECT file, line_no, ts, level, message FROM ({_E}
   SELECT file, line_no, event_type, user_id, event_id, {_columns(_TYPED, 'ts', 'level', 'message')}, {_TYPED_TS} AS utc FROM e) p
 WHERE level <> 'UNKNOWN' AND (event_type <> 'signup' OR (user_id % 5 < 4 AND contains(CAST(event_id AS VARCHAR), '1')))

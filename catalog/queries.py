@@ -397,6 +397,20 @@ def triage(spark, sf_dir):
     return _triage_columns(ls.triage(spark, render.files(spark, sf_dir, "bracket"), date="2024-01-05"))
 
 
+def triage_skipping(spark, sf_dir):
+    """The same with entries without a time left out: splits apart from the day are not parsed."""
+    with render.many_splits(spark, render.files(spark, sf_dir, "bracket")) as logs:
+        found = _triage_columns(ls.triage(spark, logs, date="2024-01-05", timestamp_policy="exclude"))
+        return written_table(found, "triage")
+
+
+def time_zones(spark, sf_dir):
+    """The range of times in each file of one format, and how many lines may have another."""
+    found = ls.time_zones(spark, render.files(spark, sf_dir, "by_type"))
+    times = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("least", "greatest")]
+    return found.select(render.file_key().alias("file"), *times, "open")
+
+
 def triage_full(spark, sf_dir):
     """All levels of one week that hold a text, without the prefilter, over files of several formats."""
     found = ls.triage(
@@ -484,6 +498,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "own_tables": own_tables,
     "missing_files": missing_files,
     "triage": triage,
+    "triage_skipping": triage_skipping,
+    "time_zones": time_zones,
     "triage_full": triage_full,
     "review_dataset": review_dataset,
     "triage_with_review": triage_with_review,

@@ -12,6 +12,7 @@ from logspark.operators.review import (
 from logspark.operators.sniff import read_and_sniff, scan_hits, sniff_formats
 from logspark.operators.user import parse_with
 from logspark.operators.window import resolve_window
+from logspark.operators.zones import time_zones
 from logspark.plans.jobs import Review, entries, review_dataset, triage, triage_with_review
 from logspark.session import prepare, remove_scratch
 from logspark.sources.lines import read_files, read_lines
@@ -21,5 +22,5 @@ __all__ = [
     "filter_levels", "filter_window", "in_line_order", "keep_findings", "parse_entries", "parse_findings",
     "parse_levels", "parse_with", "prepare", "prompts", "read_and_sniff", "read_files", "read_lines", "redact", "rejected",
     "remove_scratch", "resolve_window", "review_dataset", "review_segments", "scan_hits", "segments", "sniff_formats",
-    "split_entries", "stored", "to_payload", "triage", "triage_with_review", "write_entries",
+    "split_entries", "stored", "time_zones", "to_payload", "triage", "triage_with_review", "write_entries",
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from datetime import UTC, datetime, tzinfo
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark import fixed
@@ -45,6 +45,14 @@ def filter_levels(entries: DataFrame, levels: Iterable[str] | None) -> DataFrame
     return entries.where(F.col("level").isin(wanted)) if wanted else entries.where(F.lit(False))
 
 
+def instant(default_tz: str | tzinfo = UTC) -> Column:
+    """An entry's time; one without zone is read in `default_tz`."""
+    ts = F.col("ts")
+    if str(zone(default_tz)) == "UTC":
+        return ts
+    return F.when(F.col("ts_naive"), F.to_utc_timestamp("ts", str(zone(default_tz)))).otherwise(ts)
+
+
 def filter_window(
     entries: DataFrame,
     since: datetime | None = None,
@@ -57,10 +65,7 @@ def filter_window(
     if timestamp_policy not in ("include", "exclude"):
         raise ValueError("timestamp_policy must be 'include' or 'exclude'")
     since, until = checked(since, until, default_tz)
-    ts = F.col("ts")
-    if str(zone(default_tz)) != "UTC":
-        ts = F.when(F.col("ts_naive"), F.to_utc_timestamp("ts", str(zone(default_tz)))).otherwise(ts)
-    inside = F.lit(True)
+    ts, inside = instant(default_tz), F.lit(True)
     if since is not None:
         inside = inside & (ts >= F.lit(since))
     if until is not None:

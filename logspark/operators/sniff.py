@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +11,14 @@ from logspark import fixed
 from logspark.functions.levels import pri_level, status_level
 from logspark.functions.text import ascii_upper, first_match, lit
 from logspark.operators.once import evaluate_once
-from logspark.session import join_by_file, prepare, written_table
-from logspark.sources.lines import block_index, line_text, numbered, raw_lines, with_splits
+from logspark.session import fits_broadcast, join_by_file, prepare, written_table
+from logspark.sources.lines import block_index, file_path, line_text, numbered, raw_lines, text_files, time_ranges, with_splits
 
 _ASCII_BLANKS = " \t\n\r\x0b\x0c"
 
 
+# Closed files that are left out by name.
+MOST_NAMED = 50_000
 # The order in which a file's format is settled.
 _KINDS = ("access", "syslog", "jsonl", "bracket")
 # Bits of a row id that number the rows of one task.
@@ -67,25 +69,43 @@ def read_and_sniff(
     line_sep: str | None = None,
     allowed_only: bool = False,
     keep_split: bool = False,
-) -> tuple[DataFrame, DataFrame]:
+    only: Column | None = None,
+    times: Callable[[DataFrame, Column], DataFrame] | None = None,
+    closed: Column | None = None,
+    sniff: bool = True,
+) -> tuple[DataFrame, DataFrame | None]:
     """`read_lines` of files, and their formats (`file, detected`, a written table; no row for a file without lines).
 
     The scan that counts the lines of every split looks at the first lines on the way: where a file's first split
     is also its task's first, a row's number in the task is its place. That holds for every file of at least a split's
     size. Smaller files, several of which share a task, and files whose first split has too few lines are
     read once more (with an index of their own, unless all files are that small).
+
+    `only` leaves files out by path and size. `times` (see `zones`) adds to raw lines their times, of which the counting scan keeps
+    the range a split, and `closed` tells of such a range that no line is wanted: then lines of closed splits are dropped
+    before they are parsed, and where closed files are half of the bytes or more, they are not read again (the others
+    are counted again). Without `sniff` no formats are settled.
     """
     prepare(spark)
-    raw = raw_lines(spark, paths, encoding, line_sep, allowed_only)
+    scan = text_files(spark, paths, encoding, line_sep, allowed_only)
+    raw = raw_lines(scan, only)
     text = line_text(encoding, decode_errors)
     place = F.col("row").bitwiseAND(F.lit(_IN_TASK))
     # One number for a line's looks, so that nothing of it is computed for lines that are not looked at.
     code = sum((c.cast("int") * (1 << i) for i, c in enumerate(_looks(text, max_bytes_per_line).values())), F.lit(0))
     looked = raw.withColumn("looks", F.when((F.col("block") == 0) & (place < sample_lines), code))
     counts = [F.count_if(F.col("looks").bitwiseAND(F.lit(1 << i)) != 0).alias(name) for i, name in enumerate(_KINDS)]
-    index = block_index(looked, F.max("size").alias("size"), *counts)
+    ranges = [] if times is None else time_ranges()
+    index = block_index(looked if times is None else times(looked, text), F.max("size").alias("size"), *counts, *ranges)
     index = written_table(with_splits(index) if keep_split else index, "line-index")
-    lines = numbered(raw, index, text)
+    every = numbered(raw, index, text)
+    lines = every
+    if times is not None:
+        lines, kept = _open_lines(scan, raw, index, text, closed, only)
+        if kept is not None:
+            every, only = lines, kept
+    if not sniff:
+        return lines, None
 
     head = (F.col("block") == 0) & (F.col("first_row").bitwiseAND(F.lit(_IN_TASK)) == 0)
     files = index.groupBy("file").agg(
@@ -97,15 +117,37 @@ def read_and_sniff(
     found = files.where("settled").select("file", *_KINDS)
     largest, rest = files.agg(F.max("size"), F.max(F.when(~F.col("settled"), F.col("size")))).first()
     if rest is not None:
-        again = lines
+        again = every
         if rest < largest:
-            small = raw.where(F.col("size") <= rest)
+            few = F.col("_metadata.file_size") <= rest
+            small = raw_lines(scan, few if only is None else few & only)
             again = numbered(small, written_table(block_index(small), "line-index"), text)
         others = _head_counts(again, sample_lines, max_bytes_per_line)
         found = found.unionByName(others.join(files.where("NOT settled").select("file"), "file", "left_semi"))
     return lines, written_table(found.select("file", _guess(sample_lines)), "detected")
 
 
+def _open_lines(
+    scan: DataFrame, raw: DataFrame, index: DataFrame, text: Column, closed: Column, only: Column | None
+) -> tuple[DataFrame, Column | None]:
+    """Numbered lines of the splits that are not closed, and the condition on files where whole ones are left out."""
+    by_file = index.groupBy("file").agg(
+        F.max("size").alias("size"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("open").alias("open")
+    ).withColumn("closed", closed)
+    size, shut, n = by_file.agg(F.sum("size"), F.sum(F.when(F.col("closed"), F.col("size"))), F.count_if("closed")).first()
+    if n and 2 * shut >= size and n <= MOST_NAMED:
+        names = [r["file"] for r in by_file.where("closed").select("file").collect()]
+        kept = ~file_path().isin(names) if only is None else only & ~file_path().isin(names)
+        few = raw_lines(scan, kept)
+        again = block_index(few)
+        return numbered(few, written_table(with_splits(again) if "split" in index.columns else again, "line-index"), text), kept
+    shut_blocks = index.where(closed).select(F.col("file").alias("of_file"), F.col("block").alias("of_block"))
+    if not shut_blocks.limit(1).count() or not fits_broadcast(shut_blocks.withColumnRenamed("of_file", "file")):
+        return numbered(raw, index, text), None
+    same = (F.col("file") == F.col("of_file")) & (F.col("block") == F.col("of_block"))
+    return numbered(raw.join(F.broadcast(shut_blocks), same, "left_anti"), index, text), None
+
+
 def hit_level(
     tokens: Mapping[str, Iterable[str]] = fixed.SCAN_TOKENS, case_insensitive: bool = True
 ) -> str:

@@ -13,6 +13,7 @@ from logspark.operators import filters, review
 from logspark.operators.parse import ENTRY_SCHEMA, parse_entries
 from logspark.operators.sniff import read_and_sniff, scan_hits
 from logspark.operators.window import resolve_window
+from logspark.operators.zones import apart, left_out, timed_formats, with_times
 from logspark.session import prepare, written_table
 from logspark.sources.lines import read_lines
 
@@ -105,6 +106,7 @@ def triage(
     line_sep: str | None = None,
     allowed_only: bool = False,
     keep_split: bool = False,
+    zones: DataFrame | None = None,
     **options,
 ) -> DataFrame | Review:
     """Triage log files: the entries of a time window and a set of levels.
@@ -112,6 +114,10 @@ def triage(
     Without any window the last 24 hours count. With `include_review` the result is a `Review`. `encoding`,
     `decode_errors`, `line_sep` and `allowed_only` go to `read_lines`, other options to the job. `keep_split` adds the column
     by which `write_entries` keeps line order without a shuffle.
+
+    With `timestamp_policy="exclude"` the counting scan notes the range of times in every split, and what lies apart from the window
+    is neither parsed nor, file by file, read again. `zones`, a stored table of `time_zones`, leaves such files out from the
+    first scan on. Lines whose time the cheap rules do not tell keep their split.
     """
     as_of = as_of or datetime.now(UTC)
     wanted = filters.effective_levels(levels, include_all_levels=include_all_levels, with_review=include_review)
@@ -122,7 +128,20 @@ def triage(
     lookback = 24 if start is None and end is None else None
     window = dict(since=start, until=end, hours_lookback=lookback, contains=contains, as_of=as_of)
     reading = dict(encoding=encoding, decode_errors=decode_errors, line_sep=line_sep, allowed_only=allowed_only, keep_split=keep_split or include_review)
-    if not include_review and options.get("fast_prefilter", True) and options.get("detected") is None:
+    sniffing = not include_review and options.get("fast_prefilter", True) and options.get("detected") is None
+    head = timed_formats(options.get("formats", fixed.FORMATS))
+    if options.get("timestamp_policy") == "exclude" and head:
+        tz = options.get("default_tz", UTC)
+        low, high = (start, end) if lookback is None else resolve_window(hours_lookback=lookback, as_of=as_of)
+        own = {k: options[k] for k in ("bracket_formats",) if k in options}
+        lines, found = read_and_sniff(
+            spark, paths, options.get("sniff_lines", fixed.SNIFF_LINES), **reading, closed=apart(low, high, tz),
+            only=None if zones is None else left_out(zones, low, high, tz),
+            times=lambda raw, text: with_times(raw, text, head, default_tz=tz, **own), sniff=sniffing,
+        )
+        if sniffing:
+            options["detected"] = found
+    elif sniffing:
         lines, options["detected"] = read_and_sniff(spark, paths, options.get("sniff_lines", fixed.SNIFF_LINES), **reading)
     else:
         lines = read_lines(spark, paths, **reading)

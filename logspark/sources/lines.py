@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,10 +68,14 @@ def _one_byte(value: Column, encoding: str, errors: str) -> Column:
     return F.translate(wide, "".join(b for b, _ in other), "".join(c for _, c in other)) if other else wide
 
 
-def raw_lines(
+# Lines of a file that cannot be split go to other tasks in ranges of this many, where such files are fewer than cores.
+SPREAD_LINES = 4096
+
+
+def text_files(
     spark: SparkSession, paths: str | Sequence[str], encoding: str = "utf-8", line_sep: str | None = None, allowed_only: bool = False
 ) -> DataFrame:
-    """Lines as stored, with their split: `file, size, block, row, value`."""
+    """The files' lines as Spark reads them, listed once for all scans of `raw_lines`."""
     reader = spark.read
     wide = _UTF16.get(encoding.lower().replace("_", "-"))
     if wide:  # lines end at the separator's own two bytes; inner carriage returns stay
@@ -80,7 +84,21 @@ def raw_lines(
         reader = reader.option("lineSep", line_sep)
     if allowed_only:
         reader = reader.option("pathGlobFilter", allowed_glob())
-    return reader.text([paths] if isinstance(paths, str) else list(paths)).select(
+    return reader.text([paths] if isinstance(paths, str) else list(paths))
+
+
+def file_path() -> Column:
+    """A scan's file, by which whole files are left out before they are opened."""
+    return F.col("_metadata.file_path")
+
+
+def raw_lines(files: DataFrame, only: Column | None = None) -> DataFrame:
+    """Lines as stored, with their split: `file, size, block, row, value`.
+
+    `only` is a condition on the scan's file (its path and size): other files are not read. It stands below the numbers of the
+    rows, which a later filter could not pass.
+    """
+    return (files if only is None else files.where(only)).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -101,6 +119,11 @@ def block_index(raw: DataFrame, *more: Column) -> DataFrame:
     return blocks.withColumn("before", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
 
 
+def time_ranges() -> list[Column]:
+    """What a split keeps of its lines' times (see `operators/zones.py`)."""
+    return [F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.count_if("open").alias("open")]
+
+
 def with_splits(index: DataFrame) -> DataFrame:
     """Add `split`: a number a split that grows with the file's name and the place in the file. Moves the index only."""
     return index.orderBy("file", "block").withColumn("split", F.monotonically_increasing_id())
@@ -135,11 +158,37 @@ def read_lines(
     inside the counted split and the query fails otherwise. `line_sep="\\n"` keeps inner carriage
     returns, the default splits on `\\n`, `\\r\\n` and `\\r`. `keep_split` adds `split`, which numbers the splits of all files
     in order: what it goes through without a shuffle can be written, or cut into segments, in line order without one.
+
+    A gzip file is decoded by one task. Where such files are fewer than cores, their numbered lines are spread over tasks by file
+    and range of lines, so that what follows is not bound to that task; lines of other files stay, and all stay with `keep_split`.
     """
     prepare(spark)
-    raw = raw_lines(spark, paths, encoding, line_sep, allowed_only)
-    index = with_splits(block_index(raw)) if keep_split else block_index(raw)
-    return numbered(raw, written_table(index, "line-index"), line_text(encoding, decode_errors))
+    files = text_files(spark, paths, encoding, line_sep, allowed_only)
+    text = line_text(encoding, decode_errors)
+    if keep_split:
+        raw = raw_lines(files)
+        return numbered(raw, written_table(with_splits(block_index(raw)), "line-index"), text)
+    return spread_whole_files(files, lambda raw: numbered(raw, written_table(block_index(raw), "line-index"), text))
+
+
+def zipped(file: Column) -> Column:
+    """Whether a file is read by one task from its first line to its last."""
+    return F.lower(file).endswith(".gz")
+
+
+def spread_whole_files(files: DataFrame, read: Callable[[DataFrame], DataFrame], only: Column | None = None) -> DataFrame:
+    """`read` the raw lines of all files; lines of gzip files are spread where the files are fewer than cores."""
+    sc, whole = files.sparkSession.sparkContext, zipped(file_path())
+    some = whole if only is None else whole & only
+    n_zipped = files.where(some).select("value").rdd.getNumPartitions()
+    if not 0 < n_zipped < sc.defaultParallelism:
+        return read(raw_lines(files, only))
+    line_range = F.floor((F.col("line_no") - 1) / SPREAD_LINES)
+    spread = read(raw_lines(files, some)).repartition("file", line_range)
+    rest = ~whole if only is None else ~whole & only
+    if not files.where(rest).select("value").rdd.getNumPartitions():
+        return spread
+    return read(raw_lines(files, rest)).unionByName(spread)
 
 
 def read_files(

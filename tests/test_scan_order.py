@@ -1,5 +1,6 @@
 """Order kept without a shuffle: the sink, segments built where entries lie, stored answers, user parsers."""
 
+import hashlib
 import json
 import os
 from datetime import UTC, datetime
@@ -244,3 +245,105 @@ def test_parser_sees_only_what_is_left(lines, tmp_path):
     out = ls.parse_entries(lines("2025-12-30 08:00:00 [ERROR] a", "plain", '{"level":"info"}'), ["bracket", "jsonl", last])
     assert [(r.line_no, r.fmt) for r in out.orderBy("line_no").collect()] == [(1, "bracket"), (2, "last"), (3, "jsonl")]
     assert set((tmp_path / "seen").read_text().split()) == {"2"}
+
+
+# Window skipping.
+
+
+def _read_bytes(spark):
+    return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics() if s.getScheme() == "file")
+
+
+@pytest.fixture
+def days(tmp_path):
+    """One file a day; some have lines without a time, one a line that may hold one."""
+    folder = tmp_path / "days"
+    folder.mkdir()
+    for day in range(1, 13):
+        texts = [f"2025-11-{day:02d} {h:02d}:{m:02d}:00 [{'ERROR' if m % 9 == 0 else 'INFO'}] step {m} {'x' * 200}" for h in range(24) for m in range(60)]
+        texts[5:5] = ["  at some.place(Some.java)", "plain words"]
+        if day == 4:
+            texts.append('{"timestamp": "2025-11-09T12:00:00Z", "level": "error", "message": "late"}')
+        if day == 6:
+            texts = [f"<11>1 2025-11-06T{n % 24:02d}:00:00Z h app 1 - - m{n} {'y' * 200}" for n in range(1500)]
+        if day == 7:
+            texts = [f"<11>Nov {n % 28 + 1:2d} 10:00:00 h app: m{n} {'y' * 200}" for n in range(1500)]
+        (folder / f"{day:02d}.log").write_text("\n".join(texts) + "\n")
+    return str(folder)
+
+
+AS_OF = datetime(2025, 12, 1, tzinfo=UTC)
+
+
+@pytest.mark.parametrize("window,prefilter", [
+    (dict(date="2025-11-09"), True), (dict(since="2025-11-05T20:00:00", until="2025-11-06T02:00:00"), False), (dict(date="2025-12-25"), True),
+])
+def test_skipping_changes_no_row(spark, days, window, prefilter):
+    options = dict(include_all_levels=True, as_of=AS_OF, fast_prefilter=prefilter, default_tz="America/New_York")
+    rows = lambda df: sorted((r.file, r.line_no, r.level, r.message) for r in df.collect())
+    every = ls.triage(spark, days, timestamp_policy="include", **window, **options)
+    want = rows(every.where("ts IS NOT NULL"))
+    assert rows(ls.triage(spark, days, timestamp_policy="exclude", **window, **options)) == want
+    zones = ls.time_zones(spark, days, default_tz="America/New_York")
+    assert rows(ls.triage(spark, days, timestamp_policy="exclude", zones=zones, **window, **options)) == want
+    assert bool(want) == (window != dict(date="2025-12-25"))
+
+
+def test_skipped_files_are_not_read(spark, days):
+    size = sum(os.path.getsize(f"{days}/{f}") for f in os.listdir(days))
+    options = dict(date="2025-11-09", include_all_levels=True, as_of=AS_OF, fast_prefilter=False)
+
+    def cost(**more):
+        before = _read_bytes(spark)
+        n = ls.triage(spark, days, **options, **more).where("ts IS NOT NULL").count()
+        return n, (_read_bytes(spark) - before) / size
+
+    whole, skipping = cost(), cost(timestamp_policy="exclude")
+    zones = ls.time_zones(spark, days).cache()
+    assert {r.file[-6:-4] for r in zones.where("open > 0").collect()} == {"04", "07"}
+    stored = cost(timestamp_policy="exclude", zones=zones)
+    assert whole[0] == skipping[0] == stored[0] == 1440 + 1 + 54
+    # Two whole scans; one scan and the open quarter twice; the open quarter thrice.
+    assert whole[1] > 1.9 and skipping[1] < 1.7 and stored[1] < 0.9
+
+
+def test_closed_splits_of_one_file_are_not_parsed(spark, days, tmp_path, small_splits):
+    path = tmp_path / "all.log"
+    path.write_text("".join(open(f"{days}/{d:02d}.log").read() for d in (1, 2, 3)))
+    options = dict(include_all_levels=True, as_of=AS_OF, timestamp_policy="exclude")
+    found = ls.triage(spark, str(path), date="2025-11-02", **options)
+    assert "LeftAnti" in plan_of(found)
+    assert sorted(r.line_no for r in found.collect()) == [n for n in range(1443, 2885) if n not in (1448, 1449)]
+
+
+def test_other_chains_are_not_skipped(spark, days):
+    from logspark.operators.zones import timed_formats
+
+    assert timed_formats(["bracket", "jsonl", "syslog"]) == ["bracket"] and timed_formats(["jsonl", "bracket"]) == []
+    assert timed_formats(["bracket", lambda n, x: None]) == []
+    zones = ls.time_zones(spark, days, formats=["jsonl", "bracket"])
+    assert zones.where("open = 0").count() == 0
+    n = ls.triage(spark, days, date="2025-11-09", formats=["jsonl", "bracket"], timestamp_policy="exclude", include_all_levels=True, fast_prefilter=False).count()
+    assert n == 1441
+
+
+# Files that cannot be split.
+
+
+def test_lines_of_a_gzip_file_are_spread(spark, tmp_path):
+    import gzip
+
+    texts = [f"2025-12-30 08:00:00 [INFO] m{n} {hashlib.sha512(str(n).encode()).hexdigest()}" for n in range(60_000)]
+    with gzip.open(tmp_path / "a.log.gz", "wt") as out:
+        out.write("\n".join(texts))
+    (tmp_path / "b.log").write_text("\n".join(texts[:100]))
+    lines = ls.read_lines(spark, [str(tmp_path / "a.log.gz"), str(tmp_path / "b.log")])
+    assert sorted((r.file[-6:], r.line_no, r.line) for r in lines.collect()) == sorted(
+        [("log.gz", i, t) for i, t in enumerate(texts, 1)] + [("/b.log"[-6:], i, t) for i, t in enumerate(texts[:100], 1)]
+    )
+    tasks = lines.where("file LIKE '%gz'").groupBy(F.spark_partition_id().alias("task")).agg(F.sum(F.length("line")).alias("size")).collect()
+    assert len(tasks) > 3 and max(r["size"] for r in tasks) < 0.5 * sum(r["size"] for r in tasks)
+    plain = ls.read_lines(spark, str(tmp_path / "b.log"))
+    assert "Exchange" not in plan_of(plain).replace("BroadcastExchange", "")
+    kept = ls.read_lines(spark, str(tmp_path / "a.log.gz"), keep_split=True)
+    assert "Exchange" not in plan_of(kept).replace("BroadcastExchange", "") and kept.count() == 60_000
