@@ -7,6 +7,7 @@ one call where a Column tree needs thousands.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,14 +60,34 @@ def fields_of(text: str, pattern: str, *fields: str) -> str:
     return f"regexp_replace({text}, {lit(pattern)}, {lit(layout(pattern, *fields))})"
 
 
+def any_word(words: Iterable[str]) -> str:
+    """One pattern that finds any of the words in one pass: their letters as a tree."""
+    tails: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        tails.setdefault(word[0], []).append(word[1:])
+    # A word that begins another decides already.
+    grown = [re.escape(c) + ("" if "" in rest else any_word(rest)) for c, rest in tails.items()]
+    return grown[0] if len(grown) == 1 else "(?:" + "|".join(grown) + ")"
+
+
+# A line is looked through once for all words where these begin with few characters; the pattern then fails fast elsewhere.
+_FEW_BEGINNINGS = 3
+
+
 def first_match(ladder: dict, hay: str) -> str:
     """Name of the first rung that has a word in `hay`, else NULL."""
+    listed = {name: list(words) for name, words in ladder.items()}
     rungs = [
-        f"WHEN {' OR '.join(f'contains({hay}, {lit(w)})' for w in words)} THEN {lit(name)}"
-        for name, words in ((n, list(w)) for n, w in ladder.items())
-        if words
+        f"WHEN {' OR '.join(f'contains({hay}, {lit(w)})' for w in words)} THEN {lit(name)}" for name, words in listed.items() if words
     ]
-    return f"CASE {' '.join(rungs)} END" if rungs else "CAST(NULL AS STRING)"
+    if not rungs:
+        return "CAST(NULL AS STRING)"
+    every = [w for words in listed.values() for w in words]
+    begin = {w[:1] for w in every}
+    if len(every) > 4 and len(begin) <= _FEW_BEGINNINGS and "" not in begin:
+        look = "(?=[" + "".join(map(re.escape, sorted(begin))) + "])" + any_word(every)
+        rungs.insert(0, f"WHEN NOT {hay} RLIKE {lit(look)} THEN NULL")
+    return f"CASE {' '.join(rungs)} END"
 
 
 def integer_text(text: str) -> str:
