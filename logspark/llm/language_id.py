@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled texts learned from, per language and about; languages learned; size and hashes of the filters.
-SAMPLE, LANGUAGES, BITS, HASHES = 3000, 512, 18, 2
+from logspark.llm.common import written_table
+
+#: Labelled texts learned from, per language and about; size and hashes of the filters.
+SAMPLE, BITS, HASHES = 3000, 18, 2
 #: A trigram belongs to a language with at least so many uses there and so much of its largest share in any.
 LEAST, SHARE = 3, 0.2
 
@@ -52,20 +54,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """Learn the filters from `doc_id, text, lang`.
 
     About `sample` rows a language are counted, chosen by a hash, which bounds the work at any input
-    size; the LANGUAGES most frequent labels are learned. Trigrams are counted in each task before their
+    size; every label is learned. Trigrams are counted in each task before their
     counts are shuffled. What reaches the driver is the filter itself: at most 2^BITS words a
-    block of 64 languages. Returns plain arrays that are broadcast for prediction.
+    block of 64 languages, and the labels. Returns plain arrays that are broadcast for prediction.
     """
     spark = docs.sparkSession
     labelled = learning_rows(docs)
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    listed = written_table(labelled.groupBy("lang").agg(F.count("*").alias("n_texts")), "languages")
+    sizes = listed.orderBy(F.desc("n_texts"), "lang").collect()
     names = sorted(r["lang"] for r in sizes)
     if not names:
         return {"names": [], "table": np.zeros((1, 1), np.uint64), "false": np.zeros(0), "usual": None}
-    rate = {r["lang"]: min(1.0, sample / r["count"]) for r in sizes}
-    rates = F.create_map(*[F.lit(x) for pair in rate.items() for x in pair])
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = labelled.where(chance < F.coalesce(F.try_element_at(rates, F.col("lang")), F.lit(0.0))).select("text", "lang")
+    rates = listed.select(F.col("lang").alias("of_lang"), F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n_texts")).alias("rate"))
+    some = labelled.select("text", "lang", chance.alias("chance")).join(F.broadcast(rates), F.col("lang") == F.col("of_lang"))
+    chosen = some.where(F.col("chance") < F.col("rate")).select("text", "lang")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

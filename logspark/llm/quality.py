@@ -98,7 +98,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
     Target texts have quality 1 and are not toxic; raw texts are the other labelled ones, LOW where the quality is bad, else
     TOXIC. The chosen labels (a few bytes a row, `sample` rows about) are broadcast to the texts. Of labels that
-    differ for one id a bad one holds.
+    differ for one id a bad one holds; of texts that differ the least counts, so repeated ids add no text.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
     n = known.count()
@@ -109,7 +109,9 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     worst = F.min(F.when(F.col("kind") != TARGET, F.col("kind")))
     known = known.groupBy("doc_id").agg(F.coalesce(worst, F.lit(TARGET)).alias("kind"))
     check = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(CHECK)) == 0
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "kind", check.alias("check"))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "kind", check.alias("check"))
+    # Equal rows are combined in their tasks; what is shuffled is a text an id and task.
+    return chosen.groupBy("doc_id", "kind", "check").agg(F.min("text").alias("text")).select("text", "kind", "check")
 
 
 def _ratios(learning: DataFrame) -> np.ndarray:

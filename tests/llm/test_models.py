@@ -66,6 +66,17 @@ def test_language_of_odd_texts(spark, docs):
     assert language_id.predict(docs(["a"]).limit(0), language_id.fit(docs(["a"]).limit(0))).count() == 0
 
 
+def test_every_label_is_learned(spark):
+    """More labels than a few machine words hold bits for, each with letters of its own."""
+    own = [chr(0x4E00 + 7 * i) * 3 + " " + chr(0x4E01 + 7 * i) * 3 for i in range(600)]
+    rows = [(600 * k + i, " ".join([t] * 4), f"l{i:03d}") for k in range(8) for i, t in enumerate(own)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(table)
+    assert len(model["names"]) == 600
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(table.where("doc_id < 600"), model).collect()}
+    assert sum(got[i] == f"l{i:03d}" for i in range(600)) >= 590
+
+
 # Nearest neighbours.
 
 
@@ -283,20 +294,67 @@ def test_replay_of_a_vocabulary_out_of_order():
 # Decontamination.
 
 
+def slotted(text):
+    """Words of a text, lower-cased, and the same with typed slots; written apart from the operator."""
+    raw = (text or "").encode()
+    found = list(re.finditer(rb"(?:[0-9A-Za-z\x80-\xff]|(?<=[0-9])[.,](?=[0-9]))+", raw))
+    plain, out = [], []
+    for n, m in enumerate(found):
+        word = m[0]
+        low = word.lower()
+        between = raw[found[n - 1].end() : m.start()] if n else b"."
+        kind = low
+        if len(word) > 1 and b"A" <= word[:1] <= b"Z" and not re.search(rb'[.!?:;\n\r|"(]', between):
+            kind = "NAME"
+        if low.decode("utf-8", "replace") in decontamination.UNITS.split():
+            kind = "UNIT"
+        if re.fullmatch(rb"[0-9][0-9.,]*", low) or low.decode("utf-8", "replace") in decontamination.NUMBERS.split():
+            kind = "NUM"
+        plain.append(low)
+        out.append(kind)
+    return plain, out
+
+
 def leaks_by_force(docs, items):
     windows = {}
-    canon = {d: decontamination.template(text)[0].tolist() for d, text in docs}
+    texts = {d: slotted(text) for d, text in docs}
     out = set()
     for i, item in items:
-        c = decontamination.template(item)[0].tolist()
-        if size := min(len(c), decontamination.WINDOW):
+        p, c = slotted(item)
+        if size := min(len(c), 8):
             if size not in windows:
-                windows[size] = {d: {tuple(t[k : k + size]) for k in range(len(t) - size + 1)} for d, t in canon.items()}
-            own = [tuple(c[k : k + size]) for k in range(len(c) - size + 1)]
-            out |= {(d, i) for d, there in windows[size].items() if sum(w in there for w in own) >= decontamination.COVERED * len(own)}
+                windows[size] = {d: [{tuple(t[k : k + size]) for k in range(len(t) - size + 1)} for t in both] for d, both in texts.items()}
+            own = [(tuple(p[k : k + size]), tuple(c[k : k + size])) for k in range(len(c) - size + 1)]
+            solid = lambda w: sum(isinstance(x, bytes) for x in w) >= 3
+            out |= {
+                (d, i) for d, (there, slots) in windows[size].items()
+                if 2 * sum(w in there or (solid(s) and s in slots) for w, s in own) >= len(own)
+            }
     return out
 
 
+def test_lists_of_slots_are_no_leak(docs, spark):
+    """Items of numbers or names alone are found by their very words only; capitals do not matter to plain windows."""
+    numbers, names = "3 5 7 11 13 17 19 23 29 31 37 41", "We met Anna Boris Clara Dora Emil Fritz Gerda Hans Ida Jonas there"
+    items = spark.createDataFrame([(1, numbers), (2, "1 2 3 4 5 6 7 8 9 10"), (3, names), (4, ITEM)], "item_id long, text string")
+    texts = [
+        "prices 2 4 6 8 10 12 14 16 18 20 22 24 26", "sums " + numbers + " end", "We saw Karl Lena Mara Nils Olga Paul Rosa Sven Tina Udo there", names.upper(),
+        ITEM.upper(), ITEM.lower(), ITEM.title(), ITEM.replace("5", "6"), "9 " * 5000, "Anna Bert " * 3000,
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs(texts), items).collect()}
+    assert got == {(1, 1), (3, 3), (4, 4), (5, 4), (6, 4), (7, 4)}
+    assert got == leaks_by_force(enumerate(texts), [tuple(r) for r in items.collect()])
+
+
+def test_leaks_in_texts_longer_than_a_piece(docs, spark):
+    """The passage stands across the border of two hashed pieces of the text."""
+    word = "filler "
+    at = (1 << 20) // len(word)
+    text = word * (at - 4) + ITEM + " " + word * at
+    items = spark.createDataFrame([(4, ITEM)], "item_id long, text string")
+    assert [(r["doc_id"], r["share"]) for r in decontamination.leaks(docs([word * 2 * at, text]), items).collect()] == [(1, 1.0)]
+
+
 def test_leaks_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -486,3 +544,10 @@ def test_stages_on_an_empty_table(spark, docs):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_repeated_ids_add_no_learning_text(spark, docs):
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    many = docs(["good words here"]).unionByName(docs(["bad"], first=1)).crossJoin(spark.range(500)).drop("id")
+    rows = quality.labelled(many.unionByName(docs(["a text that sorts before"], first=0)), labels).collect()
+    assert sorted((r["text"], r["kind"]) for r in rows) == sorted([("a text that sorts before", quality.TARGET), ("bad", quality.LOW)])
