@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logspark.llm import bpe, decontamination, quality, secret_scan, simhash
 from logspark.llm.common import read_table
-from logspark.session import shared_dir
+from logspark.session import scratch_dir
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -55,7 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is written to the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/pipeline-{i}-{uuid.uuid4().hex}"
+        path = f"{scratch_dir(spark)}/pipeline-{i}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
