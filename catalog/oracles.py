@@ -178,6 +178,7 @@ _SVC = (
 )
 _SQL_LINES = f"{_E} SELECT file, line_no, sec || ' [' || lvl || '] ' || msg AS line FROM e"
 _CHARSET = f"{_E} SELECT file, line_no, '{{}} ' || host || ' na{{}}ve ' || msg AS line FROM e"
+_WIDE = "SELECT file, line_no, host || ' 表示 ソ ' || msg AS line FROM e"
 _BODY = "'\",\"level\":\"' || lower({level}) || '\",\"message\":\"' || {message} || '\",\"line_no\":' || event_id"
 _QUOTED = f"CASE WHEN event_id % 2 = 0 THEN msg || ' \\\"ok\\\"' ELSE {_LOGFMT_ODD} END"
 
@@ -188,6 +189,11 @@ ORACLES: dict[str, str] = {
     "lines_cp1252": _CHARSET.format("€", "ï"),
     "lines_latin1": _CHARSET.format("\x80", "ï"),
     "lines_utf16": _CHARSET.format("\x80", "ï"),
+    "lines_utf16_marked": f"{_E} {_WIDE} UNION ALL {_WIDE}",
+    "lines_shift_jis": f"{_E} {_WIDE}",
+    "lines_gb18030": f"{_E} {_WIDE}",
+    "bad_bytes_euc_kr_replaced": _CHARSET.format("\ufffd", "\ufffd"),
+    "bad_bytes_euc_kr_ignored": _CHARSET.format("", ""),
     "bad_bytes_replaced": _CHARSET.format("\ufffd", "\ufffd"),
     "bad_bytes_ignored": _CHARSET.format("", ""),
     "suffix_allowlist": _SQL_LINES,

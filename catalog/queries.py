@@ -72,9 +72,9 @@ def whole_files(spark, sf_dir):
     return found.select(render.file_key().alias("file"), "text")
 
 
-def _charset(written: str, **options) -> Callable:
+def _charset(*written: str, name: str = "charset", **options) -> Callable:
     def query(spark, sf_dir):
-        found = ls.read_lines(spark, render.files(spark, sf_dir, "charset", charset=written), **options)
+        found = ls.read_lines(spark, [f"{render.files(spark, sf_dir, name, charset=w)}/*/*" for w in written], **options)
         return found.select(render.file_key().alias("file"), "line_no", "line")
 
     return query
@@ -448,6 +448,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lines_cp1252": _charset("iso-8859-1", encoding="cp1252"),
     "lines_latin1": _charset("iso-8859-1", encoding="latin-1"),
     "lines_utf16": _charset("UTF-16LE", encoding="utf-16-le"),
+    "lines_utf16_marked": _charset("UTF-16", "UTF-16LE", name="wide_charset", encoding="utf-16"),
+    "lines_shift_jis": _charset("Shift_JIS", name="wide_charset", encoding="shift_jis"),
+    "lines_gb18030": _charset("GB18030", name="wide_charset", encoding="gb18030"),
+    "bad_bytes_euc_kr_replaced": _charset("iso-8859-1", encoding="euc-kr"),
+    "bad_bytes_euc_kr_ignored": _charset("iso-8859-1", encoding="euc-kr", decode_errors="ignore"),
     "bad_bytes_replaced": _charset("iso-8859-1"),
     "bad_bytes_ignored": _charset("iso-8859-1", decode_errors="ignore"),
     "suffix_allowlist": suffix_allowlist,

@@ -64,6 +64,8 @@ LINE["chain"] = "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN {LINE[n]}" for i
 LINE["payload"] = f"CASE event_id % 3 WHEN 0 THEN {LINE['bracket']} WHEN 1 THEN {LINE['logfmt']} ELSE {LINE['loose']} END"
 # Written as latin-1, the first character is the byte that cp1252 reads as a euro sign.
 LINE["charset"] = "char(128) || ' ' || host || ' naïve ' || msg"
+# Characters of two bytes, one of which ends in a backslash in shift_jis.
+LINE["wide_charset"] = "host || ' 表示 ソ ' || msg"
 # One format per event type, so that every rendered file has one.
 LINE["by_type"] = (
     f"CASE event_type WHEN 'view' THEN {LINE['access']} WHEN 'click' THEN {LINE['syslog5424']} "
@@ -117,7 +119,11 @@ def files(spark: SparkSession, sf_dir: str, name: str, compression: str = "none"
         if charset is None:
             sink.text(path)
         else:
-            sink.option("encoding", charset).csv(path)
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # the sink's own list has UTF and latin-1 only
+            try:
+                sink.option("encoding", charset).csv(path)
+            finally:
+                spark.conf.unset("spark.sql.legacy.javaCharsets")
         _written[key] = path
     return _written[key]
 

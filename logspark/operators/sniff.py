@@ -89,11 +89,12 @@ def read_and_sniff(
     prepare(spark)
     scan = text_files(spark, paths, encoding, line_sep, allowed_only)
     raw = raw_lines(scan, only)
-    text = line_text(encoding, decode_errors)
-    place = F.col("row").bitwiseAND(F.lit(_IN_TASK))
+    text = line_text(raw, encoding, decode_errors)
+    first = (F.col("block") == 0) & (F.col("row").bitwiseAND(F.lit(_IN_TASK)) < sample_lines)
+    head_text = line_text(raw, encoding, decode_errors, first)
     # One number for a line's looks, so that nothing of it is computed for lines that are not looked at.
-    code = sum((c.cast("int") * (1 << i) for i, c in enumerate(_looks(text, max_bytes_per_line).values())), F.lit(0))
-    looked = raw.withColumn("looks", F.when((F.col("block") == 0) & (place < sample_lines), code))
+    code = sum((c.cast("int") * (1 << i) for i, c in enumerate(_looks(head_text, max_bytes_per_line).values())), F.lit(0))
+    looked = raw.withColumn("looks", F.when(first, code))
     counts = [F.count_if(F.col("looks").bitwiseAND(F.lit(1 << i)) != 0).alias(name) for i, name in enumerate(_KINDS)]
     ranges = [] if times is None else time_ranges()
     index = block_index(looked if times is None else times(looked, text), F.max("size").alias("size"), *counts, *ranges)
@@ -128,7 +129,7 @@ def read_and_sniff(
 
 
 def _open_lines(
-    scan: DataFrame, raw: DataFrame, index: DataFrame, text: Column, closed: Column, only: Column | None
+    scan: list[DataFrame], raw: DataFrame, index: DataFrame, text: Column, closed: Column, only: Column | None
 ) -> tuple[DataFrame, Column | None]:
     """Numbered lines of the splits that are not closed, and the condition on files where whole ones are left out."""
     by_file = index.groupBy("file").agg(

@@ -81,7 +81,7 @@ def time_zones(
     raw = raw_lines(text_files(spark, paths, encoding, line_sep, allowed_only))
     head = timed_formats(formats)
     if head:
-        rows = with_times(raw, line_text(encoding, decode_errors), head, default_tz=default_tz)
+        rows = with_times(raw, line_text(raw, encoding, decode_errors), head, default_tz=default_tz)
     else:
         nothing = F.lit(None).cast("timestamp")
         rows = raw.withColumns({"least": nothing, "greatest": nothing, "open": F.lit(True)})

@@ -113,3 +113,65 @@ def test_allowed_files_and_whole_texts(spark, tmp_path):
     for row in whole.collect():
         assert row.text == row.file.rsplit("/", 1)[1] + "\n1\n2\n"
     assert len(names(ls.read_files(spark, str(tmp_path), allowed_only=False))) == 7
+
+
+_ODD = {
+    "shift_jis": [b"plain", "障害 ソ 表".encode("shift_jis"), b"a\x83", b"\x83\xff b", b"\xa0x\xfd", b"caf\xe9 z"],
+    "gbk": [b"plain", "错误 连接".encode("gbk"), b"a\x81", b"\x81\xff b", b"\xff!"],
+    "gb18030": [b"plain", "错误 €".encode("gb18030"), b"a\x81\x30", b"\x81\x30\x81", b"\xff!"],
+    "euc-kr": [b"plain", "오류 연결".encode("euc-kr"), b"a\xef", b"na\xefve", b"\x80"],
+    "utf-16-le": [b"a\0b\0", "ß 𝄞 障".encode("utf-16-le"), b"\x00\xd8a\0", b"\x00\xdca\0"],
+    "utf-16-be": [b"\0a\0b", "ß 𝄞 障".encode("utf-16-be"), b"\xd8\x00\0a", b"\xdc\x00\0a", b"\0z\xd8\x00"],
+}
+
+
+@pytest.mark.parametrize("errors", ["replace", "ignore", "strict"])
+@pytest.mark.parametrize("encoding", list(_ODD))
+def test_charsets_of_several_bytes(spark, write, encoding, errors):
+    end = "\n".encode(encoding)
+    texts = [t for t in _ODD[encoding] if errors != "strict" or not any(c == "\ufffd" for c in t.decode(encoding, "replace"))]
+    data = b"".join(t + end for t in texts)
+    want = list(enumerate(data.decode(encoding, errors).split("\n")[:-1], 1))
+    assert numbered(ls.read_lines(spark, write(data=data), encoding=encoding, decode_errors=errors)) == want
+    whole = ls.read_files(spark, write(data=data), encoding=encoding, decode_errors=errors).first().text
+    assert whole == data.decode(encoding, errors)
+    if errors == "strict":
+        with pytest.raises(Exception, match="(?i)decode"):
+            ls.read_lines(spark, write(data=data + _ODD[encoding][2] + end), encoding=encoding, decode_errors=errors).collect()
+
+
+def test_charsets_with_states_are_refused(spark, write):
+    for encoding in ("utf-7", "hz", "iso2022_jp", "cp037", "base64", "utf-32"):
+        with pytest.raises(ValueError):
+            ls.read_lines(spark, write("x"), encoding=encoding)
+
+
+@pytest.mark.parametrize("orders", [("le", "be", "le"), ("be", "be", "le"), ("be", "be", "be"), ("le", "le", "le")])
+def test_byte_order_marks_hold_for_all_splits_of_a_file(spark, tmp_path, small_splits, orders):
+    want, texts = {}, ["ERROR 障害 ß", "", "\u0a05 一 in\rside"] + [f"line {n} " + "é" * (n % 50) for n in range(300)]
+    for i, order in enumerate(orders):
+        name = f"{i} {order}.log"
+        (tmp_path / name).write_bytes(("\ufeff" + "".join(t + "\r\n" for t in texts)).encode(f"utf-16-{order}"))
+        want.update({(name, n): t for n, t in enumerate(texts, 1)})
+    with gzip.open(tmp_path / "z.log.gz", "wb") as out:
+        out.write("no mark\nß\n".encode("utf-16-le"))
+    want.update({("z.log.gz", 1): "no mark", ("z.log.gz", 2): "ß"})
+    found = ls.read_lines(spark, str(tmp_path), encoding="utf-16")
+    keyed = lambda df: {(r.file.rsplit("/", 1)[1].replace("%20", " "), r.line_no): r.line for r in df.collect()}
+    assert keyed(found) == want
+    assert found.count() == len(want)
+    kept = ls.read_lines(spark, str(tmp_path), encoding="utf-16", keep_split=True)
+    assert keyed(kept) == want
+    in_order = [(r.file, r.line_no) for r in kept.orderBy("split", "line_no").collect()]
+    assert in_order == sorted(in_order)
+
+
+def test_formats_of_marked_files(spark, tmp_path):
+    for order in ("le", "be"):
+        line = "<11>Dec 30 10:00:00 host app: fail\n"
+        (tmp_path / f"{order}.log").write_bytes(("\ufeff" + line * 12).encode(f"utf-16-{order}"))
+    _, found = ls.read_and_sniff(spark, str(tmp_path), encoding="utf-16")
+    assert {r.detected for r in found.collect()} == {"syslog"}
+    assert ls.triage(spark, str(tmp_path), encoding="utf-16", year=2025).count() >= 0
+    with pytest.raises(ValueError):
+        ls.read_lines(spark, str(tmp_path), encoding="utf-16", decode_errors="maybe")
