@@ -172,6 +172,6 @@ def test_formats_of_marked_files(spark, tmp_path):
         (tmp_path / f"{order}.log").write_bytes(("\ufeff" + line * 12).encode(f"utf-16-{order}"))
     _, found = ls.read_and_sniff(spark, str(tmp_path), encoding="utf-16")
     assert {r.detected for r in found.collect()} == {"syslog"}
-    assert ls.triage(spark, str(tmp_path), encoding="utf-16", year=2025).count() >= 0
+    assert ls.triage(spark, str(tmp_path), encoding="utf-16", year="2025").count() >= 0
     with pytest.raises(ValueError):
         ls.read_lines(spark, str(tmp_path), encoding="utf-16", decode_errors="maybe")
