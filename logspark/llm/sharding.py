@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from logspark.llm.common import written_table
 
-#: Cells that the ring is counted in, virtual nodes of a shard, parts that a cell's rows are ranked in.
-CELLS, NODES, PARTS = 1 << 16, 64, 16
+#: Cells that the ring is counted in, virtual nodes of a shard, rows of a cell that are ranked together (about, and in 16 parts at least).
+CELLS, NODES, PART_ROWS, PARTS = 1 << 16, 64, 1 << 18, 16
 
 
 def ring(shards: int, nodes: int = NODES, cells: int = CELLS) -> list[tuple[int, int]]:
@@ -67,7 +67,8 @@ def assign(docs: DataFrame, shards: int = 40, nodes: int = NODES) -> DataFrame:
     cannot take go on clockwise. The loads are limited to n / shards, rounded down or (for the first
     n mod shards) up, so the limits add up to n and hold exactly. Cells are counted and dealt on
     their counts (at most CELLS numbers on the driver); a row then finds its shard by its rank in its cell.
-    Ranks are taken in PARTS parts of a cell, so one doc_id on many rows does not make one large group.
+    Ranks are taken in parts of a cell whose number follows from its count, so one doc_id on a third of all rows makes
+    no large group at any size.
 
     `doc_id, size, text_crc32, law, shard, slot, grown_shard, home_shard`; one row per input row, repeated and null
     ids too. Null texts have size 16 and the checksum of an empty text. An empty table gives no rows.
@@ -75,14 +76,22 @@ def assign(docs: DataFrame, shards: int = 40, nodes: int = NODES) -> DataFrame:
     spark = docs.sparkSession
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
     slim = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), crc.alias("text_crc32"))
-    # Only rows with the same doc_id and text can share a part beyond chance; those differ by where they were read.
-    part = F.pmod(F.xxhash64("doc_id", "text_crc32", F.spark_partition_id()), F.lit(PARTS)).cast("int")
-    slim = slim.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(CELLS)).cast("int")).withColumn("part", part)
-    slim = written_table(slim, "shard-keys")
-    groups = slim.groupBy("cell", "part").agg(F.count("*").alias("n"))
+    # Rows with the same doc_id and text differ by where they were read.
+    read = F.floor(F.monotonically_increasing_id() / 4096)
+    slim = slim.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(CELLS)).cast("int"))
+    slim = written_table(slim.withColumn("spread", F.xxhash64("doc_id", "text_crc32", read)), "shard-keys")
+    sizes = slim.groupBy("cell").agg(F.count("*").alias("n"))
     counts = np.zeros(CELLS, np.int64)
-    for r in groups.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in sizes.collect():
         counts[r["cell"]] = r["n"]
+    large = np.flatnonzero(counts > PARTS * PART_ROWS)
+    parts = F.lit(PARTS).cast("long")
+    if len(large):
+        more = pd.DataFrame({"cell": large, "parts": -(-counts[large] // PART_ROWS)})
+        slim = slim.join(F.broadcast(spark.createDataFrame(more, "cell int, parts long")), "cell", "left")
+        parts = F.coalesce("parts", parts)
+    slim = slim.withColumn("part", F.pmod("spread", parts)).drop("spread", "parts")
+    groups = slim.groupBy("cell", "part").agg(F.count("*").alias("n"))
     total = int(counts.sum())
     limits = [total // shards + (s < total % shards) for s in range(shards)]
     dealt = place(counts, shards, limits, nodes)

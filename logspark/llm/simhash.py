@@ -151,11 +151,32 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Bitmaps of dropped rows are broadcast up to these bytes (one bit a row where any of 32,768 neighbours goes).
+BITMAP_BYTES = 256 << 20
+
+
+def without(held: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of `held` whose number `row` is not in `dropped` (`row`, distinct).
+
+    Dropped numbers become bitmaps of 32,768 numbers each. Up to BITMAP_BYTES, which some two billion rows need, they are sent to
+    the rows, so that no text is shuffled; beyond, rows and bitmaps are joined by shuffle, with the same result.
+    """
+    maps = dropped.groupBy(F.bitmap_bucket_number("row").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("gone"))
+    maps = written_table(maps, "dropped-rows")
+    size = maps.agg(F.sum(F.octet_length("gone") + 16)).first()[0] or 0
+    place = F.bitmap_bit_position("row")
+    byte = F.conv(F.hex(F.substring("gone", (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    bit = F.expr("shiftright(_byte, cast(_place % 8 AS int)) & 1")
+    both = held.withColumn("bucket", F.bitmap_bucket_number("row")).join(F.broadcast(maps) if size <= BITMAP_BYTES else maps, "bucket", "left")
+    both = both.withColumn("_byte", F.coalesce(byte, F.lit(0))).withColumn("_place", place)
+    return both.where(bit == 0).drop("bucket", "gone", "_byte", "_place")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each component stays, that of the smallest doc_id (the first read of equal ones); columns stay as they are.
 
     Fingerprints are written with a number for every row, next to the row itself; only numbers are
-    compared, and the rows to drop are taken out by their number.
+    compared, and the rows to drop are taken out by bitmaps of their numbers.
     """
     held = docs.select(
         F.struct(*[named(c) for c in docs.columns]).alias("doc"), F.col("doc_id"), F.monotonically_increasing_id().alias("row"),
@@ -168,5 +189,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     # Copies of one fingerprint first, then the fingerprints of a component; null-named components are those without any doc_id.
     first = prints.groupBy("f").agg(least.alias("first")).join(named_by, "f")
     root = F.when(F.col("c").isNull(), F.col("f")).otherwise(F.lit(None).cast("long"))
-    stay = first.groupBy("c", root.alias("r")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("stay"))
-    return held.join(stay, F.col("row") == F.col("stay"), "left_semi").select("doc.*")
+    stay = first.groupBy("c", root.alias("r")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return without(held.select("doc", "row"), prints.select("row").join(stay, "row", "left_anti")).select("doc.*")

@@ -551,3 +551,23 @@ def test_repeated_ids_add_no_learning_text(spark, docs):
     many = docs(["good words here"]).unionByName(docs(["bad"], first=1)).crossJoin(spark.range(500)).drop("id")
     rows = quality.labelled(many.unionByName(docs(["a text that sorts before"], first=0)), labels).collect()
     assert sorted((r["text"], r["kind"]) for r in rows) == sorted([("a text that sorts before", quality.TARGET), ("bad", quality.LOW)])
+
+
+def test_parts_of_a_hot_key_follow_its_rows(docs, monkeypatch):
+    monkeypatch.setattr(sharding, "PARTS", 1)
+    monkeypatch.setattr(sharding, "PART_ROWS", 8)
+    texts = [*ODD, *["same"] * 400]
+    df = docs(texts).withColumn("doc_id", F.when(F.col("doc_id") > 150, F.lit(7)).otherwise(F.col("doc_id"))).repartition(40)
+    check_shards(sharding.assign(df).collect(), texts)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_rows_taken_out_by_bitmaps(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BITMAP_BYTES", most)
+    numbers = [n + (part << 33) for part in (0, 1, 7) for n in (*range(70), 32767, 32768, 99999)]
+    gone = [n for n in numbers if n % 7 in (2, 3)]
+    held = spark.createDataFrame([(n, f"t{n}") for n in numbers], "row long, text string")
+    left = simhash.without(held, spark.createDataFrame([(n,) for n in gone], "row long"))
+    assert left.columns == ["row", "text"]
+    assert sorted(map(tuple, left.collect())) == sorted((n, f"t{n}") for n in set(numbers) - set(gone))
+    assert sorted(r.row for r in simhash.without(held, held.select("row").limit(0)).collect()) == sorted(numbers)
