@@ -12,7 +12,7 @@ from logspark.functions.levels import pri_level, status_level
 from logspark.functions.text import ascii_upper, first_match, lit
 from logspark.operators.once import evaluate_once
 from logspark.session import fits_broadcast, join_by_file, prepare, written_table
-from logspark.sources.lines import block_index, file_path, line_text, numbered, raw_lines, text_files, time_ranges, with_splits
+from logspark.sources.lines import block_index, file_path, line_text, numbered, raw_lines, rows_before, text_files, time_ranges, with_splits, zipped
 
 _ASCII_BLANKS = " \t\n\r\x0b\x0c"
 
@@ -23,6 +23,8 @@ MOST_NAMED = 50_000
 _KINDS = ("access", "syslog", "jsonl", "bracket")
 # Bits of a row id that number the rows of one task.
 _IN_TASK = (1 << 33) - 1
+# Of files up to these bytes every line is looked at while lines are counted, as many share a task and where one begins is not known there.
+SMALL_FILE = 1 << 20
 
 
 def _looks(line: Column, max_bytes: int) -> dict[str, Column]:
@@ -58,6 +60,34 @@ def sniff_formats(
     return _head_counts(lines, sample_lines, max_bytes_per_line).select("file", _guess(sample_lines))
 
 
+def _index_with_heads(raw: DataFrame, looked: Column, sample_lines: int, ranges: list[Column]) -> DataFrame:
+    """`block_index` with each split's size, its time ranges and, a kind, how many of its first `sample_lines` lines look like it.
+
+    `raw` holds the `looks` of the lines that are `looked` at, which are all among the first ones or all of the split.
+    Rows of a split follow each other, so the least row of each remainder by some number N gives its first N rows, wherever the split
+    begins in its task: a bounded, mergeable aggregate of long integers, each a row with its looks.
+    """
+    bits = len(_KINDS)
+    slots = 1 << max(0, sample_lines - 1).bit_length()
+    slot = F.when(looked, F.col("row").bitwiseAND(F.lit(slots - 1))).otherwise(F.lit(0)).alias("slot")
+    head = F.shiftleft("row", bits).bitwiseOR(F.col("looks").cast("bigint")).alias("head")
+    times = [c for c in ("least", "greatest", "open") if c in raw.columns]
+    parts = raw.select("file", "block", "row", "size", slot, head, *times).groupBy("file", "block", "slot").agg(
+        F.min("row").alias("first_row"), F.count("*").alias("n_rows"), F.max("size").alias("size"), F.min("head").alias("head"), *ranges
+    )
+    whole = {"least": F.min, "greatest": F.max, "open": F.sum}
+    blocks = parts.groupBy("file", "block").agg(
+        F.min("first_row").alias("first_row"), F.sum("n_rows").alias("n_rows"), F.max("size").alias("size"),
+        F.collect_list("head").alias("heads"), *[whole[c](c).alias(c) for c in times],
+    )
+
+    def like(i: int) -> Column:
+        among = lambda h: (F.shiftright(h, bits) - F.col("first_row") < sample_lines) & (h.bitwiseAND(F.lit(1 << i)) != 0)
+        return F.size(F.filter("heads", among)).cast("bigint")
+
+    return rows_before(blocks.select("*", *[like(i).alias(name) for i, name in enumerate(_KINDS)]).drop("heads"))
+
+
 def read_and_sniff(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -78,8 +108,9 @@ def read_and_sniff(
 
     The scan that counts the lines of every split looks at the first lines on the way: where a file's first split
     is also its task's first, a row's number in the task is its place. That holds for every file of at least a split's
-    size. Smaller files, several of which share a task, and files whose first split has too few lines are
-    read once more (with an index of their own, unless all files are that small).
+    size. Of files up to SMALL_FILE, many of which share a task, all lines are looked at and the first ones kept. Files between
+    the two that do not begin their task, and files whose first split has too few lines, are read once more (with an index of their
+    own, unless these are all files).
 
     `only` leaves files out by path and size. `times` (see `zones`) adds to raw lines their times, of which the counting scan keeps
     the range a split, and `closed` tells of such a range that no line is wanted: then lines of closed splits are dropped
@@ -90,14 +121,19 @@ def read_and_sniff(
     scan = text_files(spark, paths, encoding, line_sep, allowed_only)
     raw = raw_lines(scan, only)
     text = line_text(raw, encoding, decode_errors)
-    first = (F.col("block") == 0) & (F.col("row").bitwiseAND(F.lit(_IN_TASK)) < sample_lines)
-    head_text = line_text(raw, encoding, decode_errors, first)
-    # One number for a line's looks, so that nothing of it is computed for lines that are not looked at.
-    code = sum((c.cast("int") * (1 << i) for i, c in enumerate(_looks(head_text, max_bytes_per_line).values())), F.lit(0))
-    looked = raw.withColumn("looks", F.when(first, code))
-    counts = [F.count_if(F.col("looks").bitwiseAND(F.lit(1 << i)) != 0).alias(name) for i, name in enumerate(_KINDS)]
+    small = (F.col("size") <= SMALL_FILE) & ~zipped(F.col("file"))
+    first = (F.col("block") == 0) & ((F.col("row").bitwiseAND(F.lit(_IN_TASK)) < sample_lines) | small)
+    looked = raw
+    if sniff:
+        # One number for a line's looks, so that nothing of it is computed for lines that are not looked at.
+        looks = _looks(line_text(raw, encoding, decode_errors, first), max_bytes_per_line).values()
+        looked = raw.withColumn("looks", F.when(first, sum((c.cast("int") * (1 << i) for i, c in enumerate(looks)), F.lit(0))))
+    looked = looked if times is None else times(looked, text)
     ranges = [] if times is None else time_ranges()
-    index = block_index(looked if times is None else times(looked, text), F.max("size").alias("size"), *counts, *ranges)
+    if sniff:
+        index = _index_with_heads(looked, first, sample_lines, ranges)
+    else:
+        index = block_index(looked, F.max("size").alias("size"), *ranges)
     index = written_table(with_splits(index) if keep_split else index, "line-index")
     every = numbered(raw, index, text)
     lines = every
@@ -108,7 +144,7 @@ def read_and_sniff(
     if not sniff:
         return lines, None
 
-    head = (F.col("block") == 0) & (F.col("first_row").bitwiseAND(F.lit(_IN_TASK)) == 0)
+    head = (F.col("block") == 0) & ((F.col("first_row").bitwiseAND(F.lit(_IN_TASK)) == 0) | small)
     files = index.groupBy("file").agg(
         F.max("size").alias("size"), F.coalesce(F.max(F.when(head, F.col("n_rows"))), F.lit(0)).alias("seen"),
         F.sum("n_rows").alias("n_lines"), *[F.max(name).alias(name) for name in _KINDS],
@@ -116,11 +152,12 @@ def read_and_sniff(
     settled = F.lower("file").endswith(".gz") | (F.col("seen") >= F.least(F.lit(sample_lines), F.col("n_lines")))
     files = files.withColumn("settled", settled)
     found = files.where("settled").select("file", *_KINDS)
-    largest, rest = files.agg(F.max("size"), F.max(F.when(~F.col("settled"), F.col("size")))).first()
-    if rest is not None:
+    open_size = F.when(~F.col("settled"), F.col("size"))
+    least, largest, lowest, highest = files.agg(F.min("size"), F.max("size"), F.min(open_size), F.max(open_size)).first()
+    if highest is not None:
         again = every
-        if rest < largest:
-            few = F.col("_metadata.file_size") <= rest
+        if least < lowest or highest < largest:
+            few = F.col("_metadata.file_size").between(lowest, highest)
             small = raw_lines(scan, few if only is None else few & only)
             again = numbered(small, written_table(block_index(small), "line-index"), text)
         others = _head_counts(again, sample_lines, max_bytes_per_line)

@@ -199,7 +199,11 @@ def line_text(raw: DataFrame, encoding: str = "utf-8", decode_errors: str = "rep
 
 def block_index(raw: DataFrame, *more: Column) -> DataFrame:
     """Per split of a file: its first row id, its rows, the rows of the file before it, and `more` aggregates."""
-    blocks = raw.groupBy("file", "block").agg(F.min("row").alias("first_row"), F.count("*").alias("n_rows"), *more)
+    return rows_before(raw.groupBy("file", "block").agg(F.min("row").alias("first_row"), F.count("*").alias("n_rows"), *more))
+
+
+def rows_before(blocks: DataFrame) -> DataFrame:
+    """Add to counted splits (`file, block, n_rows`) the rows of the file before them."""
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return blocks.withColumn("before", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
 

@@ -4,6 +4,7 @@ import os
 import pytest
 
 import logspark as ls
+from logspark.operators import sniff
 
 ACCESS = '127.0.0.1 - - [10/Oct/2000:13:55:36 -0700] "GET /" {} 10'
 SYSLOG = "<{}>1 2025-12-30T08:12:04Z host app 1 - - msg"
@@ -135,6 +136,23 @@ def test_a_large_file_is_read_once_for_number_and_format(spark, write):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_many_small_files_are_read_once_for_number_and_format(spark, write, monkeypatch):
+    heads = {"unknown": "plain words without any sign", "bracket": "x [INFO] some words", "access": ACCESS.format(404), "jsonl": '{"a": 1}'}
+    names = list(heads)
+    paths = [write(*[heads[names[i % 4]]] * (12 + i), *["other"] * 600, name=f"{i:03d}.log") for i in range(60)]
+    size = sum(map(os.path.getsize, paths))
+    ways = []
+    # Looked at while they are counted; read again; one of the two for each half of the files.
+    for limit in (sniff.SMALL_FILE, 0, sorted(map(os.path.getsize, paths))[30]):
+        monkeypatch.setattr(sniff, "SMALL_FILE", limit)
+        before = _read_bytes(spark)
+        lines, found = ls.read_and_sniff(spark, paths)
+        ways.append((_read_bytes(spark) - before) / size)
+        assert [r.detected for r in found.orderBy("file").collect()] == [names[i % 4] for i in range(60)]
+    assert lines.count() == sum(612 + i for i in range(60))
+    assert ways[0] < 1.2 < ways[1]
+
+
 def test_files_that_a_table_does_not_name_are_unknown(spark, lines, monkeypatch):
     from logspark import session
 
