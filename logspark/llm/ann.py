@@ -155,20 +155,26 @@ def search(
     def deal(places, splits: np.ndarray):
         """Rows of cells (bucket, part of its vectors, part of its queries): each vector and each query where it is met."""
 
+        def copies(rows: np.ndarray, buckets: np.ndarray, spread: np.ndarray, own: int) -> tuple[np.ndarray, ...]:
+            """Row, bucket, its own part and every part of the other side."""
+            n = splits[1 - own, buckets]
+            rows, met = np.repeat(rows, n), np.repeat(buckets, n)
+            other = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+            return rows, met, (spread[rows] % splits[own, met].astype(np.uint64)).astype(np.int64), other
+
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for ids, v, held, own, asks, asked in places(frame):
-                    raw = [r.tobytes() for r in v]
+                    raw = np.empty(len(v), dtype=object)
+                    raw[:] = [r.tobytes() for r in v]
                     spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-                    rows = []
-                    for i, bucket in zip(held.tolist(), own.tolist(), strict=True):
-                        a, b = splits[:, bucket]
-                        rows += [(bucket, int(spread[i] % a), j, False, ids[i], raw[i]) for j in range(b)]
-                    for i, many in zip(asks.tolist(), asked.tolist(), strict=True):
-                        for bucket in many:
-                            a, b = splits[:, bucket]
-                            rows += [(bucket, j, int(spread[i] % b), True, ids[i], raw[i]) for j in range(a)]
-                    yield pd.DataFrame(rows, columns=["bucket", "a", "b", "asks", "vec_id", "v"])
+                    d, d_bucket, d_a, d_b = copies(held, own, spread, 0)
+                    q, q_bucket, q_b, q_a = copies(np.repeat(asks, asked.shape[1]), asked.ravel(), spread, 1)
+                    rows = np.concatenate([d, q])
+                    yield pd.DataFrame({
+                        "bucket": np.concatenate([d_bucket, q_bucket]), "a": np.concatenate([d_a, q_a]), "b": np.concatenate([d_b, q_b]),
+                        "asks": np.arange(len(rows)) >= len(d), "vec_id": ids[rows], "v": raw[rows],
+                    })
 
         return run
 
@@ -180,22 +186,31 @@ def search(
         d, d_ids, q, q_ids = v[~asks], ids[~asks], v[asks], ids[asks]
         longest = np.linalg.norm(d, axis=1).max(initial=0.0)
         own_ids, starts, of = np.unique(d_ids, return_index=True, return_inverse=True)
-        out = []
+        n, out = len(own_ids), []
         for at in range(0, len(q) if len(d) else 0, 256):
             part, part_ids = q[at : at + 256], q_ids[at : at + 256]
             near = part @ d.T
             near[part_ids[:, None] == d_ids[None, :]] = -np.inf
-            tops = np.maximum.reduceat(near, starts, axis=1)
-            for row, top, one, own in zip(near, tops, part, part_ids.tolist(), strict=True):
-                edge = np.partition(top, len(top) - k)[len(top) - k] if len(top) > k else -np.inf
-                # Products by matrix differ in the last digits; what is near the edge is computed anew, of each vec_id what is near its best.
-                slack = 1e-9 * (max(1.0, abs(edge)) if edge > -np.inf else 1.0) + 1e-13 * np.linalg.norm(one) * longest
-                some = np.flatnonzero((row >= edge - slack) & (row >= top[of] - slack) & (row > -np.inf))
-                score = np.full(len(own_ids), -np.inf)
-                np.maximum.at(score, of[some], exact(np.broadcast_to(one, d[some].shape), d[some]))
-                met = np.unique(of[some])
-                best = met[np.argsort(-score[met], kind="stable")[:k]]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": own_ids[best], "score": score[best]}))
+            tops = near if n == len(d) else np.maximum.reduceat(near, starts, axis=1)
+            edge = np.partition(tops, n - k, axis=1)[:, n - k] if n > k else np.full(len(part), -np.inf)
+            # Products by matrix differ in the last digits; what is near the edge is computed anew, of each vec_id what is near its best.
+            slack = 1e-9 * np.where(np.isfinite(edge), np.maximum(1.0, np.abs(edge)), 1.0) + 1e-13 * np.linalg.norm(part, axis=1) * longest
+            some = (near > -np.inf) & ~(near < (edge - slack)[:, None])
+            if n < len(d):
+                some &= ~(near < tops[:, of] - slack[:, None])
+            row, col = np.nonzero(some)
+            if not len(row):
+                continue
+            # Columns stand by vec_id, so one vec_id of one query is a run.
+            which = row * n + of[col]
+            first = np.flatnonzero(np.diff(which, prepend=-1))
+            score = np.maximum.reduceat(exact(part[row], d[col]), first)
+            row, met = row[first], of[col[first]]
+            order = np.lexsort((met, -score, row))
+            row, met, score = row[order], met[order], score[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            best = place < k
+            out.append(pd.DataFrame({"query_id": part_ids[row[best]], "vec_id": own_ids[met[best]], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     def nearest(rows: DataFrame, places, splits: np.ndarray) -> DataFrame:
