@@ -191,6 +191,47 @@ def test_failed_calls_are_tried_by_the_next_job(spark, asked, tmp_path):
     assert ls.review_segments(asked.limit(0), str, answers=str(tmp_path / "none")).count() == 0
 
 
+def test_small_batches_are_no_jobs_of_their_own(spark, asked, tmp_path, monkeypatch):
+    from logspark.operators import review
+
+    def ask(name, **options):
+        sc = spark.sparkContext
+        sc.setLocalProperty("spark.jobGroup.id", name)
+        try:
+            replies = ls.review_segments(asked, str.upper, answers=str(tmp_path / name), **options)
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        got = {(r.file, r.segment_id): (r.response, r.error) for r in replies.collect()}
+        assert got == {(r.file, r.segment_id): (r.prompt.upper(), None) for r in asked.collect()}
+        assert spark.read.parquet(str(tmp_path / name)).count() == 61  # equal texts of a file are sent once
+        return len(sc.statusTracker().getJobIdsForGroup(name))
+
+    fewest = ask("one", batch=1000)
+    assert ask("small", batch=1) <= fewest + 2
+    assert ask("bounded", batch=20, concurrency=2) >= 4
+    monkeypatch.setattr(review, "JOB_TASKS", 20)
+    monkeypatch.setattr(review, "FILE_PROMPTS", 3)
+    assert ask("several", batch=1) <= fewest + 8
+
+
+def test_a_given_concurrency_bounds_the_calls_at_a_time(spark, asked, tmp_path):
+    spans = tmp_path / "spans"
+    spans.mkdir()
+
+    def slow(prompt):
+        import time
+        import uuid
+
+        start = time.time()
+        time.sleep(0.02)
+        (spans / uuid.uuid4().hex).write_text(f"{start} {time.time()}")
+        return prompt
+
+    ls.review_segments(asked, slow, answers=str(tmp_path / "answers"), batch=3, concurrency=2)
+    found = [tuple(map(float, p.read_text().split())) for p in spans.iterdir()]
+    assert len(found) == 61 and max(sum(a <= start < b for a, b in found) for start, _ in found) <= 2
+
+
 def test_pauses_between_tries(spark, asked, monkeypatch):
     from logspark import fixed
 
